@@ -30,7 +30,7 @@ WINDOW = 5
 MIN_REPEAT = 8
 MIN_WORDS = 10
 MAX_WINDOW_PERCENT = 20
-MAX_COVERED_PERCENT = 15
+MAX_COVERED_PERCENT = 20
 MAX_LONGEST = 100
 SPACES = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
@@ -200,6 +200,6 @@ cover8 AS (SELECT doc_id, count(DISTINCT i + k) AS r8 FROM w8, (SELECT unnest(ra
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered_words,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_covered_words > 15 * n_words OR long_repeat) AS kept
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_covered_words > 20 * n_words OR long_repeat) AS kept
 FROM m
 """

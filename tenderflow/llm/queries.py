@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, packing, quality, secret_scan, sharding
+from . import chat, packing, quality, secret_scan, sharding, simhash, urls
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -10,6 +10,8 @@ QUERIES = {
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_sharding": sharding.op5_sharding,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op9_url_filter": urls.op9_url_filter,
+    "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLE_SQL = {

@@ -21,6 +21,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,7 +120,7 @@ def redact(docs: DataFrame, column: str = "text") -> DataFrame:
     """The same rows and columns, secrets replaced in `column`; null stays null."""
 
     @F.pandas_udf("string")
-    def masked(texts):
+    def masked(texts: pd.Series) -> pd.Series:
         return texts.map(mask_text, na_action="ignore")
 
     return docs.withColumn(column, masked(F.col(column).cast("string")))
