@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, packing, quality, secret_scan, sharding, simhash, urls
+from . import chat, packing, quality, secret_scan, sharding, simhash, substring_dedup, urls
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_secret_scan": secret_scan.op2_secret_scan,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_sharding": sharding.op5_sharding,
     "op6_quality_rules": quality.op6_quality_rules,
