@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, packing, quality, secret_scan, sharding, simhash, substring_dedup, urls
+from . import chat, decontam, licenses, packing, quality, secret_scan, sharding, simhash, substring_dedup, urls
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_sharding": sharding.op5_sharding,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_decontamination": decontam.op7_decontamination,
+    "op8_license_scan": licenses.op8_license_scan,
     "op9_url_filter": urls.op9_url_filter,
     "op10_simhash": simhash.op10_simhash,
 }
@@ -18,4 +20,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op4_chat_formatting": chat.OP4_SQL,
     "op6_quality_rules": quality.OP6_SQL,
+    "op8_license_scan": licenses.OP8_SQL,
 }
