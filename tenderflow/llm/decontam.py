@@ -192,7 +192,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a contaminated pair, with all their columns."""
-    return docs.join(matches(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct(), docs["doc_id"] == F.col("_leaked"), "left_anti")
+    leaked = matches(docs, benchmark).select("doc_id").distinct().toDF("_leaked_id")
+    return docs.join(leaked, docs["doc_id"] == leaked["_leaked_id"], "left_anti")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,18 +137,18 @@ def measure(text: str) -> tuple[int, ...]:
 
 
 def measured(docs: DataFrame, *columns: str) -> DataFrame:
-    """The measures of each document's text, after doc_id or the named columns."""
-    columns = columns or ("doc_id",)
+    """`row`, a struct of the named columns (doc_id by default), and the measures of its text."""
+    row = F.struct(*(columns or ("doc_id",))).alias("row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [measure(t or "") for t in batch["text"].to_pylist()]
+            text = batch["text"] if "text" in batch.schema.names else batch["row"].field("text")
+            rows = [measure(t or "") for t in text.to_pylist()]
             made = [pa.array(x, pa.int64()) for x in zip(*rows)] if rows else [pa.array([], pa.int64())] * len(MEASURES)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), *made], [*columns, *MEASURES])
+            yield pa.RecordBatch.from_arrays([batch["row"], *made], ["row", *MEASURES])
 
-    read = docs.select(*dict.fromkeys([*columns, "text"]))
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return read.mapInArrow(run, ", ".join([kept, *(f"{m} long" for m in MEASURES)]))
+    read = docs.select(row) if "text" in columns else docs.select(row, "text")
+    return read.mapInArrow(run, ", ".join([f"row {read.schema['row'].dataType.simpleString()}", *(f"{m} long" for m in MEASURES)]))
 
 
 def base_failed():
@@ -166,12 +166,12 @@ def judged(docs: DataFrame, *columns: str) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns."""
-    return judged(docs, *docs.columns).filter("kept").select(*docs.columns)
+    return judged(docs, *docs.columns).filter("kept").select("row.*")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered_words"
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered_words"
     )
 
 

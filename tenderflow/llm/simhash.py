@@ -22,10 +22,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .common import discard, materialise, table
 
@@ -35,6 +35,12 @@ SHINGLE = 3
 SEED = 42
 BUCKET = 4096
 BLOCK = 1 << 15
+#: Near copies: families of word-set fingerprints, words in a shingle and their least similarity.
+FAMILIES = 6
+COPY_SHINGLE = 5
+SIMILARITY = 0.8
+STRIDE = 0x9E3779B97F4A7C15
+FACTOR = np.uint64(0xD6E8FEB86659FD93)
 
 
 def simhash(text: str, shingle: int = SHINGLE) -> int:
@@ -76,7 +82,7 @@ def covering_masks(radius: int, bits: list[int]) -> list[int]:
 
 
 def bucketed(rows: DataFrame, masks, *keys: str) -> DataFrame:
-    """fp in each of its tables: the keys, the table's number t and the kept bits."""
+    """fp in each of its tables: the keys, the table's number t and the bits it keeps."""
     return rows.select(*keys, "fp", F.posexplode(masks).alias("t", "mask")).select(*keys, "t", F.col("fp").bitwiseAND(F.col("mask")).alias("kept"), "fp")
 
 
@@ -97,38 +103,41 @@ def forest(fps: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
 
 
 def bucket_links(buckets: DataFrame, radius: int) -> DataFrame:
-    """Links a, b within rows of fps, array<long>."""
+    """Links k, a, b within rows of k and fps, array<long>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch["fps"]
             values, ends = column.flatten().to_numpy().view(np.uint64), np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
-            links = [x for a, z in zip(np.concatenate([[0], ends[:-1]]), ends) for x in forest(values[a:z], radius)] if len(ends) else []
-            pairs = np.array(links, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+            families, out = batch["k"].to_numpy(), []
+            for k, a, z in zip(families, np.append(0, ends), ends):
+                out += ((k, x, y) for x, y in forest(values[a:z], radius))
+            k, a, b = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(k, np.int32)), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b))], ["k", "a", "b"])
 
-    return buckets.select("fps").mapInArrow(run, "a long, b long")
+    return buckets.select("k", "fps").mapInArrow(run, "k int, a long, b long")
 
 
 def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """Links a > b between distinct fingerprints that span the same components as all links."""
+    """Links k, a > b between distinct fingerprints (k, fp) of one family k; they span the same
+    components as all links."""
     every = list(range(BITS))
     masks = covering_masks(radius, every)
     finer = [[m | s for s in covering_masks(radius, [b for b in every if not m >> b & 1])] for m in masks]
     literal = lambda some: F.array(*(F.lit(signed(m)) for m in some))
 
     def counted(rows: DataFrame, *keys: str) -> DataFrame:
-        return rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+        return rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter("n > 1")
 
-    first = counted(bucketed(fps, literal(masks)), "t", "kept").filter("n > 1")
-    small = first.filter(F.col("n") <= bucket).groupBy("t", "kept").agg(F.collect_list("fp").alias("fps"))
+    first = counted(bucketed(fps, literal(masks), "k"), "k", "t", "kept")
+    small = first.filter(F.col("n") <= bucket).groupBy("k", "t", "kept").agg(F.collect_list("fp").alias("fps"))
     found = bucket_links(small, radius)
-    large = materialise(first.filter(F.col("n") > bucket).select("t", "fp"))
+    large = materialise(first.filter(F.col("n") > bucket).select("k", F.col("t").alias("t0"), "fp"))
     if not large.isEmpty():
-        again = bucketed(large.withColumnRenamed("t", "t0"), F.get(F.array(*map(literal, finer)), F.col("t0")), "t0")
-        second = counted(again, "t0", "t", "kept").filter("n > 1").groupBy("t0", "t", "kept").agg(F.collect_list("fp").alias("fps"))
-        found = found.unionByName(bucket_links(second, radius))
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        keys = ("k", "t0", "t", "kept")
+        again = bucketed(large, F.get(F.array(*map(literal, finer)), F.col("t0")), "k", "t0")
+        found = found.unionByName(bucket_links(counted(again, *keys).groupBy(*keys).agg(F.collect_list("fp").alias("fps")), radius))
+    return found.select("k", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -158,12 +167,105 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     """doc_id, fp and component_id, the least id that links reach, for every document."""
     prints = materialise(fingerprints(docs, shingle))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    roots = components(links(distinct.select("fp"), radius))
+    roots = components(links(distinct.select(F.lit(0).alias("k"), "fp"), radius).select("a", "b"))
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     named = materialise(rooted).withColumn("component_id", F.min("rep").over(Window.partitionBy("root")))
     return prints.join(named.select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def word_prints(text: str, families: int) -> list[int]:
+    """Fingerprints of a text's set of words, one for each family of hashes."""
+    import xxhash
+
+    words = set(text.encode().lower().split())
+    if not words:
+        return [0] * families
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64)
+    out = []
+    for k in range(families):
+        mixed = hashes ^ np.uint64(k * STRIDE % (1 << BITS))
+        for _ in range(2):
+            mixed = (mixed ^ (mixed >> np.uint64(32))) * FACTOR
+        mixed ^= mixed >> np.uint64(32)
+        ones = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(mixed), bitorder="little").view("<u8")[0]))
+    return out
+
+
+def similar(a: str, b: str, shingle: int, similarity: float) -> bool:
+    """Whether the Jaccard similarity of the texts' word shingles reaches `similarity`."""
+    sets = []
+    for text in (a, b):
+        words = text.encode().lower().split()
+        sets.append(set(zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else {tuple(words)})
+    both = len(sets[0] & sets[1])
+    return both >= similarity * (len(sets[0]) + len(sets[1]) - both)
+
+
+def linked_nodes(prints: DataFrame, radius: int) -> DataFrame:
+    """node and root for nodes that links of any family join; prints has node, fps."""
+    rows = prints.select("node", F.posexplode("fps").alias("k", "fp"))
+    distinct = rows.groupBy("k", "fp").agg(F.min("node").alias("rep"))
+    named = distinct.select("k", F.col("fp").alias("a"), F.col("rep").alias("u"))
+    met = links(distinct.select("k", "fp"), radius).join(named, ["k", "a"]).join(named.toDF("k", "b", "v"), ["k", "b"]).select("u", "v")
+    same = rows.join(distinct, ["k", "fp"]).select(F.col("node").alias("u"), F.col("rep").alias("v"))
+    edges = met.union(same).filter("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
+    return components(edges)
+
+
+def near_copies(docs: DataFrame, families: int = FAMILIES, radius: int = RADIUS, shingle: int = COPY_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, text_hash and leader of the documents that another one stands for.
+
+    Equal texts: the least id stays. Among the rest, candidates are what links of several
+    families of fingerprints of word sets join; a family alone would miss a part of the pairs at
+    0.8, all together find nearly all. In each candidate group the least id leads; the texts that
+    are similar enough to its text go. The others are grouped again, until none is left.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    read = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    slim = read.select("doc_id", "text_hash").distinct()
+    equal = materialise(slim.join(slim.groupBy("text_hash").agg(F.min("doc_id").alias("leader")), "text_hash"))
+    gone = equal.filter("doc_id <> leader").select("doc_id", "text_hash", "leader")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [np.array(word_prints(t, families), np.uint64).view(np.int64) for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(made, pa.list_(pa.int64()))], ["doc_id", "text_hash", "fps"])
+
+    printed = read.mapInArrow(run, "doc_id long, text_hash long, fps array<long>")
+    firsts = equal.filter("doc_id = leader").select("doc_id", "text_hash")
+    left = materialise(printed.join(firsts, ["doc_id", "text_hash"], "left_semi").select(F.col("doc_id").alias("node"), "fps").distinct())
+    texts = None
+    while True:
+        groups = materialise(linked_nodes(left, radius))
+        if groups.isEmpty():
+            return gone
+        nodes = groups.union(groups.select("root", "root").distinct())
+        if texts is None:
+            texts = materialise(read.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").join(firsts, ["doc_id", "text_hash"], "left_semi").distinct())
+        leaders = texts.join(groups.select(F.col("root").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("root"), F.col("text").alias("lead"))
+        member = texts.join(groups, texts["doc_id"] == groups["node"]).join(leaders, "root")
+
+        @F.pandas_udf("boolean")
+        def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+            return pd.Series([similar(x, y, shingle, similarity) for x, y in zip(a, b)])
+
+        judged = materialise(member.select("doc_id", "text_hash", F.col("root").alias("leader"), alike("text", "lead").alias("alike")))
+        gone = gone.union(judged.filter("alike").select("doc_id", "text_hash", "leader"))
+        rest = judged.filter("not alike").select(F.col("doc_id").alias("node"))
+        left = materialise(left.join(rest, "node", "left_semi"))
+
+
+def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
+    """The documents without near copies of others, with all their columns.
+
+    Rows with equal id and text are one document; rows with a null id stay.
+    """
+    gone = near_copies(docs, **how).select("doc_id", "text_hash").toDF("_copy_id", "_copy_hash")
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    return docs.join(gone, (docs["doc_id"] == gone["_copy_id"]) & (F.xxhash64(text) == gone["_copy_hash"]), "left_anti")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
