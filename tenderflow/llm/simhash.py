@@ -35,8 +35,11 @@ SHINGLE = 3
 SEED = 42
 BUCKET = 4096
 BLOCK = 1 << 15
-#: Near copies: families of word-set fingerprints, words in a shingle and their least similarity.
-FAMILIES = 6
+#: Near copies: families of word-set fingerprints, bits that their tables cover, differing bits
+#: of a candidate, words in a shingle and the least similarity.
+FAMILIES = 8
+COPY_BITS = 44
+COPY_REACH = 14
 COPY_SHINGLE = 5
 SIMILARITY = 0.8
 STRIDE = 0x9E3779B97F4A7C15
@@ -118,10 +121,14 @@ def bucket_links(buckets: DataFrame, radius: int) -> DataFrame:
     return buckets.select("k", "fps").mapInArrow(run, "k int, a long, b long")
 
 
-def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, bits: int = BITS, reach: int | None = None) -> DataFrame:
     """Links k, a > b between distinct fingerprints (k, fp) of one family k; they span the same
-    components as all links."""
-    every = list(range(BITS))
+    components as all links of the buckets.
+
+    The tables cover differences of up to `radius` of the first `bits` bits. Pairs in a bucket
+    link at up to `reach` differing bits, the radius by default: then no link is missed.
+    """
+    every, reach = list(range(bits)), radius if reach is None else reach
     masks = covering_masks(radius, every)
     finer = [[m | s for s in covering_masks(radius, [b for b in every if not m >> b & 1])] for m in masks]
     literal = lambda some: F.array(*(F.lit(signed(m)) for m in some))
@@ -131,12 +138,12 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
 
     first = counted(bucketed(fps, literal(masks), "k"), "k", "t", "kept")
     small = first.filter(F.col("n") <= bucket).groupBy("k", "t", "kept").agg(F.collect_list("fp").alias("fps"))
-    found = bucket_links(small, radius)
+    found = bucket_links(small, reach)
     large = materialise(first.filter(F.col("n") > bucket).select("k", F.col("t").alias("t0"), "fp"))
     if not large.isEmpty():
         keys = ("k", "t0", "t", "kept")
         again = bucketed(large, F.get(F.array(*map(literal, finer)), F.col("t0")), "k", "t0")
-        found = found.unionByName(bucket_links(counted(again, *keys).groupBy(*keys).agg(F.collect_list("fp").alias("fps")), radius))
+        found = found.unionByName(bucket_links(counted(again, *keys).groupBy(*keys).agg(F.collect_list("fp").alias("fps")), reach))
     return found.select("k", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -202,23 +209,25 @@ def similar(a: str, b: str, shingle: int, similarity: float) -> bool:
     return both >= similarity * (len(sets[0]) + len(sets[1]) - both)
 
 
-def linked_nodes(prints: DataFrame, radius: int) -> DataFrame:
+def linked_nodes(prints: DataFrame) -> DataFrame:
     """node and root for nodes that links of any family join; prints has node, fps."""
     rows = prints.select("node", F.posexplode("fps").alias("k", "fp"))
     distinct = rows.groupBy("k", "fp").agg(F.min("node").alias("rep"))
     named = distinct.select("k", F.col("fp").alias("a"), F.col("rep").alias("u"))
-    met = links(distinct.select("k", "fp"), radius).join(named, ["k", "a"]).join(named.toDF("k", "b", "v"), ["k", "b"]).select("u", "v")
+    met = links(distinct.select("k", "fp"), bits=COPY_BITS, reach=COPY_REACH).join(named, ["k", "a"]).join(named.toDF("k", "b", "v"), ["k", "b"]).select("u", "v")
     same = rows.join(distinct, ["k", "fp"]).select(F.col("node").alias("u"), F.col("rep").alias("v"))
     edges = met.union(same).filter("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
     return components(edges)
 
 
-def near_copies(docs: DataFrame, families: int = FAMILIES, radius: int = RADIUS, shingle: int = COPY_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def near_copies(docs: DataFrame, families: int = FAMILIES, shingle: int = COPY_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, text_hash and leader of the documents that another one stands for.
 
-    Equal texts: the least id stays. Among the rest, candidates are what links of several
-    families of fingerprints of word sets join; a family alone would miss a part of the pairs at
-    0.8, all together find nearly all. In each candidate group the least id leads; the texts that
+    Equal texts: the least id stays. Among the rest, candidates are what several families of
+    fingerprints of word sets join. Texts at 0.8 differ in about a sixth of the bits, more than a
+    covering radius can be; so shorter covering keys are used, on COPY_BITS bits, and what shares
+    a bucket is a candidate at up to COPY_REACH differing bits. A pair at 0.8 meets in some of
+    the tables with a chance of about 0.9, one at 0.85 of 0.99. In each candidate group the least id leads; the texts that
     are similar enough to its text go. The others are grouped again, until none is left.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -237,7 +246,7 @@ def near_copies(docs: DataFrame, families: int = FAMILIES, radius: int = RADIUS,
     left = materialise(printed.join(firsts, ["doc_id", "text_hash"], "left_semi").select(F.col("doc_id").alias("node"), "fps").distinct())
     texts = None
     while True:
-        groups = materialise(linked_nodes(left, radius))
+        groups = materialise(linked_nodes(left))
         if groups.isEmpty():
             return gone
         nodes = groups.union(groups.select("root", "root").distinct())
