@@ -49,7 +49,7 @@ def strip_sub_label(v: Column) -> Column:
 
 def sentences(v: Column) -> Column:
     """SF-15: trimmed sentences of four characters or more."""
-    return F.filter(F.transform(F.split(F.coalesce(v, F.lit("")), SENTENCE_END), F.trim), lambda s: F.length(s) >= 4)
+    return F.filter(F.transform(F.split(F.coalesce(v, F.lit("")), SENTENCE_END), lambda s: F.trim(s)), lambda s: F.length(s) >= 4)
 
 
 def contained(words, text: Column) -> Column:

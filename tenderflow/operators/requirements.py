@@ -124,7 +124,7 @@ def rejections(rows: DataFrame) -> DataFrame:
 
     rows has doc_id, table_id, row, cells and is_header.
     """
-    cells = F.transform("cells", F.trim)
+    cells = F.transform("cells", lambda c: F.trim(c))
     joined = F.array_join(F.filter(cells, lambda c: c != ""), " ")
     longest = F.aggregate(cells, F.lit(""), lambda a, c: F.when(F.length(c) > F.length(a), c).otherwise(a))
     category = F.coalesce(*(F.when(F.contains(joined, F.lit(w)), F.lit(w)) for w in scoring.REJECTION_CATEGORIES), F.lit(""))
