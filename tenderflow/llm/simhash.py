@@ -35,11 +35,11 @@ SHINGLE = 3
 SEED = 42
 BUCKET = 4096
 BLOCK = 1 << 15
-#: Near copies: families of word-set fingerprints, bits that their tables cover, differing bits
-#: of a candidate, words in a shingle and the least similarity.
+#: Near copies: families of word-set fingerprints, bits that the tables of each cover, differing
+#: bits of a candidate over all families, words in a shingle and the least similarity.
 FAMILIES = 8
 COPY_BITS = 44
-COPY_REACH = 14
+COPY_REACH = 100
 COPY_SHINGLE = 5
 SIMILARITY = 0.8
 STRIDE = 0x9E3779B97F4A7C15
@@ -121,14 +121,10 @@ def bucket_links(buckets: DataFrame, radius: int) -> DataFrame:
     return buckets.select("k", "fps").mapInArrow(run, "k int, a long, b long")
 
 
-def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, bits: int = BITS, reach: int | None = None) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """Links k, a > b between distinct fingerprints (k, fp) of one family k; they span the same
-    components as all links of the buckets.
-
-    The tables cover differences of up to `radius` of the first `bits` bits. Pairs in a bucket
-    link at up to `reach` differing bits, the radius by default: then no link is missed.
-    """
-    every, reach = list(range(bits)), radius if reach is None else reach
+    components as all links."""
+    every = list(range(BITS))
     masks = covering_masks(radius, every)
     finer = [[m | s for s in covering_masks(radius, [b for b in every if not m >> b & 1])] for m in masks]
     literal = lambda some: F.array(*(F.lit(signed(m)) for m in some))
@@ -138,12 +134,12 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, bits: int
 
     first = counted(bucketed(fps, literal(masks), "k"), "k", "t", "kept")
     small = first.filter(F.col("n") <= bucket).groupBy("k", "t", "kept").agg(F.collect_list("fp").alias("fps"))
-    found = bucket_links(small, reach)
+    found = bucket_links(small, radius)
     large = materialise(first.filter(F.col("n") > bucket).select("k", F.col("t").alias("t0"), "fp"))
     if not large.isEmpty():
         keys = ("k", "t0", "t", "kept")
         again = bucketed(large, F.get(F.array(*map(literal, finer)), F.col("t0")), "k", "t0")
-        found = found.unionByName(bucket_links(counted(again, *keys).groupBy(*keys).agg(F.collect_list("fp").alias("fps")), reach))
+        found = found.unionByName(bucket_links(counted(again, *keys).groupBy(*keys).agg(F.collect_list("fp").alias("fps")), radius))
     return found.select("k", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -209,60 +205,103 @@ def similar(a: str, b: str, shingle: int, similarity: float) -> bool:
     return both >= similarity * (len(sets[0]) + len(sets[1]) - both)
 
 
-def linked_nodes(prints: DataFrame) -> DataFrame:
-    """node and root for nodes that links of any family join; prints has node, fps."""
-    rows = prints.select("node", F.posexplode("fps").alias("k", "fp"))
-    distinct = rows.groupBy("k", "fp").agg(F.min("node").alias("rep"))
-    named = distinct.select("k", F.col("fp").alias("a"), F.col("rep").alias("u"))
-    met = links(distinct.select("k", "fp"), bits=COPY_BITS, reach=COPY_REACH).join(named, ["k", "a"]).join(named.toDF("k", "b", "v"), ["k", "b"]).select("u", "v")
-    same = rows.join(distinct, ["k", "fp"]).select(F.col("node").alias("u"), F.col("rep").alias("v"))
-    edges = met.union(same).filter("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
-    return components(edges)
+def spanning_links(nodes: np.ndarray, prints: np.ndarray, reach: int) -> Iterator[tuple[int, int]]:
+    """The minimum spanning tree's links of at most `reach` bits between rows of fingerprints.
+
+    Copies of one text differ less from it than from each other, so the tree's links lead to it.
+    """
+    at, left = 0, np.arange(1, len(nodes))
+    best, source = np.full(len(left), 1 << 30), np.zeros(len(left), np.int64)
+    while left.size:
+        apart = np.bitwise_count(prints[left] ^ prints[at]).sum(axis=1, dtype=np.int64)
+        nearer = apart < best
+        best[nearer], source[nearer] = apart[nearer], at
+        j = int(np.argmin(best))
+        at = int(left[j])
+        if best[j] <= reach:
+            yield int(nodes[source[j]]), int(nodes[at])
+        keep = np.arange(len(left)) != j
+        left, best, source = left[keep], best[keep], source[keep]
+
+
+def candidate_links(prints: DataFrame, families: int, bucket: int = BUCKET, bits: int = COPY_BITS, reach: int = COPY_REACH) -> DataFrame:
+    """Links a > b between nodes that share a bucket: a spanning tree of each bucket.
+
+    prints has node and fps, a fingerprint per family. Buckets hold nodes only, and equal ones of
+    several tables count once; then the fingerprints are joined to them again.
+    """
+    every = list(range(bits))
+    masks = covering_masks(RADIUS, every)
+    finer = [[m | s for s in covering_masks(RADIUS, [b for b in every if not m >> b & 1])] for m in masks]
+    literal = lambda some: F.array(*(F.lit(signed(m)) for m in some))
+
+    def kept_in(rows: DataFrame, mask, *keys: str) -> DataFrame:
+        cut = rows.select(*keys, "node", "fp", F.posexplode(mask).alias("t", "mask")).select(*keys, "t", F.col("fp").bitwiseAND(F.col("mask")).alias("kept"), "node")
+        return cut.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "t", "kept"))).filter("n > 1")
+
+    def gathered(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.groupBy(*keys, "t", "kept").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select("nodes")
+
+    first = kept_in(prints.select("node", F.posexplode("fps").alias("k", "fp")), literal(masks), "k")
+    met = materialise(gathered(first.filter(F.col("n") <= bucket), "k").distinct())
+    large = materialise(first.filter(F.col("n") > bucket).select("k", F.col("t").alias("t0"), "node"))
+    if not large.isEmpty():
+        again = large.join(prints, "node").select("k", "t0", "node", F.get("fps", F.col("k")).alias("fp"))
+        second = kept_in(again, F.get(F.array(*map(literal, finer)), F.col("t0")), "k", "t0")
+        met = materialise(met.union(gathered(second, "k", "t0")).distinct())
+    known = prints.select("node", "fps")
+    rows = met.select(F.xxhash64("nodes").alias("bucket"), F.explode("nodes").alias("node")).distinct().join(known, "node")
+    sets = rows.groupBy("bucket").agg(F.collect_list(F.struct("node", "fps")).alias("members"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members, out = batch["members"], []
+            flat, ends = members.flatten(), np.cumsum(members.value_lengths().to_numpy(zero_copy_only=False))
+            nodes = flat.field("node").to_numpy()
+            fps = flat.field("fps").flatten().to_numpy().view(np.uint64).reshape(-1, families)
+            for a, z in zip(np.append(0, ends), ends):
+                out += spanning_links(nodes[a:z], fps[a:z], reach)
+            pairs = np.array(out, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.max(axis=1, initial=-(1 << 63))), pa.array(pairs.min(axis=1, initial=(1 << 63) - 1))], ["a", "b"])
+
+    return sets.select("members").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame, families: int = FAMILIES, shingle: int = COPY_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, text_hash and leader of the documents that another one stands for.
 
     Equal texts: the least id stays. Among the rest, candidates are what several families of
-    fingerprints of word sets join. Texts at 0.8 differ in about a sixth of the bits, more than a
-    covering radius can be; so shorter covering keys are used, on COPY_BITS bits, and what shares
-    a bucket is a candidate at up to COPY_REACH differing bits. A pair at 0.8 meets in some of
-    the tables with a chance of about 0.9, one at 0.85 of 0.99. In each candidate group the least id leads; the texts that
-    are similar enough to its text go. The others are grouped again, until none is left.
+    fingerprints of word sets bring into a bucket. Texts at 0.8 differ in up to a sixth of the
+    bits, more than a covering radius can be; so shorter covering keys are used, on COPY_BITS
+    bits. A pair at 0.8 meets in some table with a chance of about 0.9, one at 0.85 of 0.99. The
+    links of the buckets' spanning trees are checked on the texts themselves; those that hold
+    join near copies to groups, in which the least id leads and all others go.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     read = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     slim = read.select("doc_id", "text_hash").distinct()
-    equal = materialise(slim.join(slim.groupBy("text_hash").agg(F.min("doc_id").alias("leader")), "text_hash"))
-    gone = equal.filter("doc_id <> leader").select("doc_id", "text_hash", "leader")
+    equal = materialise(slim.join(slim.groupBy("text_hash").agg(F.min("doc_id").alias("first")), "text_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [np.array(word_prints(t, families), np.uint64).view(np.int64) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(made, pa.list_(pa.int64()))], ["doc_id", "text_hash", "fps"])
 
+    firsts = equal.filter("doc_id = first").select("doc_id", "text_hash")
     printed = read.mapInArrow(run, "doc_id long, text_hash long, fps array<long>")
-    firsts = equal.filter("doc_id = leader").select("doc_id", "text_hash")
-    left = materialise(printed.join(firsts, ["doc_id", "text_hash"], "left_semi").select(F.col("doc_id").alias("node"), "fps").distinct())
-    texts = None
-    while True:
-        groups = materialise(linked_nodes(left))
-        if groups.isEmpty():
-            return gone
-        nodes = groups.union(groups.select("root", "root").distinct())
-        if texts is None:
-            texts = materialise(read.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").join(firsts, ["doc_id", "text_hash"], "left_semi").distinct())
-        leaders = texts.join(groups.select(F.col("root").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("root"), F.col("text").alias("lead"))
-        member = texts.join(groups, texts["doc_id"] == groups["node"]).join(leaders, "root")
-
-        @F.pandas_udf("boolean")
-        def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series([similar(x, y, shingle, similarity) for x, y in zip(a, b)])
-
-        judged = materialise(member.select("doc_id", "text_hash", F.col("root").alias("leader"), alike("text", "lead").alias("alike")))
-        gone = gone.union(judged.filter("alike").select("doc_id", "text_hash", "leader"))
-        rest = judged.filter("not alike").select(F.col("doc_id").alias("node"))
-        left = materialise(left.join(rest, "node", "left_semi"))
+    prints = materialise(printed.join(firsts, ["doc_id", "text_hash"], "left_semi").select(F.col("doc_id").alias("node"), "fps").dropDuplicates(["node"]))
+    links = materialise(candidate_links(prints, families))
+    nodes = links.select(F.col("a").alias("doc_id")).union(links.select("b")).distinct()
+    texts = materialise(read.join(nodes, "doc_id", "left_semi").join(firsts, ["doc_id", "text_hash"], "left_semi").select("doc_id", "text").distinct())
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similar(x, y, shingle, similarity) for x, y in zip(a, b)])
+
+    both = links.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    roots = components(both.filter(alike("text_a", "text_b")).select("a", "b").distinct())
+    led = equal.join(roots, equal["first"] == roots["node"], "left").select("doc_id", "text_hash", F.coalesce("root", "first").alias("leader"))
+    return led.filter("doc_id <> leader")
 
 
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
