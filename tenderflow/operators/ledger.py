@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,6 +29,12 @@ def pages_failed(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.explode(F.sequence(F.lit(1), "n_pages")).alias("page")).select("doc_id", F.concat(F.lit("page:"), "page").alias("key"), F.lit("page").alias("kind"), F.lit("FAILED_REVIEW").alias("status"), F.lit("no OCR backend").alias("reason"))
 
 
+def quality_warnings(documents: DataFrame) -> DataFrame:
+    """DM-6: a warning for each document whose route loses quality; others give no row."""
+    note = F.when(F.col("route") == "pdf_scan", "scanned: pages without an OCR backend fail").when(F.col("route") == "doc", "old word file: convert to docx first")
+    return documents.select("doc_id", "route", note.alias("warning")).filter("warning is not null")
+
+
 def font_levels(spans: DataFrame) -> DataFrame:
     """SRC-8, AG-9: heading levels of text blocks from font sizes.
 
@@ -38,7 +44,5 @@ def font_levels(spans: DataFrame) -> DataFrame:
     by_size = spans.groupBy("doc_id", "size").agg(F.sum(F.length("text")).alias("n"))
     body = by_size.groupBy("doc_id").agg(F.max_by("size", F.struct("n", "size")).alias("body"))
     larger = by_size.join(body, "doc_id").filter(F.col("size") > 1.12 * F.col("body"))
-    from pyspark.sql import Window
-
     ranked = larger.withColumn("level", F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.desc("size")))).select("doc_id", "size", "level")
     return spans.join(ranked, ["doc_id", "size"], "left").withColumn("level", F.when(F.length("text") <= 60, F.coalesce("level", F.lit(0))).otherwise(0))

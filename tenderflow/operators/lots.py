@@ -2,12 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lots
 
 
+# Fixed value: the form of a lot's name in file names and titles.
+LOT_NAME = r"(?:结算审核|竣工决算审核|监造|监理|系统调试|科研|工程保险|施工|设计)?包\d{1,2}(?:-\d{1,2})?"
+
+
+def header_column(header: Column, primary: tuple[str, ...], secondary: tuple[str, ...] = ()) -> Column:
+    """SF-42: the first column whose heading has a primary word, else a secondary one, else null."""
+    at = lambda words: F.get(F.filter(F.sequence(F.lit(0), F.size(header) - 1), lambda i: F.rlike(F.get(header, i), F.lit("|".join(words)))), F.lit(0))
+    return F.coalesce(at(primary), at(secondary)) if secondary else at(primary)
+
+
+def file_scopes(files: DataFrame, blocks: DataFrame) -> DataFrame:
+    """SF-41: lot and project of each file: the lot in its name, else in its first six filled
+    blocks of twelve; the project stands before the lot in such a block. General files give null.
+
+    files has doc_id, file_no, source_file; blocks doc_id, file_no, ord and text, without markers.
+    """
+    named = files.withColumn("from_name", F.nullif(F.regexp_extract("source_file", LOT_NAME, 0), F.lit("")))
+    order = Window.partitionBy("doc_id", "file_no").orderBy("ord")
+    head = blocks.withColumn("_n", F.row_number().over(order)).filter("_n <= 12").filter(F.trim("text") != "").withColumn("_k", F.row_number().over(order)).filter("_k <= 6")
+    seen = head.select("doc_id", "file_no", "ord", F.nullif(F.regexp_extract("text", LOT_NAME, 0), F.lit("")).alias("lot"), F.regexp_replace(F.regexp_extract("text", f"^(.*?){LOT_NAME}", 1), "^[ 　—-]+|[ 　—-]+$", "").alias("project")).filter("lot is not null")
+    both = named.join(seen, ["doc_id", "file_no"], "left")
+    fits = F.col("lot").isNotNull() & (F.col("from_name").isNull() | (F.col("from_name") == F.col("lot")))
+    best = F.min_by(F.struct("lot", "project"), F.when(fits, F.col("ord")))
+    out = both.groupBy("doc_id", "file_no", "source_file", "from_name").agg(best.alias("b"))
+    return out.select("doc_id", "file_no", "source_file", F.coalesce("from_name", "b.lot").alias("lot"), F.when(F.length("b.project") >= 6, F.col("b.project")).otherwise("").alias("project"))
+
+
 def best_values(values: DataFrame, keys: list[str]) -> DataFrame:
     """AG-16: per key the value of the highest confidence, the later one on ties."""
     return values.groupBy(*keys).agg(F.max_by(F.struct("value", "confidence"), F.struct("confidence", "ord")).alias("b")).select(*keys, "b.*")

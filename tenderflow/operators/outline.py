@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbering
@@ -42,3 +42,20 @@ def supplement(outline: DataFrame, scores: DataFrame) -> DataFrame:
         return F.when(covered, acc).otherwise(F.struct(F.concat(acc["text"], s["name"]).alias("text"), F.array_append(acc["added"], s["name"]).alias("added")))
 
     return listed.join(outline, ["doc_id", "bucket"], "left").select("doc_id", "bucket", F.aggregate("names", start, step, lambda a: a["added"]).alias("added"))
+
+
+def reusable(cached_lot: Column, asked_lot: Column, n_lots: Column, single_lot: Column) -> Column:
+    """DM-8: whether a stored outline serves the lot that is asked for: no lot asked, the same
+    lot, or a report that has one lot only and fits; else the view is unavailable."""
+    cached, asked, single = (F.coalesce(c, F.lit("")) for c in (cached_lot, asked_lot, single_lot))
+    return F.when(asked == "", True).when(cached != "", cached == asked).otherwise((n_lots <= 1) & ((single == "") | (single == asked) | F.contains(asked, single)))
+
+
+def bid_outline(tree: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """AP-3: titles of the format chapter by bucket, and the names that score items add.
+
+    scores has doc_id, bucket, ord, name.
+    """
+    placed = buckets(format_subtree(tree).select("doc_id", "ord", "title"))
+    joined = placed.groupBy("doc_id", "bucket").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]), "").alias("joined"))
+    return placed, supplement(joined, scores)

@@ -131,3 +131,21 @@ def rejections(rows: DataFrame) -> DataFrame:
     body = rows.filter(~F.col("is_header")).filter(F.length(joined) >= 8)
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("table_id", "row"))
     return body.select("doc_id", "table_id", "row", F.format_string("RJ-%03d", n).alias("rej_id"), scoring.rejection_kind(joined).alias("kind"), category.alias("category"), longest.alias("text"))
+
+
+def build(blocks: DataFrame, scores: DataFrame) -> DataFrame:
+    """FX-11: all requirements of documents in branch order, with ids, uses and score links.
+
+    scores has doc_id, score_id and name.
+    """
+    shape = lambda rows, branch, kind, subject, said, at: rows.select("doc_id", F.lit(branch).alias("branch"), at.cast("int").alias("at"), kind.alias("type"), subject.alias("subject"), F.substring(said, 1, 300).alias("constraint"))
+    bidder = F.lit("投标人")
+    rows = shape(performances(blocks), 0, F.lit("performance"), bidder, F.col("constraint"), F.col("ord"))
+    rows = rows.unionByName(shape(leaders(blocks), 1, F.lit("leader"), F.lit("项目负责人"), F.col("sentence"), F.col("ord")))
+    rows = rows.unionByName(shape(team(blocks), 2, F.lit("team"), F.col("position"), F.col("sentence"), F.col("ord")))
+    rows = rows.unionByName(shape(plans(blocks).filter(F.size("must_include") > 0), 3, F.lit("plan"), bidder, F.array_join("must_include", "、"), F.lit(0)))
+    rows = rows.unionByName(shape(commercial(blocks), 4, F.col("type"), bidder, F.col("constraint"), F.lit(0)))
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("branch", "at", "type", "subject", "constraint"))
+    numbered = rows.withColumn("req_id", F.format_string("R-%03d", n)).withColumn("use", scoring.usage(F.col("constraint"), F.col("type")))
+    links = linked(scores, numbered)[1]
+    return numbered.join(links, ["doc_id", "req_id"], "left").select("doc_id", "req_id", "type", "subject", "constraint", F.col("use.scoring").alias("for_scoring"), F.col("use.document").alias("for_document"), "scoring_refs")

@@ -35,6 +35,7 @@ def analyse(blocks: DataFrame, rows: DataFrame) -> dict[str, DataFrame]:
         "evidence": evidence.register(candidates.select("doc_id", "ord", "field_key", F.col("text").alias("snippet")), ["ord", "field_key"]),
         "scores": items,
         "score_checks": scores.sum_check(scores.declared_totals(rows), totals, ["doc_id", "category"]),
+        "requirements": requirements.build(blocks, items),
         "performances": requirements.performances(blocks),
         "star_clauses": requirements.star_clauses(blocks),
     }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,19 @@ def scan(spark: SparkSession, path: str, pattern: str = "*.{docx,pdf,xlsx,doc,zi
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).dropDuplicates(["path"])
 
 
+def allowed_path(path: str, folders: list[str]) -> str:
+    """SRC-19: the resolved path of a local file below one of the folders, else an error.
+
+    Paths of other stores have a scheme and are left to their own permissions.
+    """
+    if "://" in path and not path.startswith("file://"):
+        return path
+    real = os.path.realpath(path.removeprefix("file://"))
+    if not any(os.path.commonpath([real, os.path.realpath(f)]) == os.path.realpath(f) for f in folders):
+        raise PermissionError(f"{path} is in none of the allowed folders")
+    return real
+
+
 def combined_id(hashes: Column) -> Column:
     """AG-14: a document's id from the hashes of its files."""
     return F.substring(F.sha2(F.array_join(hashes, "|"), 256), 1, 12)
