@@ -38,7 +38,7 @@ BLOCK = 1 << 15
 #: Near copies: families of word-set fingerprints, bits that the tables of each cover, differing
 #: bits of a candidate over all families, words in a shingle and the least similarity.
 FAMILIES = 8
-COPY_BITS = 44
+COPY_BITS = 52
 COPY_REACH = 100
 COPY_SHINGLE = 5
 SIMILARITY = 0.8
@@ -273,7 +273,8 @@ def near_copies(docs: DataFrame, families: int = FAMILIES, shingle: int = COPY_S
     Equal texts: the least id stays. Among the rest, candidates are what several families of
     fingerprints of word sets bring into a bucket. Texts at 0.8 differ in up to a sixth of the
     bits, more than a covering radius can be; so shorter covering keys are used, on COPY_BITS
-    bits. A pair at 0.8 meets in some table with a chance of about 0.9, one at 0.85 of 0.99. The
+    bits. A pair with words replaced meets almost surely, one with words added, which moves the
+    most bits, with a chance of about 0.7 at 0.8 and 0.9 at 0.85. The
     links of the buckets' spanning trees are checked on the texts themselves; those that hold
     join near copies to groups, in which the least id leads and all others go.
     """
@@ -291,8 +292,8 @@ def near_copies(docs: DataFrame, families: int = FAMILIES, shingle: int = COPY_S
     printed = read.mapInArrow(run, "doc_id long, text_hash long, fps array<long>")
     prints = materialise(printed.join(firsts, ["doc_id", "text_hash"], "left_semi").select(F.col("doc_id").alias("node"), "fps").dropDuplicates(["node"]))
     links = materialise(candidate_links(prints, families))
-    nodes = links.select(F.col("a").alias("doc_id")).union(links.select("b")).distinct()
-    texts = materialise(read.join(nodes, "doc_id", "left_semi").join(firsts, ["doc_id", "text_hash"], "left_semi").select("doc_id", "text").distinct())
+    nodes = links.select(F.col("a").alias("doc_id")).union(links.select("b")).distinct().join(firsts, "doc_id")
+    texts = materialise(read.join(nodes, ["doc_id", "text_hash"], "left_semi").select("doc_id", "text").distinct())
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
