@@ -46,61 +46,81 @@ UNITS = frozenset(
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg ton tons tonne tonnes ounce ounces pound pounds ml l liter liters litre litres "
     "second seconds minute minutes hour hours day days week weeks month months year years cent cents dollar dollars euro euros percent degree degrees mph kph kmh".split()
 )
-TOKEN = re.compile(r"([.!?\n])|(\d[\d.,]*\d|\d)|([^\W\d_]+(?:['’-][^\W\d_]+)*)")
+MARKS = ".!?\n"
+TOKEN = re.compile(r"[.!?\n]|\d(?:[\d.,]*\d)?|[^\W\d_]+(?:['’-][^\W\d_]+)*")
 SLOTS = ("<num>", "<unit>", "<name>")
+MARK, PLAIN_WORD, NUMBER, UNIT, CAPITALISED = range(5)
+KIND_BITS = np.uint64(7)
+MOST_KNOWN = 1 << 20
 
 
-def template(text: str) -> tuple[list[str], list[str]]:
-    """Template words of a text and the values that stand behind them."""
-    words, values, opens, starts = [], [], True, []
-    names = set()
-    for mark, number, word in TOKEN.findall(text):
-        if mark:
-            opens = True
-            continue
-        value = number or word
-        kind = "<num>" if number else value.lower()
-        if kind in UNITS:
-            kind = "<unit>"
-        elif word and word[0].isupper():
-            if opens:
-                starts.append(len(words))
-            elif not word.isupper():
-                names.add(word)
-                kind = "<name>"
-        words.append(kind)
-        values.append(value.lower())
-        opens = False
-    for i in starts:
-        if values[i] in UNITS:
-            continue
-        if values[i].capitalize() in names:
-            words[i] = "<name>"
-    return words, values
-
-
-class Numbers(dict):
-    """A hash for each template word."""
-
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        self[word] = xxhash.xxh64_intdigest(word.encode(), 42)
-        return self[word]
+class Kinds(dict):
+    """For each token the hash of its small letters, its kind in the lowest three bits."""
 
+    def __missing__(self, token: str) -> int:
+        import xxhash
 
-def window_hashes(words: list[str], length: int, numbers: Numbers) -> tuple[np.ndarray, np.ndarray]:
+        small = token.lower()
+        if token in MARKS:
+            kind = MARK
+        elif token[0].isdigit():
+            kind = NUMBER
+        elif small in UNITS:
+            kind = UNIT
+        else:
+            kind = CAPITALISED if token[0].isupper() and not (token.isupper() and len(token) > 1) else PLAIN_WORD
+        if len(self) >= MOST_KNOWN:
+            self.clear()
+        self[token] = made = xxhash.xxh64_intdigest(small.encode(), 42) & ~7 | kind
+        return made
+
+
+class Template:
+    """The words of a text without marks: `tokens`, `slots` (0 for a plain word, else a number of
+    SLOTS from 1) and `hashes` of the template words."""
+
+    def __init__(self, text: str, kinds: Kinds):
+        found = TOKEN.findall(text)
+        coded = np.fromiter(map(kinds.__getitem__, found), np.uint64, len(found))
+        kind = (coded & KIND_BITS).astype(np.int8)
+        word = np.flatnonzero(kind != MARK)
+        opens = np.ones(len(found), bool)
+        opens[1:] = kind[:-1] == MARK
+        self.tokens = [found[i] for i in word] if len(word) < len(found) else found
+        kind, opens = kind[word], opens[word]
+        slots = np.zeros(len(word), np.int8)
+        slots[kind == NUMBER], slots[kind == UNIT] = 1, 2
+        inside = np.flatnonzero((kind == CAPITALISED) & ~opens)
+        if inside.size:
+            slots[inside] = 3
+            names = {self.tokens[i] for i in inside}
+            for i in np.flatnonzero((kind == CAPITALISED) & opens):
+                if self.tokens[i] in names:
+                    slots[i] = 3
+        self.slots = slots
+        self.hashes = np.where(slots > 0, slots.astype(np.uint64), coded[word] & ~KIND_BITS)
+
+    def __len__(self) -> int:
+        return len(self.tokens)
+
+    def values(self, at: int, n: int) -> list[str]:
+        return [t.lower() for t in self.tokens[at : at + n]]
+
+    def words(self, at: int, n: int) -> list[str]:
+        return [SLOTS[s - 1] if s else t.lower() for t, s in zip(self.tokens[at : at + n], self.slots[at : at + n])]
+
+
+def window_hashes(template: Template, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the windows of a length, and whether each has enough plain words."""
-    n = len(words) - length + 1
+    n = len(template) - length + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, bool)
-    single = np.fromiter(map(numbers.__getitem__, words), np.uint64, len(words))
     out = np.full(n, length, np.uint64)
     for k in range(length):
-        out = (out + single[k : k + n]) * BASE
+        out = (out + template.hashes[k : k + n]) * BASE
         out ^= out >> np.uint64(29)
     out *= FACTOR
-    plain = np.cumsum([0, *(w not in SLOTS for w in words)])
+    plain = np.append(0, np.cumsum(template.slots == 0))
     return (out ^ (out >> np.uint64(32))).view(np.int64), plain[length:] - plain[:-length] >= min(PLAIN, (length + 1) // 2)
 
 
@@ -116,23 +136,23 @@ def windows(rows: DataFrame, lengths: list[int] | None, seen: np.ndarray | None)
         import xxhash
 
         lengths, seen = held.value
-        numbers = Numbers()
+        kinds = Kinds()
         schema = pa.schema([*((c, pa.int64()) for c in ("id", "sig")), *((c, pa.int32()) for c in ("at", "length", "n_words")), ("hash", pa.int64()), *((c, pa.list_(pa.string())) for c in ("words", "values"))])
         for batch in batches:
             out = []
             for row_id, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist()):
-                words, values = template(text or "")
-                if len(words) < MIN_WORDS:
+                template = Template(text or "", kinds)
+                if len(template) < MIN_WORDS:
                     continue
                 sig = None
-                for length in lengths if lengths is not None else [min(WINDOW, len(words))]:
-                    hashes, good = window_hashes(words, length, numbers)
+                for length in lengths if lengths is not None else [min(WINDOW, len(template))]:
+                    hashes, good = window_hashes(template, length)
                     if seen is not None:
                         bit = hashes.view(np.uint64) % np.uint64(BITS)
                         good &= (seen[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
                     for at in np.flatnonzero(good):
                         sig = xxhash.xxh64_intdigest(text.encode(), 42) >> 1 if sig is None else sig
-                        out.append((row_id, sig, at, length, len(words), hashes[at], words[at : at + length], values[at : at + length]))
+                        out.append((row_id, sig, at, length, len(template), hashes[at], template.words(at, length), template.values(at, length)))
             columns = list(zip(*out)) or [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
