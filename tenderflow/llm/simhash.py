@@ -171,8 +171,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     prints = materialise(fingerprints(docs, shingle))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     roots = components(links(distinct.select(F.lit(0).alias("k"), "fp"), radius).select("a", "b"))
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    named = materialise(rooted).withColumn("component_id", F.min("rep").over(Window.partitionBy("root")))
+    rooted = materialise(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root")
     return prints.join(named.select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
