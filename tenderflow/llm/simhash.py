@@ -19,6 +19,7 @@ another; an empty table gives an empty result; columns other than doc_id and tex
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +37,18 @@ SEED = 42
 BUCKET = 4096
 BLOCK = 1 << 15
 #: Near copies: families of word-set fingerprints, bits that the tables of each cover, differing
-#: bits of a candidate over all families, words in a shingle and the least similarity.
+#: bits of a candidate over all families, words in a shingle and the least similarity. The first
+#: three only set how much the exact search has left to do.
 FAMILIES = 8
 COPY_BITS = 52
 COPY_REACH = 100
 COPY_SHINGLE = 5
 SIMILARITY = 0.8
+#: Exact candidates: one text in SAMPLE is counted for how common shingles are, of which COMMON are
+#: held; pairs of a shingle are met in parts of PART rows.
+SAMPLE = 8
+COMMON = 1 << 18
+PART = 1024
 STRIDE = 0x9E3779B97F4A7C15
 FACTOR = np.uint64(0xD6E8FEB86659FD93)
 
@@ -267,16 +274,83 @@ def candidate_links(prints: DataFrame, families: int, bucket: int = BUCKET, bits
     return sets.select("members").mapInArrow(run, "a long, b long").distinct()
 
 
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """Sorted hashes of the distinct word shingles that `similar` compares."""
+    import xxhash
+
+    words = text.encode().lower().split()
+    parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), np.uint64))
+
+
+def prefix_rows(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """part, node, size, place: each text's rarest shingles, as many as make sure that two texts of
+    the least similarity share one; size is the text's number of shingles.
+
+    Any one order of all shingles would do. Shingles that are common in a sample come last, so what
+    many texts have in common brings few of them together.
+    """
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch["text"].to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(text, shingle).view(np.int64))], ["part"])
+
+    sample = texts.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(every, "part long")
+    seen = sample.groupBy("part").count().filter("count > 1").orderBy(F.desc("count"), "part").limit(COMMON).toPandas()
+    common, often = seen["part"].to_numpy(np.int64).view(np.uint64), seen["count"].to_numpy(np.int64)
+    order = np.argsort(common)
+    held = texts.sparkSession.sparkContext.broadcast((common[order], often[order]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, often = held.value
+        for batch in batches:
+            parts, sizes, counts = [np.zeros(0, np.uint64)], [], []
+            for text in batch["text"].to_pylist():
+                hashes = shingle_hashes(text, shingle)
+                if common.size:
+                    at = np.minimum(np.searchsorted(common, hashes), common.size - 1)
+                    hashes = hashes[np.argsort(np.where(common[at] == hashes, often[at], 0), kind="stable")]
+                sizes.append(len(hashes))
+                counts.append(len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1)
+                parts.append(hashes[: counts[-1]])
+            nodes, sizes = (np.repeat(np.array(x, np.int64), counts) for x in (batch["node"].to_numpy(), sizes))
+            places = np.concatenate([np.zeros(0, np.int64), *map(np.arange, counts)])
+            columns = [pa.array(np.concatenate(parts).view(np.int64)), pa.array(nodes), pa.array(sizes.astype(np.int32)), pa.array(places.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "node", "size", "place"])
+
+    return texts.select("node", "text").mapInArrow(run, "part long, node long, size int, place int")
+
+
+def exact_pairs(texts: DataFrame, roots: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Pairs a > b of different roots, with these, that hold all pairs of the least similarity.
+
+    A pair is met at a shingle of both prefixes if the sizes and what can follow the shingle allow
+    the similarity; for the first one that a similar pair shares they do. Shingles of many texts
+    are dealt out: one side's rows to parts, the other side's to all of them.
+    """
+    rows = prefix_rows(texts, shingle, similarity)
+    many = materialise(rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("part"))).filter("n > 1"))
+    rooted = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = rooted.groupBy("part").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("part")
+    rooted = materialise(rooted.join(apart, "part", "left_semi").withColumn("deals", F.ceil(F.col("n") / PART).cast("int")))
+    left = rooted.select("part", F.pmod(F.xxhash64("node"), "deals").cast("int").alias("deal"), *(F.col(c).alias(f"{c}_a") for c in ("node", "size", "place", "root")))
+    right = rooted.select("part", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), *(F.col(c).alias(f"{c}_b") for c in ("node", "size", "place", "root")))
+    sized = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-6
+    follow = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    enough = follow >= similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-6
+    met = left.join(right, ["part", "deal"]).filter((F.col("node_a") > F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & sized & enough)
+    return met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "root_a", "root_b").agg(F.count(F.lit(1)).alias("shared"))
+
+
 def near_copies(docs: DataFrame, families: int = FAMILIES, shingle: int = COPY_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, text_hash and leader of the documents that another one stands for.
 
-    Equal texts: the least id stays. Among the rest, candidates are what several families of
-    fingerprints of word sets bring into a bucket. Texts at 0.8 differ in up to a sixth of the
-    bits, more than a covering radius can be; so shorter covering keys are used, on COPY_BITS
-    bits. A pair with words replaced meets almost surely, one with words added, which moves the
-    most bits, with a chance of about 0.7 at 0.8 and 0.9 at 0.85. The
-    links of the buckets' spanning trees are checked on the texts themselves; those that hold
-    join near copies to groups, in which the least id leads and all others go.
+    Equal texts: the least id stays. The rest are joined to groups by all pairs of the least
+    similarity; in a group the least id leads and all others go. Fingerprints of word sets join
+    most of a group cheaply: the links of the buckets' spanning trees, checked on the texts. They
+    find no pair for sure, so `exact_pairs` then gives every pair that is left between groups:
+    first the likeliest of two groups is checked, then all whose groups are still apart.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     read = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
@@ -291,16 +365,31 @@ def near_copies(docs: DataFrame, families: int = FAMILIES, shingle: int = COPY_S
     firsts = equal.filter("doc_id = first").select("doc_id", "text_hash")
     printed = read.mapInArrow(run, "doc_id long, text_hash long, fps array<long>")
     prints = materialise(printed.join(firsts, ["doc_id", "text_hash"], "left_semi").select(F.col("doc_id").alias("node"), "fps").dropDuplicates(["node"]))
-    links = materialise(candidate_links(prints, families))
-    nodes = links.select(F.col("a").alias("doc_id")).union(links.select("b")).distinct().join(firsts, "doc_id")
-    texts = materialise(read.join(nodes, ["doc_id", "text_hash"], "left_semi").select("doc_id", "text").distinct())
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similar(x, y, shingle, similarity) for x, y in zip(a, b)])
 
-    both = links.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    roots = components(both.filter(alike("text_a", "text_b")).select("a", "b").distinct())
+    def checked(links: DataFrame) -> DataFrame:
+        nodes = links.select(F.col("a").alias("doc_id")).union(links.select("b")).distinct().join(firsts, "doc_id")
+        texts = materialise(read.join(nodes, ["doc_id", "text_hash"], "left_semi").select("doc_id", "text").distinct())
+        both = links.select("a", "b").join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+        held = materialise(both.filter(alike("text_a", "text_b")).select("a", "b").distinct())
+        discard(texts)
+        return held
+
+    def grown(roots: DataFrame, links: DataFrame) -> DataFrame:
+        return components(roots.filter("node > root").toDF("a", "b").union(links).distinct())
+
+    roots = components(checked(materialise(candidate_links(prints, families))))
+    whole = read.join(firsts, ["doc_id", "text_hash"], "left_semi").select(F.col("doc_id").alias("node"), "text")
+    pairs = materialise(exact_pairs(whole, roots, shingle, similarity))
+    likely = pairs.groupBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).agg(F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("pair"))
+    roots = grown(roots, checked(materialise(likely.select("pair.*"))))
+    of = lambda side: roots.toDF(side, f"new_{side}")
+    rest = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("new_a", "root_a") != F.coalesce("new_b", "root_b"))
+    tried = likely.select("pair.*")
+    roots = grown(roots, checked(materialise(rest.select("a", "b").join(tried, ["a", "b"], "left_anti"))))
     led = equal.join(roots, equal["first"] == roots["node"], "left").select("doc_id", "text_hash", F.coalesce("root", "first").alias("leader"))
     return led.filter("doc_id <> leader")
 

@@ -412,6 +412,46 @@ def test_near_copies(spark, none, odd):
     assert simhash.drop_near_copies(odd).filter("doc_id is null").count() == 2
 
 
+def brute_leaders(texts):
+    """Least index of each text's group; groups are joined by all pairs of five-word shingles at 0.8."""
+    lead = list(range(len(texts)))
+    for i, x in enumerate(texts):
+        for j in range(i):
+            if lead[i] != lead[j] and simhash.similar(x, texts[j], 5, 0.8):
+                lead = [min(lead[i], lead[j]) if k in (lead[i], lead[j]) else k for k in lead]
+    return lead
+
+
+def edited(rng, text, how, least):
+    """The text with words added, removed or replaced, edit by edit, as long as `least` holds."""
+    words = text.split()
+    while True:
+        more = list(words)
+        i = rng.randrange(len(more))
+        more[i : i + (how != "added")] = [] if how == "removed" else [f"new{rng.randrange(10**9)}"]
+        if not simhash.similar(text, " ".join(more), 5, least):
+            return " ".join(words)
+        words = more
+
+
+def test_near_copies_at_the_least_similarity(spark):
+    rng = random.Random(21)
+    texts = []
+    for how in ("added", "removed", "replaced", "block added"):
+        for least in (0.8, 0.82, 0.85):
+            for _ in range(8):
+                base = prose(rng, 200, 4000)
+                other = base + " " + " ".join(f"new{rng.randrange(10**9)}" for _ in range(int(196 / least) - 196)) if how == "block added" else edited(rng, base, how, least)
+                texts += [base, other]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    want = brute_leaders(texts)
+    got = {r.doc_id: r.leader for r in simhash.near_copies(docs).collect()}
+    assert got == {i: k for i, k in enumerate(want) if i != k}
+    assert len(got) >= 90
+    one = {r.doc_id: r.leader for r in simhash.near_copies(docs, families=1).collect()}
+    assert one == got
+
+
 def test_pipeline(spark, tmp_path, rows):
     import corpus_pipeline
 
