@@ -452,6 +452,16 @@ def test_near_copies_at_the_least_similarity(spark):
     assert one == got
 
 
+def test_near_copies_beside_reordered_text(spark):
+    rng = random.Random(22)
+    text = prose(rng, 200, 4000)
+    mixed = text.split()
+    rng.shuffle(mixed)
+    texts = [" ".join(mixed), text, text + " new1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    assert {r.doc_id: r.leader for r in simhash.near_copies(docs).collect()} == {2: 1}
+
+
 def test_pipeline(spark, tmp_path, rows):
     import corpus_pipeline
 
