@@ -235,7 +235,9 @@ def candidate_links(prints: DataFrame, families: int, bucket: int = BUCKET, bits
     """Links a > b between nodes that share a bucket: a spanning tree of each bucket.
 
     prints has node and fps, a fingerprint per family. Buckets hold nodes only, and equal ones of
-    several tables count once; then the fingerprints are joined to them again.
+    several tables count once; then the fingerprints are joined to them again. A bucket that the
+    finer split leaves over `bucket` is dealt out in parts, each with the bucket's least node, so
+    no row holds more than about `bucket` nodes; `exact_pairs` finds what that parts.
     """
     every = list(range(bits))
     masks = covering_masks(RADIUS, every)
@@ -255,7 +257,12 @@ def candidate_links(prints: DataFrame, families: int, bucket: int = BUCKET, bits
     if not large.isEmpty():
         again = large.join(prints, "node").select("k", "t0", "node", F.get("fps", F.col("k")).alias("fp"))
         second = kept_in(again, F.get(F.array(*map(literal, finer)), F.col("t0")), "k", "t0")
-        met = materialise(met.union(gathered(second, "k", "t0")).distinct())
+        keys, one = ["k", "t0", "t", "kept"], F.lit(1)
+        dealt = second.withColumn("deals", F.ceil(F.col("n") / bucket).cast("int")).withColumn("least", F.min("node").over(Window.partitionBy(*keys)))
+        leads = dealt.filter("node = least").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - one)))
+        others = dealt.filter("node > least").withColumn("deal", F.pmod(F.xxhash64("node"), "deals").cast("int"))
+        parts = leads.select(*keys, "deal", "node").union(others.select(*keys, "deal", "node"))
+        met = materialise(met.union(gathered(parts, "k", "t0", "deal").filter("size(nodes) > 1")).distinct())
     known = prints.select("node", "fps")
     rows = met.select(F.xxhash64("nodes").alias("bucket"), F.explode("nodes").alias("node")).distinct().join(known, "node")
     sets = rows.groupBy("bucket").agg(F.collect_list(F.struct("node", "fps")).alias("members"))

@@ -462,6 +462,21 @@ def test_near_copies_beside_reordered_text(spark):
     assert {r.doc_id: r.leader for r in simhash.near_copies(docs).collect()} == {2: 1}
 
 
+def test_oversized_buckets_are_dealt_out(spark, monkeypatch):
+    sizes = spark.sparkContext.accumulator(0)
+    links = simhash.spanning_links
+
+    def counted(nodes, prints, reach):
+        sizes.add(int(len(nodes) > 24))
+        return links(nodes, prints, reach)
+
+    monkeypatch.setattr(simhash, "spanning_links", counted)
+    prints = spark.createDataFrame([(i, [5, 9]) for i in range(100)], "node long, fps array<long>")
+    found = simhash.candidate_links(prints, 2, bucket=10)
+    assert {r.root for r in simhash.components(found).collect()} == {0}
+    assert sizes.value == 0
+
+
 def test_pipeline(spark, tmp_path, rows):
     import corpus_pipeline
 
