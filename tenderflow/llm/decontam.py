@@ -3,10 +3,13 @@
 Words become templates: numbers are <num>, units of measure <unit>, names <name>, other words
 their small letters. A name is a capitalised word inside a sentence, or one that starts a
 sentence and is capitalised inside another. So a benchmark question and one with other numbers
-and names have the same template. Windows of WINDOW template words are hashed; windows of
+and names have the same template. As what opens a sentence, and what is a name, depends on the
+text around a passage, a text has several readings: with such sentence-opening names as <name>,
+with all opening words as plain words, an item also with all of them as <name>, and the words as
+they stand, without slots. Windows of WINDOW words of each reading are hashed; windows of
 documents and benchmark meet in a hash join. Hits of a document and an item on one diagonal make
-a run; its slots, the values behind the placeholders, must agree: equal benchmark values stand
-for equal values in the document, and the reverse. A run counts if
+a run, whatever the readings; its slots, the values behind the placeholders, must agree: equal
+benchmark values stand for equal values in the document, and the reverse. A run counts if
 
 * it covers RUN words of the item (all of a shorter item) and its slots agree, or
 * it covers as many plain words, slots aside.
@@ -17,7 +20,7 @@ the join; its benchmark side has few rows a key, and Spark splits skewed partiti
 
 Edge cases: a null or empty text has no words; items under MIN_WORDS words cannot be told from
 chance and are ignored, items under WINDOW words are one window; windows with under PLAIN plain
-words (or under half of a short item's) are not used; rows that share an id are judged each by its
+words (or under half of a short item's) are used only with their words as they stand; rows that share an id are judged each by its
 own text and reported under the id; repeated rows are reported once; empty tables give an empty
 result; columns other than doc_id, item_id and text are ignored, and `keep_clean` keeps them.
 """
@@ -76,10 +79,10 @@ class Kinds(dict):
 
 
 class Template:
-    """The words of a text without marks: `tokens`, `slots` (0 for a plain word, else a number of
-    SLOTS from 1) and `hashes` of the template words."""
+    """The words of a text without marks: `tokens`, and for each of the `readings` the slots (0
+    for a plain word, else a number of SLOTS from 1). The last reading has no slots."""
 
-    def __init__(self, text: str, kinds: Kinds):
+    def __init__(self, text: str, kinds: Kinds, item: bool):
         found = TOKEN.findall(text)
         coded = np.fromiter(map(kinds.__getitem__, found), np.uint64, len(found))
         kind = (coded & KIND_BITS).astype(np.int8)
@@ -91,14 +94,17 @@ class Template:
         slots = np.zeros(len(word), np.int8)
         slots[kind == NUMBER], slots[kind == UNIT] = 1, 2
         inside = np.flatnonzero((kind == CAPITALISED) & ~opens)
-        if inside.size:
-            slots[inside] = 3
-            names = {self.tokens[i] for i in inside}
-            for i in np.flatnonzero((kind == CAPITALISED) & opens):
-                if self.tokens[i] in names:
-                    slots[i] = 3
-        self.slots = slots
-        self.hashes = np.where(slots > 0, slots.astype(np.uint64), coded[word] & ~KIND_BITS)
+        slots[inside] = 3
+        self.readings = [slots]
+        first = np.flatnonzero((kind == CAPITALISED) & opens)
+        names = {self.tokens[i] for i in inside}
+        for some in ([i for i in first if self.tokens[i] in names], list(first) if item else []):
+            if some:
+                named = slots.copy()
+                named[some] = 3
+                self.readings.append(named)
+        self.readings.append(np.zeros(len(word), np.int8))
+        self.coded = coded[word] & ~KIND_BITS
 
     def __len__(self) -> int:
         return len(self.tokens)
@@ -106,22 +112,31 @@ class Template:
     def values(self, at: int, n: int) -> list[str]:
         return [t.lower() for t in self.tokens[at : at + n]]
 
-    def words(self, at: int, n: int) -> list[str]:
-        return [SLOTS[s - 1] if s else t.lower() for t, s in zip(self.tokens[at : at + n], self.slots[at : at + n])]
+    def words(self, slots: np.ndarray, at: int, n: int) -> list[str]:
+        return [SLOTS[s - 1] if s else t.lower() for t, s in zip(self.tokens[at : at + n], slots[at : at + n])]
 
 
-def window_hashes(template: Template, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows of a length, and whether each has enough plain words."""
+def window_hashes(template: Template, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each reading its slots, the hashes of the windows of a length, and whether each counts:
+    it has enough plain words or is read as it stands, and no reading before gives the same."""
     n = len(template) - length + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
-    out = np.full(n, length, np.uint64)
-    for k in range(length):
-        out = (out + template.hashes[k : k + n]) * BASE
-        out ^= out >> np.uint64(29)
-    out *= FACTOR
-    plain = np.append(0, np.cumsum(template.slots == 0))
-    return (out ^ (out >> np.uint64(32))).view(np.int64), plain[length:] - plain[:-length] >= min(PLAIN, (length + 1) // 2)
+        return
+    done = []
+    for slots in template.readings:
+        hashes = np.where(slots > 0, slots.astype(np.uint64), template.coded)
+        out = np.full(n, length, np.uint64)
+        for k in range(length):
+            out = (out + hashes[k : k + n]) * BASE
+            out ^= out >> np.uint64(29)
+        out *= FACTOR
+        made = (out ^ (out >> np.uint64(32))).view(np.int64)
+        plain = np.append(0, np.cumsum(slots == 0))
+        good = plain[length:] - plain[:-length] >= min(PLAIN, (length + 1) // 2)
+        for other, taken in done:
+            good &= ~(taken & (other == made))
+        done.append((made, good.copy()))
+        yield slots, made, good
 
 
 WINDOW_FIELDS = "id long, sig long, at int, length int, n_words int, hash long, words array<string>, values array<string>"
@@ -141,18 +156,18 @@ def windows(rows: DataFrame, lengths: list[int] | None, seen: np.ndarray | None)
         for batch in batches:
             out = []
             for row_id, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist()):
-                template = Template(text or "", kinds)
+                template = Template(text or "", kinds, lengths is None)
                 if len(template) < MIN_WORDS:
                     continue
                 sig = None
                 for length in lengths if lengths is not None else [min(WINDOW, len(template))]:
-                    hashes, good = window_hashes(template, length)
-                    if seen is not None:
-                        bit = hashes.view(np.uint64) % np.uint64(BITS)
-                        good &= (seen[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                    for at in np.flatnonzero(good):
-                        sig = xxhash.xxh64_intdigest(text.encode(), 42) >> 1 if sig is None else sig
-                        out.append((row_id, sig, at, length, len(template), hashes[at], template.words(at, length), template.values(at, length)))
+                    for slots, hashes, good in window_hashes(template, length):
+                        if seen is not None:
+                            bit = hashes.view(np.uint64) % np.uint64(BITS)
+                            good &= (seen[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                        for at in np.flatnonzero(good):
+                            sig = xxhash.xxh64_intdigest(text.encode(), 42) >> 1 if sig is None else sig
+                            out.append((row_id, sig, at, length, len(template), hashes[at], template.words(slots, at, length), template.values(at, length)))
             columns = list(zip(*out)) or [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 

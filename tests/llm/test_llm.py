@@ -292,6 +292,26 @@ def test_decontamination_slots_must_agree(spark):
     assert got == {0: "reparameterised"}
 
 
+def test_decontamination_whatever_stands_around(spark):
+    items = [
+        (1, "What is the boiling point of water at sea level?"),
+        (2, "The old mill stands by 3 rivers and grinds corn for 40 farms every second autumn"),
+        (3, "7 8 9 10 11 12 Anna Omar 13 14 15"),
+        (4, "Which of these 5 lakes is the deepest one of all?"),
+    ]
+    texts = [
+        "Q: " + items[0][1] + " A: 100",
+        "He said, The end. " + items[1][1] + ".",
+        "so it says 7 8 9 10 11 12 Anna Omar 13 14 15 here",
+        "Q: Which of these 6 lakes is the deepest one of all?",
+        "He said, The end. " + items[1][1].replace("3", "5").replace("40", "70") + ".",
+        "Q: What is the freezing point of water at high level?",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = {(r.doc_id, r.item_id): r.kind for r in decontam.matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(0, 1): "exact", (1, 2): "exact", (2, 3): "exact", (3, 4): "reparameterised", (4, 2): "reparameterised"}
+
+
 def test_licences(spark, none, odd):
     mit = licenses.SENTENCES["M03"].replace(" the software to", ' (the "Software"), to').capitalize() + ":\n\n" + licenses.SENTENCES["M04"].capitalize() + "."
     wrapped = "Licensed under the Apache License,\nVersion 2.0."
