@@ -9,16 +9,20 @@ opens as few sequences as its tokens need, so at most one sequence a block is lo
 A block is a run of rows of one input partition, up to BLOCK_TOKENS tokens. So there is no
 shuffle, memory is bounded, and a lost task is repeated from its input alone.
 
-Token ids come from the byte-level BPE vocabulary `byte_bpe_50k` through its rank file, which
-gives the ids of the JSON file of that name and is about five times as fast; the tests compare both.
+Token ids are those of `byte_bpe_50k.json` with the `tokenizers` defaults, so a special token's
+string in a text is that token. The rank file of the same vocabulary gives the same ids about five
+times as fast and serves all texts but those with a run of LONG_RUN white-space characters, on
+which its matcher's stack could overflow; these go through the JSON file. The tests compare both.
 
-Edge cases: a null or empty text has the end token only; repeated rows are packed as documents of
+Edge cases: a null or empty text has the end token only; very long texts are encoded whole; repeated rows are packed as documents of
 their own; an empty table gives an empty result; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,23 +37,39 @@ CAPACITY = 2048
 END_ID = 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 BLOCK_TOKENS = 4_000_000
-VOCABULARY = "byte_bpe_50k.tiktoken"
+VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+LONG_RUN = re.compile(r"(?<!\s)\s{10000}")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padded_to long"
 
 
-def load_encoder(ranks_path: str, pattern: str):
+def load_encoder(vocabulary_path: str, ranks_path: str, pattern: str):
+    """text -> ids of the vocabulary's JSON file."""
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    with open(vocabulary_path, encoding="utf-8") as f:
+        special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+    whole = []
+
+    def encode(text: str) -> list[int]:
+        if not LONG_RUN.search(text):
+            return fast.encode(text, allowed_special="all")
+        if not whole:
+            from tokenizers import Tokenizer
+
+            whole.append(Tokenizer.from_file(vocabulary_path))
+        return whole[0].encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 def public_encoder():
     """The encoder of the public vocabulary, read on the machine that calls this."""
     import public_tokenizers as public
 
-    return load_encoder(public.path(VOCABULARY), public.PATTERN)
+    return load_encoder(public.path(VOCABULARY), public.path(RANKS), public.PATTERN)
 
 
 def cost(length, linear: float = LINEAR, quadratic: float = QUADRATIC):

@@ -53,7 +53,6 @@ def test_packing(docs, rows, none, odd):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
     ids = {d: [*plain.encode(t or "", add_special_tokens=False).ids, 1] for d, t in rows}
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in packing.pack_documents(docs).collect():
@@ -74,6 +73,23 @@ def test_packing(docs, rows, none, odd):
     assert packing.pack_documents(odd).groupBy("doc_id").sum("length").count() == len(rows) + 1
 
 
+def test_packing_of_special_strings_and_long_white_space(spark):
+    import public_tokenizers as public
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    mixed = "".join(random.Random(1).choice(" \n\t\u00a0") for _ in range(30_000))
+    texts = ["hello <|endoftext|> world", "<|endoftext|><|endoftext|>", " \n<|endoftext|> \n", "a" + " " * 1_000_000 + "b", "\n" * 1_000_000, f"x{mixed}y", "ab" * 100_000, " " * 9_999 + "c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    pieces = defaultdict(list)
+    for r in packing.pack_documents(docs).collect():
+        pieces[r.doc_id].append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+    for d, text in enumerate(texts):
+        ids = np.array([*plain.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        assert sum(n for _, n, *_ in pieces[d]) == len(ids)
+        assert all(c == zlib.crc32(ids[s : s + n].tobytes()) and total == len(ids) for s, n, c, total in pieces[d])
+
+
 def test_packing_balances_cost():
     rng = random.Random(3)
     lengths = [rng.randrange(1, 2048) for _ in range(500)]
