@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Only used where the session names no spark.checkpoint.dir, as in local tests.
@@ -46,3 +48,28 @@ def discard(df: DataFrame) -> None:
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+ID_BITS = 1 << 24
+
+
+def id_bitmap(rows: DataFrame, key: str) -> np.ndarray:
+    """ID_BITS bits of hashed keys. They are gathered to words in Spark, so at most ID_BITS / 32
+    rows reach the driver, however many keys there are."""
+    bit = F.pmod(F.xxhash64(key), F.lit(ID_BITS))
+    words = rows.select(bit.alias("bit")).groupBy(F.expr("cast(bit div 32 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("bits")).toPandas()
+    out = np.zeros(ID_BITS // 32, "<u4")
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint64).astype("<u4")
+    return out.view(np.uint8)
+
+
+def in_bitmap(spark: SparkSession, key: str, bitmap: np.ndarray) -> Column:
+    """Whether the bitmap may hold the key; false for a null key. A full bitmap lets all through."""
+    held = spark.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def found(bits: pd.Series) -> pd.Series:
+        bit = bits.to_numpy(np.int64)
+        return pd.Series((held.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0)
+
+    return F.col(key).isNotNull() & found(F.pmod(F.xxhash64(key), F.lit(ID_BITS)))

@@ -151,12 +151,54 @@ def brute_dedup(rows):
     return out
 
 
-@pytest.mark.parametrize("bucket", [20_000, 1])
+@pytest.mark.parametrize("bucket", [1000, 1])
 def test_substring_dedup(docs, rows, bucket):
     got = {r.doc_id: bytes(r.kept) for r in substring_dedup.dedup(docs, bucket).collect()}
     assert got == brute_dedup(rows)
 
 
+@pytest.mark.parametrize("bucket", [1000, 3])
+def test_substring_dedup_of_a_common_passage(spark, bucket, monkeypatch):
+    """One passage in each text, alone, in front of others and in a line of all: a hot q-gram."""
+    rng = random.Random(13)
+    passage, line = prose(rng, 25), "-" * 60
+    texts = [f"{prose(rng, rng.randrange(20))} {passage} {prose(rng, rng.randrange(20))}\n{line}\n{prose(rng, 9)}" for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(4)
+    want = brute_dedup(list(enumerate(texts)))
+    monkeypatch.setattr(substring_dedup, "COMMON", 2)
+    monkeypatch.setattr(substring_dedup, "SAMPLE", 1)
+    read = docs.selectExpr("doc_id", "0 sig", "cast(text as binary) data")
+    assert len(substring_dedup.common_grams(read)) > 0
+    assert {r.doc_id: bytes(r.kept) for r in substring_dedup.dedup(docs, bucket).collect()} == want
+    none_known = np.zeros(0, np.uint64)
+    assert {r.doc_id: bytes(r.kept) for r in substring_dedup.dedup(docs, bucket, none_known).collect()} == want
+
+
+def test_substring_dedup_of_texts_that_share_an_id(spark):
+    rng = random.Random(14)
+    one, two, clean = prose(rng, 80), prose(rng, 80), prose(rng, 80)
+    rows = [(1, one), (2, one + " " + clean), (2, two), (None, one), (3, two)]
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in substring_dedup.dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    want = {(1, one): 0, (2, one + " " + clean): len(one), (2, two): 0, (None, one): 0, (3, two): len(two)}
+    assert {k for k, n in got.items() if n} == {(2, len(one) + 1 + len(clean)), (3, len(two))}
+    assert all(abs(n - got[d, len(t)]) <= 2 for (d, t), n in want.items())
+
+
+def test_refined_windows():
+    rng = random.Random(15)
+    for _ in range(30):
+        data = bytes(rng.choice(b"ab") for _ in range(60)) * 4 + bytes(rng.choice(b"abc") for _ in range(400)) + b"x" * 150
+        starts = np.array(sorted(rng.sample(range(len(data) - 99), 300)))
+        found, number = substring_dedup.repeated_windows(np.frombuffer(data, np.uint8), starts)
+        same = defaultdict(list)
+        for i, s in enumerate(starts):
+            same[data[s : s + 100]].append(i)
+        got = defaultdict(list)
+        for i, k in zip(found, number):
+            got[k].append(int(i))
+        assert sorted(map(sorted, got.values())) == sorted(v for v in same.values() if len(v) > 1)
+
+
 def test_substring_dedup_edges(none, odd, rows, monkeypatch):
     assert substring_dedup.dedup(none).count() == 0
     got = substring_dedup.dedup(odd).collect()
