@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Punctuation folded for comparison, zero-width characters, placeholder values.
+# Punctuation folded for comparison, zero-width characters, placeholder values, ends of sentences, labels inside values.
 WIDE, NARROW = "，：；（）［］　", ",:;()[] "
 INVISIBLE = r"(?U)[\s​‌‍﻿]+"
 PLACEHOLDERS = ("无", "暂无", "略", "详见", "见附件", "见招标公告", "见投标人须知前附表", "见前附表", "详见附件", "详见下表", "详见第五章", "/", "—", "-", "无要求")
 SENTENCE_END = r"[。；;\n]"
+SUB_LABELS = "名称|项目名称|工程名称|金额|大写"
 
 
 def compare_form(v: Column) -> Column:
@@ -43,8 +44,9 @@ def number_text(v: Column) -> Column:
 
 
 def strip_sub_label(v: Column) -> Column:
-    """SF-10: without a leading short label and outer brackets."""
-    return F.regexp_replace(F.trim(F.regexp_replace(v, "^[^：:（(]{1,8}[：:]", "")), "^[（(]|[）)]$", "")
+    """SF-10: without a leading sub-label and outer brackets."""
+    bare = F.regexp_replace(F.trim(v), f"^(?:{SUB_LABELS})\\s*[：:]\\s*", "")
+    return F.trim(F.regexp_replace(bare, "^[（()）]+|[（()）]+$", ""))
 
 
 def sentences(v: Column) -> Column:

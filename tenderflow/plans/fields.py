@@ -72,47 +72,135 @@ def tender_texts(spark, sf_dir):
     return read(spark, sf_dir, "orders").select(o.alias("doc_id"), F.explode(rows).alias("b")).select("doc_id", "b.*").filter("text is not null")
 
 
+def tender_cells(spark, sf_dir):
+    """A table of label cells for a quarter of the orders: a limit a yuan higher, and weights."""
+    cell = lambda r, c, t: F.struct(F.lit(r).alias("row"), F.lit(c).alias("col"), t.alias("text"))
+    limit = F.concat((F.floor("o_totalprice") + 1), F.lit("元"))
+    cells = F.array(cell(0, 0, F.lit("最高投标限价：")), cell(0, 1, F.lit("—")), cell(0, 2, limit), cell(1, 0, F.lit("权重设置 30:20:50")), cell(1, 1, F.lit("1:1:1")))
+    rows = read(spark, sf_dir, "orders").filter("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("doc_id"), F.explode(cells).alias("c"))
+    return rows.select("doc_id", F.lit(9).alias("ord"), F.lit("t").alias("table_id"), "c.*")
+
+
 def candidates(spark, sf_dir):
-    """Candidates of full texts, of zones (the first block) and of a table with another limit."""
-    blocks = tender_texts(spark, sf_dir)
+    """Candidates of full texts, of zones (the first block), of tables and of a title in a seventh of the orders."""
+    blocks = tender_texts(spark, sf_dir).withColumn("level", F.lit(0))
+    title = F.lit("第三章 评标办法（综合评估法）")
+    heads = read(spark, sf_dir, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("doc_id"), F.lit(3).alias("ord"), title.alias("text"), F.lit(1).alias("level"))
     near = blocks.filter("ord = 0").select("doc_id", "ord", F.lit("price_limit").alias("field_key"))
-    found = fields.text_candidates(blocks, near).select("doc_id", "ord", "field_key", "kind", "value_raw", "value_normalized", "source", "confidence")
-    table = read(spark, sf_dir, "orders").filter("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("doc_id"), F.lit(9).alias("ord"), F.lit("price_limit").alias("field_key"), F.lit("amount").alias("kind"), F.concat((F.floor("o_totalprice") + 1), F.lit("元")).alias("value_raw"))
-    return found.unionByName(fields.candidate_gate(table).withColumn("source", F.lit("table")).withColumn("confidence", F.lit(fields.BASE["table"])).select(*found.columns))
+    return fields.all_candidates(blocks.unionByName(heads), near, tender_cells(spark, sf_dir))
 
 
 CANDIDATES_SQL = """
 WITH c AS (
-  SELECT o_orderkey AS doc_id, 0 AS ord, 'price_limit' AS field_key, floor(o_totalprice)::BIGINT::VARCHAR AS value_normalized, 'full' AS source, 0.76 AS confidence FROM orders
-  UNION ALL SELECT o_orderkey, 0, 'price_limit', floor(o_totalprice)::BIGINT::VARCHAR, 'zone', 0.88 FROM orders
+  SELECT o_orderkey AS doc_id, 0 AS ord, 'price_limit' AS field_key, floor(o_totalprice)::BIGINT::VARCHAR AS value_normalized, 'full' AS source, 0.73 AS confidence FROM orders
+  UNION ALL SELECT o_orderkey, 0, 'price_limit', floor(o_totalprice)::BIGINT::VARCHAR, 'zone', 0.84 FROM orders
   UNION ALL SELECT o_orderkey, 9, 'price_limit', (floor(o_totalprice) + 1)::BIGINT::VARCHAR, 'table', 0.95 FROM orders WHERE o_orderkey % 4 = 0
+  UNION ALL SELECT o_orderkey, 9, k, v, 'table', 0.95 FROM orders, (VALUES ('technical_weight', '30'), ('commercial_weight', '20'), ('price_weight', '50')) w(k, v) WHERE o_orderkey % 4 = 0
+  UNION ALL SELECT o_orderkey, 3, 'evaluation_method', '综合评估法', 'title', 0.9 FROM orders WHERE o_orderkey % 7 = 0
   UNION ALL SELECT o_orderkey, 0, 'project_name', '工程' || o_orderkey || '号', 'full', 0.74 FROM orders
-  UNION ALL SELECT o_orderkey, 1, 'deadline', strftime(o_orderdate, '%Y-%m-%d'), 'full', 0.74 FROM orders
-  UNION ALL SELECT o_orderkey, 2, 'deposit', floor(o_totalprice / 100)::BIGINT::VARCHAR, 'full', 0.74 FROM orders WHERE o_orderkey % 3 = 0
-  UNION ALL SELECT o_orderkey, 2, 'contact', '张三', 'full', 0.7 FROM orders WHERE o_orderkey % 3 = 0
-  UNION ALL SELECT o_orderkey, 2, 'phone', '13800000000', 'full', 0.7 FROM orders WHERE o_orderkey % 3 = 0
+  UNION ALL SELECT o_orderkey, 1, 'bid_deadline', strftime(o_orderdate, '%Y-%m-%d'), 'full', 0.74 FROM orders
+  UNION ALL SELECT o_orderkey, 2, 'security_deposit', floor(o_totalprice / 100)::BIGINT::VARCHAR, 'full', 0.73 FROM orders WHERE o_orderkey % 3 = 0
+  UNION ALL SELECT o_orderkey, 2, 'contact_phone', '13800000000', 'full', 0.66 FROM orders WHERE o_orderkey % 3 = 0
 )
 """
 
 
 @query(CANDIDATES_SQL + "SELECT doc_id, ord, field_key, value_normalized, source, confidence::DOUBLE AS confidence FROM c")
 def field_candidates(spark, sf_dir):
-    """SO-1, FX-1, FX-3, FX-4, JN-2, TK-3, PF-12 to PF-14."""
+    """SO-1, FX-1, FX-3, FX-4, FX-6, JN-2, TK-3, PF-12 to PF-14, SF-24, SF-25."""
     return candidates(spark, sf_dir).select("doc_id", "ord", "field_key", "value_normalized", "source", "confidence")
 
 
-@query(CANDIDATES_SQL + """SELECT doc_id, field_key, arg_max(value_normalized, confidence) AS value_normalized, arg_max(source, confidence) AS source,
-  max(CASE WHEN field_key IN ('deposit', 'price_limit') AND NOT value_normalized::DOUBLE BETWEEN 1000 AND 1000000000 THEN round(confidence * 0.5, 2) ELSE confidence END)::DOUBLE AS confidence FROM c GROUP BY doc_id, field_key""".replace("max(CASE", "arg_max(CASE").replace("ELSE confidence END)::DOUBLE", "ELSE confidence END, confidence)::DOUBLE"))
+@query(CANDIDATES_SQL + """
+, best AS (SELECT doc_id, field_key, arg_max(value_normalized, confidence) AS value_normalized, arg_max(source, confidence) AS source, max(confidence) AS confidence FROM c GROUP BY doc_id, field_key)
+SELECT doc_id, field_key, value_normalized, source,
+  CASE WHEN field_key = 'security_deposit' AND value_normalized::DOUBLE NOT BETWEEN 1000 AND 1000000000 THEN round(confidence * 0.5, 2) ELSE confidence END::DOUBLE AS confidence FROM best""")
 def field_merge(spark, sf_dir):
-    """TK-1, TK-2, PF-25, FX-5, FX-6, FX-8."""
+    """TK-1, TK-2, PF-25, FX-5, FX-6."""
     return fields.merged(candidates(spark, sf_dir)).select("doc_id", "field_key", "value_normalized", "source", "confidence")
 
 
+@query("""
+WITH x AS (SELECT o_orderkey AS doc_id, k AS field_key, (CASE WHEN o_orderkey % 2 = 0 THEN 20 ELSE 0.5 END) * f * floor(o_totalprice) AS v FROM orders, (VALUES ('price_limit', 10000), ('security_deposit', 0.0001)) t(k, f))
+SELECT doc_id, field_key, floor(v)::BIGINT::VARCHAR AS value_normalized,
+  CASE WHEN field_key = 'security_deposit' AND floor(v) < 1000 THEN 0.4 ELSE 0.8 END::DOUBLE AS confidence FROM x WHERE floor(v) BETWEEN 1 AND 10000000000""")
+def field_ranges(spark, sf_dir):
+    """TK-2, PF-25: limits of billions keep their confidence, small deposits count half, what no amount can be is not chosen."""
+    o = read(spark, sf_dir, "orders")
+    factor = F.when(F.col("o_orderkey") % 2 == 0, 20.0).otherwise(0.5)
+    of = lambda k, f: F.struct(F.lit(k).alias("field_key"), (factor * f * F.floor("o_totalprice")).alias("v"))
+    rows = o.select(F.col("o_orderkey").alias("doc_id"), F.explode(F.array(of("price_limit", 10000.0), of("security_deposit", 0.0001))).alias("x")).select("doc_id", "x.*")
+    text_of = F.floor("v").cast("string")
+    found = rows.select("doc_id", F.lit(0).alias("ord"), "field_key", F.lit("amount").alias("kind"), text_of.alias("value_raw"), text_of.alias("value_normalized"), F.lit("full").alias("source"), F.lit(0.8).alias("confidence"))
+    return fields.merged(found).select("doc_id", "field_key", "value_normalized", "confidence")
+
+
+#: A text for each pack: what stands before and after a value, which of the values it is, and
+#: what is found: the value with what belongs to it, and the confidence of a full text.
+PACK_CASES = (
+    ("project_name", "项目名称：工程", "号", "n", "工程", "号", 0.74), ("tender_no", "招标编号：ZB-", "-A", "n", "ZB-", "-A", 0.74),
+    ("tenderer", "采购人：甲", "单位", "n", "甲", "单位", 0.73), ("agency", "采购代理机构：乙", "事务所", "n", "乙", "事务所", 0.72),
+    ("legal_representative", "法定代表人：张某某", "", "none", "张某某", "", 0.74), ("contact_phone", "联系电话：138", "", "eight", "138", "", 0.74),
+    ("credit_code", "统一社会信用代码：91310245MA", "", "eight", "91310245MA", "", 0.74), ("fund_source", "资金来源：自筹", "", "n", "自筹", "", 0.72),
+    ("site", "建设地点：东城区", "路", "n", "东城区", "路", 0.72), ("price_limit", "招标控制价（¥", "元）", "n", "", "", 0.76),
+    ("budget_amount", "项目预算：", "万元", "n", "", "0000", 0.7), ("security_deposit", "保证金金额：", "元", "n", "", "", 0.69),
+    ("bid_deadline", "开标时间：2026年3月", "日上午", "two", "2026-03-", "", 0.7), ("bid_validity", "投标有效期为", "日历天", "two", "", "天", 0.74),
+    ("duration", "合同工期：", "日历天", "two", "", "天", 0.73), ("quality_standard", "质量标准：合格", "", "n", "合格", "", 0.72),
+    ("performance_bond", "履约保证金（", "元）", "n", "", "", 0.73), ("deposit_refund", "退还保证金：开标后", "日内", "n", "开标后", "日内", 0.69),
+    ("deposit_method", "缴纳方式：电汇", "", "n", "电汇", "", 0.69), ("payment_terms", "付款方式：按月支付", "", "n", "按月支付", "", 0.69),
+    ("objection_clause", "异议处理：书面提出", "", "n", "书面提出", "", 0.69), ("doc_get_way", "招标文件获取方式：平台下载", "", "n", "平台下载", "", 0.69),
+    ("doc_price", "工本费：", "元", "n", "", "", 0.7), ("submission_location", "递交地点：三楼", "室", "n", "三楼", "室", 0.7),
+    ("warranty_period", "质保期：", "天", "two", "", "天", 0.7), ("acceptance_requirements", "验收标准：国标", "", "n", "国标", "", 0.69),
+    ("evaluation_method", "评审办法：综合评估法", "", "n", "综合评估法", "", 0.72), ("evaluation_committee", "评标委员会组成：专家", "人", "n", "专家", "人", 0.69),
+    ("technical_weight", "技术部分", "分", "two", "", "", 0.7), ("commercial_weight", "商务部分", "分", "two", "", "", 0.7), ("price_weight", "报价部分", "分", "two", "", "", 0.7),
+)
+PACK_VALUES = ", ".join(f"({i}, '{k}', '{v}', '{a}', '{z}', {c})" for i, (k, _, _, v, a, z, c) in enumerate(PACK_CASES))
+
+
+@query(f"""
+SELECT p_partkey AS doc_id, k AS field_key, a || CASE v WHEN 'n' THEN (p_partkey + 1000)::VARCHAR WHEN 'eight' THEN lpad((p_partkey + 1000)::VARCHAR, 8, '0') WHEN 'two' THEN (p_partkey % 19 + 10)::VARCHAR ELSE '' END || z AS value_normalized, c::DOUBLE AS confidence
+FROM part JOIN (VALUES {PACK_VALUES}) p(i, k, v, a, z, c) ON i = p_partkey % {len(PACK_CASES)}""")
+def field_packs(spark, sf_dir):
+    """FX-1, FX-4, TK-3: a text for each of the 31 packs."""
+    key = F.col("p_partkey")
+    values = {"n": (key + 1000).cast("string"), "eight": F.lpad((key + 1000).cast("string"), 8, "0"), "two": (key % 19 + 10).cast("string"), "none": F.lit("")}
+    said = F.array(*(F.concat(F.lit(before), values[v], F.lit(after)) for _, before, after, v, *_ in PACK_CASES))
+    blocks = read(spark, sf_dir, "part").select(key.alias("doc_id"), F.lit(0).alias("ord"), F.get(said, (key % len(PACK_CASES)).cast("int")).alias("text"))
+    return fields.text_candidates(blocks).select("doc_id", "field_key", "value_normalized", "confidence")
+
+
+#: Label cells of the fields that tables give, one spelling each, and what stands around the value.
+LABEL_CASES = (
+    ("project_name", "采购项目名称", "工程", "号"), ("tender_no", "标段编号", "BD-", ""), ("tenderer", "招 标 人", "甲单位", ""), ("agency", "招标代理", "乙单位", ""),
+    ("fund_source", "资金性质", "自筹", ""), ("site", "实施地点", "东城区", "路"), ("price_limit", "拦标价", "", "元"), ("security_deposit", "应提交投标保证金金额", "", "元"),
+    ("deposit_method", "缴纳方式", "电汇", ""), ("bid_deadline", "递交投标文件截止时间", "2026年3月", "日"), ("bid_validity", "投标有效期", "", "日历天"), ("duration", "供货期", "", "天"),
+    ("quality_standard", "质量要求", "合格", ""), ("evaluation_method", "评审办法", "综合评估法", ""), ("credit_code", "统一社会信用代码", "91310245MA12ABCD", ""), ("legal_representative", "法人代表", "张某某", ""),
+    ("contact_phone", "传真", "010-123456", ""), ("warranty_period", "缺陷责任期", "", "天"), ("performance_bond", "履约保证金（万元）", "", ""), ("doc_price", "工本费", "", "元"), ("submission_location", "提交地点", "三楼", "室"), ("budget_amount", "采购预算（大写）", "", "元"),
+)
+LABEL_VALUES = ", ".join(f"({i}, '{k}', '{a}', '{z}')" for i, (k, _, a, z) in enumerate(LABEL_CASES))
+
+
+@query(f"""
+WITH x AS (SELECT p_partkey AS doc_id, k AS field_key, a, z, (p_partkey % 19 + 10)::VARCHAR AS v FROM part JOIN (VALUES {LABEL_VALUES}) p(i, k, a, z) ON i = p_partkey % {len(LABEL_CASES)})
+SELECT doc_id, field_key, CASE WHEN field_key = 'bid_deadline' THEN '2026-03-' || v WHEN field_key IN ('bid_validity', 'duration', 'warranty_period') THEN v || '天'
+  WHEN field_key IN ('price_limit', 'security_deposit', 'doc_price', 'budget_amount') THEN v WHEN field_key = 'performance_bond' THEN v || '0000' WHEN field_key = 'legal_representative' THEN a ELSE a || v || z END AS value_normalized FROM x""")
+def field_tables(spark, sf_dir):
+    """FX-2, FX-3, WN-16: a table for each of the 22 labels: a head row, the label, a column head, the value below the label."""
+    i, v = (F.col("p_partkey") % len(LABEL_CASES)).cast("int"), (F.col("p_partkey") % 19 + 10).cast("string")
+    case = lambda part: F.get(F.array(*(F.lit(c[part]) for c in LABEL_CASES)), i)
+    value = F.when(case(0) == "legal_representative", case(2)).otherwise(F.concat(case(2), v, case(3)))
+    cell = lambda r, c, t: F.struct(F.lit(r).alias("row"), F.lit(c).alias("col"), t.alias("text"))
+    right = F.array(cell(0, 0, case(1)), cell(0, 1, F.lit("列头")), cell(1, 0, F.concat(case(1), F.lit("："))), cell(1, 1, F.lit("/")), cell(1, 2, value))
+    below = F.array(cell(0, 0, F.lit("表")), cell(1, 0, case(1)), cell(1, 1, F.lit("等级")), cell(2, 0, value))
+    cells = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.explode(F.when(F.col("p_partkey") % 2 == 0, right).otherwise(below)).alias("c"))
+    found = fields.table_candidates(cells.select("doc_id", F.lit(5).alias("ord"), F.lit("t").alias("table_id"), F.lit(1).alias("header_rows"), "c.*"))
+    return found.select("doc_id", "field_key", "value_normalized")
+
+
 @query(CANDIDATES_SQL + "SELECT doc_id, field_key, count(DISTINCT value_normalized)::BIGINT AS n_values, string_agg(DISTINCT value_normalized, ',' ORDER BY value_normalized DESC) AS alternatives FROM c GROUP BY doc_id, field_key HAVING count(DISTINCT value_normalized) > 1")
 def field_value_conflicts(spark, sf_dir):
     """AG-7 on extracted candidates."""
-    c = candidates(spark, sf_dir).filter("field_key = 'price_limit'")
-    found = fields.conflicts(c, ["doc_id", "field_key"], "value_normalized", "confidence")
+    found = fields.conflicts(candidates(spark, sf_dir), ["doc_id", "field_key"], "value_normalized", "confidence")
     return found.select("doc_id", "field_key", "n_values", F.array_join("alternatives", ",").alias("alternatives"))
 
 
@@ -126,11 +214,11 @@ def field_conflicts(spark, sf_dir):
     return found.select("doc_id", "n_values", F.array_join(F.transform("alternatives", lambda v: v.cast("long").cast("string")), ",").alias("alternatives"), "note")
 
 
-CATALOG = (("price_limit", True), ("deadline", True), ("deposit", True), ("phone", False), ("owner", True))
+CATALOG = (("price_limit", True), ("bid_deadline", True), ("security_deposit", True), ("contact_phone", False), ("tenderer", True))
 
 
 @query("""
-SELECT o_orderkey AS doc_id, 'owner' AS field_key FROM orders UNION ALL SELECT o_orderkey, 'deposit' FROM orders WHERE o_orderkey % 3 <> 0""")
+SELECT o_orderkey AS doc_id, 'tenderer' AS field_key FROM orders UNION ALL SELECT o_orderkey, 'security_deposit' FROM orders WHERE o_orderkey % 3 <> 0""")
 def required_missing(spark, sf_dir):
     """PF-21, D13."""
     catalog = spark.createDataFrame(CATALOG, "field_key string, required boolean")
@@ -139,7 +227,7 @@ def required_missing(spark, sf_dir):
 
 
 @query("""
-SELECT o_orderkey AS doc_id, k AS field_key, CASE WHEN k = 'owner' OR (k IN ('deposit', 'phone') AND o_orderkey % 3 <> 0) THEN 'not_found' ELSE 'found' END AS status FROM orders, (VALUES ('price_limit'), ('deadline'), ('deposit'), ('phone'), ('owner')) v(k)""")
+SELECT o_orderkey AS doc_id, k AS field_key, CASE WHEN k = 'tenderer' OR (k IN ('security_deposit', 'contact_phone') AND o_orderkey % 3 <> 0) THEN 'not_found' ELSE 'found' END AS status FROM orders, (VALUES ('price_limit'), ('bid_deadline'), ('security_deposit'), ('contact_phone'), ('tenderer')) v(k)""")
 def field_defaults(spark, sf_dir):
     """DM-5."""
     catalog = spark.createDataFrame(CATALOG, "field_key string, required boolean")

@@ -5,11 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.packs import PACKS
 from ..operators import blocks as block_ops
 from ..operators import chunks, evidence, fields, requirements, scores, structure
 
-# The zones in which a field is looked for first.
-FIELD_ZONES = {"price_limit": ("notice", "instructions_front"), "deposit": ("instructions_front",), "deadline": ("notice", "instructions_front"), "duration": ("notice",), "project_name": ("notice",), "tender_no": ("notice",), "owner": ("notice",), "contact": ("notice",), "phone": ("notice",)}
+#: A place after all blocks, for tables of which none is known.
+LAST = 1 << 30
+
+
+def field_zones(blocks: DataFrame, zones: DataFrame) -> DataFrame:
+    """UX-3: doc_id, ord and field_key of the blocks in each field's preferred zones."""
+    near = structure.within(blocks.select("doc_id", "ord"), zones).select("doc_id", "ord", "zone")
+    wanted = F.array(*(F.when(F.col("zone").isin(*p.zones), k) for k, p in PACKS.items()))
+    return near.select("doc_id", "ord", F.explode(F.array_compact(wanted)).alias("field_key"))
+
+
+def table_cells(rows: DataFrame) -> DataFrame:
+    """A row for each cell; ord is the table's block where the rows have it."""
+    ord_ = F.col("ord").cast("int") if "ord" in rows.columns else F.lit(LAST)
+    return rows.select("doc_id", ord_.alias("ord"), "table_id", "row", F.posexplode("cells").alias("col", "text"))
 
 
 def analyse(blocks: DataFrame, rows: DataFrame) -> dict[str, DataFrame]:
@@ -18,9 +32,7 @@ def analyse(blocks: DataFrame, rows: DataFrame) -> dict[str, DataFrame]:
     placed = block_ops.char_offsets(blocks)
     tree = structure.sections(blocks)
     zones = structure.zones(blocks)
-    wanted = F.explode(F.array(*(F.struct(F.lit(z).alias("zone"), F.lit(f).alias("field_key")) for f, zs in FIELD_ZONES.items() for z in zs)))
-    near = structure.within(blocks.select("doc_id", "ord"), zones).select("doc_id", "ord", "zone").join(blocks.sparkSession.range(1).select(wanted.alias("w")).select("w.*"), "zone")
-    candidates = fields.text_candidates(blocks.select("doc_id", "ord", "text"), near)
+    candidates = fields.all_candidates(blocks, field_zones(blocks, zones), table_cells(rows))
     items = block_ops.numbered(scores.first_of(scores.classic_rows(rows), ["doc_id", "category", "name", "max_score"], "row"), "score_id", "T-%03d", ["doc_id"], ["table_id", "row"])
     totals = scores.computed_totals(items, ["doc_id", "category"], "max_score")
     return {
@@ -32,7 +44,7 @@ def analyse(blocks: DataFrame, rows: DataFrame) -> dict[str, DataFrame]:
         "candidates": candidates,
         "fields": fields.merged(candidates),
         "conflicts": fields.conflicts(candidates, ["doc_id", "field_key"], "value_normalized", "confidence"),
-        "evidence": evidence.register(candidates.select("doc_id", "ord", "field_key", F.col("text").alias("snippet")), ["ord", "field_key"]),
+        "evidence": evidence.register(candidates.select("doc_id", "ord", "field_key", F.col("value_raw").alias("snippet")), ["ord", "field_key"]),
         "scores": items,
         "score_checks": scores.sum_check(scores.declared_totals(rows), totals, ["doc_id", "category"]),
         "requirements": requirements.build(blocks, items),

@@ -11,7 +11,35 @@ from tenderflow.sources import files
 def test_table_candidates(spark):
     rows = [("d", 5, "t", 0, 0, "最高限价（万元）"), ("d", 5, "t", 0, 1, "350.5"), ("d", 5, "t", 1, 0, "招标人"), ("d", 5, "t", 1, 1, ""), ("d", 5, "t", 2, 0, "某市财政局"), ("d", 5, "t", 3, 0, "开标时间"), ("d", 5, "t", 3, 1, "详见附件")]
     found = fields.table_candidates(spark.createDataFrame(rows, "doc_id string, ord int, table_id string, row int, col int, text string"))
-    assert {(r.field_key, r.value_normalized) for r in found.collect()} == {("price_limit", "3505000"), ("owner", "某市财政局")}
+    assert {(r.field_key, r.value_normalized) for r in found.collect()} == {("price_limit", "3505000"), ("tenderer", "某市财政局")}
+
+
+def test_pattern_layers(spark):
+    """Each form of a value is found, the surest form first; OCR spaces and units are no obstacle."""
+    said = {
+        "最高投标限价（人民币）：¥86,000,000 元。": ("price_limit", "86000000", 0.7),
+        "最高限价：人民币捌仟陆佰万元整": ("price_limit", "86000000", 0.74),
+        "招标控制价：10,000,000 元": ("price_limit", "10000000", 0.73),
+        "拦标价：350.5万元": ("price_limit", "3505000", 0.73),
+        "投标保证金：人民币伍拾万元整（¥5,000,000.00）。": ("security_deposit", "500000", 0.73),
+        "招标编号：S C A N - 2 0 2 6 - G C - 0 0 9 9": ("tender_no", "SCAN-2026-GC-0099", 0.74),
+        "法定代表人：姓名": None,
+        "招标编号：0711-XXOTLXXX13XXX": None,
+        "投标保证金：合同价的1%": None,
+        "招标人：见招标公告": ("tenderer", "见招标公告", 0.66),
+        "统一社会信用代码：见招标公告": None,
+    }
+    blocks = spark.createDataFrame(list(enumerate(said)), "doc_id int, text string").selectExpr("*", "0 ord")
+    got = {r.doc_id: (r.field_key, r.value_normalized, r.confidence) for r in fields.text_candidates(blocks).collect()}
+    assert got == {i: want for i, want in enumerate(said.values()) if want}
+
+
+def test_titles_only_fill_gaps(spark):
+    blocks = spark.createDataFrame([("d", 0, 1, "评标办法（综合评估法）"), ("d", 1, 0, "评标办法：最低价法"), ("e", 0, 1, "评标办法（综合评估法）")], "doc_id string, ord int, level int, text string")
+    cells = spark.createDataFrame([], "doc_id string, ord int, table_id string, row int, col int, text string")
+    near = spark.createDataFrame([], "doc_id string, ord int, field_key string")
+    got = {(r.doc_id, r.value_normalized) for r in fields.merged(fields.all_candidates(blocks, near, cells)).collect()}
+    assert got == {("d", "最低价法"), ("e", "综合评估法")}
 
 
 def test_title_candidates(spark):

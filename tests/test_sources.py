@@ -101,7 +101,7 @@ def test_report(spark):
     cells = spark.createDataFrame([("d", "t-0001", i, r) for i, r in enumerate(rows)], "doc_id string, table_id string, row int, cells array<string>")
     out = report.analyse(blocks, cells)
     fields = {r.field_key: r.value_normalized for r in out["fields"].collect()}
-    assert fields == {"project_name": "东河大桥工程", "price_limit": "35005000", "deadline": "2026-11-20 09:30", "contact": "李明", "phone": "010-12345678"}
+    assert fields == {"project_name": "东河大桥工程", "price_limit": "35005000", "bid_deadline": "2026-11-20 09:30", "contact_phone": "010-12345678"}
     assert [r.field_key for r in out["conflicts"].collect()] == ["price_limit"]
     assert {(r.category, r.state) for r in out["score_checks"].collect()} == {("technical", "passed"), ("commercial", "failed")}
     assert [(r.name, r.score_id) for r in out["scores"].orderBy("row").collect()] == [("方案", "T-001"), ("进度", "T-002"), ("业绩", "T-003")]
