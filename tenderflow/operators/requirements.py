@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
+from . import structure
 
 # Words of a score item's name and the requirement type they stand for.
 LINKS = (
@@ -20,9 +21,18 @@ COMMERCIAL = {
     "honor": ("优质工程", "鲁班奖", "詹天佑", "奖项", "荣誉", "示范工程"),
     "commitment": ("承诺函", "质保期", "保修", "服务承诺", "响应时间", "驻场"),
 }
-POSITIONS = ("技术负责人", "施工员", "安全员", "质量员", "质检员", "材料员", "资料员", "造价工程师", "测量员")
+POSITIONS = tuple(scoring.CERTIFICATES)
+TEAM_HEADS = ("岗位", "人员", "职务", "拟投入")
 PLAN_PARTS = ("施工组织设计", "施工方案", "总体概述", "进度计划", "质量保证", "安全文明施工", "绿色施工", "应急预案", "组织机构", "资源配置", "文明施工", "环境保护", "劳动力计划")
 
+ZONES = {
+    "performance": ("scoring", "qualification", "evaluation_method"),
+    "leader": ("scoring", "qualification", "instructions"),
+    "team": ("scoring", "tech_requirements"),
+    "plan": ("scoring", "format"),
+    "commercial": ("scoring", "qualification", "evaluation_method"),
+}
+
 
 def sentence_rows(blocks: DataFrame) -> DataFrame:
     """SF-15: a row for each sentence of a block."""
@@ -37,49 +47,83 @@ def performances(blocks: DataFrame) -> DataFrame:
     return read.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("doc_id", "ord", F.lit("performance").alias("type"), F.lit("投标人").alias("subject"), F.substring("sentence", 1, 300).alias("constraint"), "p")
 
 
+def has_detail(member: Column) -> Column:
+    return F.coalesce(member["count"].cast("string"), member["title"], member["cert_no"], F.get(member["certificates"], F.lit(0))).isNotNull()
+
+
 def team(blocks: DataFrame, positions=POSITIONS) -> DataFrame:
-    """JN-7, JN-8, DD-4: a row for each position that a sentence names with a detail."""
+    """JN-8, DD-4: a row for each position that a sentence names with a detail."""
     read = sentence_rows(blocks).withColumn("position", F.explode(text.contained(positions, F.col("sentence"))))
-    seen = read.withColumn("m", scoring.team_member(F.col("sentence"), F.col("position"))).filter("m.count is not null or m.title is not null or m.cert_no is not null")
+    seen = read.withColumn("m", scoring.team_member(F.col("sentence"), F.col("position"))).filter(has_detail(F.col("m")))
     first = Window.partitionBy("doc_id", "position", F.to_json("m")).orderBy("ord", "sentence_no")
     return seen.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
-def leaders(blocks: DataFrame) -> DataFrame:
-    """SF-29, DD-3: requirements of the project leader, one for each 50-character beginning."""
-    s = F.col("sentence")
+def team_tables(rows: DataFrame, positions=POSITIONS) -> DataFrame:
+    """JN-7: a row for each position that a row of a team table names.
+
+    rows has doc_id, table_id, row and cells. A team table's header says so, or its rows name two
+    positions or more.
+    """
+    table = Window.partitionBy("doc_id", "table_id")
+    whole = rows.withColumn("said", F.array_join(F.transform("cells", lambda c: F.trim(c)), " ")).withColumn("named", text.contained(positions, F.col("said")))
+    header = F.first("said").over(table.orderBy("row"))
+    n_positions = F.size(F.array_distinct(F.flatten(F.collect_set("named").over(table))))
+    kept = whole.withColumn("header", header).withColumn("n_positions", n_positions).filter(scoring.has_any(F.col("header"), TEAM_HEADS) | (F.col("n_positions") >= 2))
+    each = kept.select("doc_id", "table_id", "row", "said", F.explode("named").alias("position"))
+    title = scoring.found(F.col("said"), "([一-龥]{1,4}职称|高级工程师|中级工程师|助理工程师)")
+    count = scoring.found(F.col("said"), r"(\d+)\s*(?:名|人)").try_cast("int")
+    m = F.struct(count.alias("count"), title.alias("title"), F.lit(None).cast("string").alias("cert_no"), scoring.certificates(F.col("position"), F.col("said")).alias("certificates"))
+    return each.withColumn("m", m)
+
+
+def leader(sentence: Column) -> Column:
+    """SF-29: what a sentence asks of the project leader; null if it is not on them."""
     parsed = F.struct(
-        scoring.found(s, "([一二]级(?:注册)?建造师)").alias("builder"),
-        scoring.found(s, "(高级工程师|中级工程师|高级职称|中级职称)").alias("title"),
-        F.contains(s, F.lit("在建")).alias("no_ongoing"),
-        scoring.found(s, scoring.YEAR_WINDOW).try_cast("int").alias("years"),
-        F.contains(s, F.lit("社保")).alias("social_security"),
+        scoring.found(sentence, "([一二壹贰]级(?:注册)?建造师)").alias("builder"),
+        scoring.found(sentence, "(高级工程师|中级工程师|初级工程师|高级职称|中级职称)").alias("title"),
+        F.rlike(sentence, F.lit("在建|不得同时")).alias("no_ongoing"),
+        scoring.found(sentence, scoring.YEAR_WINDOW).try_cast("int").alias("years"),
+        F.rlike(sentence, F.lit("社保|养老保险")).alias("social_security"),
     )
-    read = sentence_rows(blocks).filter(F.rlike(s, F.lit("项目经理|项目负责人|总监理工程师"))).withColumn("p", parsed)
+    return F.when(F.rlike(sentence, F.lit("项目经理|项目负责人|总监理工程师")), parsed)
+
+
+def leaders(blocks: DataFrame) -> DataFrame:
+    """SF-29, DD-3: requirements of the project leader, one for each 50-character beginning."""
+    read = sentence_rows(blocks).withColumn("p", leader(F.col("sentence"))).filter("p is not null")
     first = Window.partitionBy("doc_id", F.substring("sentence", 1, 50)).orderBy("ord", "sentence_no")
     return read.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
 def plans(blocks: DataFrame) -> DataFrame:
-    """SF-30: what a plan must include, page limit, fonts and anonymity, one row a document."""
-    s = F.col("text")
-    limit = scoring.found(s, r"不(?:超过|多于)\s*(\d{1,4})\s*页").try_cast("int")
-    return blocks.groupBy("doc_id").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(text.contained(PLAN_PARTS, s))))).alias("must_include"),
-        F.min(limit).alias("page_limit"),
-        F.bool_or(F.contains(s, F.lit("暗标"))).alias("anonymous"),
-        F.min(scoring.found(s, "(宋体|仿宋|黑体|楷体)")).alias("font"),
+    """SF-30: one row a document: parts that a plan must include, in their fixed order, the last
+    page limit, and the sentences on anonymity and on fonts, in order."""
+    s = F.col("sentence")
+    limit = scoring.found(s, r"(?:不超过|不得超过|控制在)\s*(\d{2,4})\s*(?:页|张)").try_cast("int")
+    at = F.struct("ord", "sentence_no")
+    of = lambda pattern, n: F.transform(F.array_sort(F.collect_list(F.when(F.rlike(s, F.lit(pattern)), F.struct("ord", "sentence_no", F.substring(s, 1, n).alias("s"))))), lambda x: x["s"])
+    said = sentence_rows(blocks).groupBy("doc_id").agg(
+        F.max_by(limit, F.when(limit.isNotNull(), at)).alias("page_limit"),
+        of("暗标|不得出现.{0,40}(单位名称|姓名|标识|图章|印章)|身份标识", 150).alias("dark_bid"),
+        of(r"(字体|字号).{0,30}(宋体|仿宋|黑体|楷体|小[一二三四]|\d+(\.\d+)?号)", 120).alias("fonts"),
     )
+    parts = F.array_distinct(F.flatten(F.collect_set(text.contained(PLAN_PARTS, F.col("text")))))
+    named = blocks.groupBy("doc_id").agg(parts.alias("parts")).select("doc_id", F.filter(F.array(*map(F.lit, PLAN_PARTS)), lambda x: F.array_contains("parts", x)).alias("must_include"))
+    empty = F.array().cast("array<string>")
+    both = named.join(said, "doc_id", "left")
+    return both.select("doc_id", "must_include", "page_limit", F.coalesce("dark_bid", empty).alias("dark_bid"), F.coalesce("fonts", empty).alias("fonts"))
 
 
-def commercial(blocks: DataFrame, words: dict = COMMERCIAL, most: int = 10) -> DataFrame:
-    """JN-9, SF-31, FX-12: sentences with a type's words; the first `most` of each document and
+def commercial(blocks: DataFrame, words: dict = COMMERCIAL, shown: int = 5, width: int = 400) -> DataFrame:
+    """JN-9, FX-12: sentences with a type's words, once each; the first ones of each document and
     type are its text."""
     rows = sentence_rows(blocks)
-    kinds = F.array_compact(F.array(*(F.when(scoring.has_any(F.col("sentence"), w), F.lit(k)) for k, w in {**words, "price": ("评标基准价", "报价得分", "价格公式")}.items())))
-    hit = rows.withColumn("type", F.explode(kinds))
-    ranked = hit.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "type").orderBy("ord", "sentence_no"))).filter(F.col("_n") <= most)
-    return ranked.groupBy("doc_id", "type").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "sentence"))), lambda x: x["sentence"]), "；").alias("constraint"))
+    kinds = F.array_compact(F.array(*(F.when(scoring.has_any(F.col("sentence"), w), F.lit(k)) for k, w in words.items())))
+    hit = rows.withColumn("type", F.explode(kinds)).groupBy("doc_id", "type", "sentence").agg(F.min(F.struct("ord", "sentence_no")).alias("at"))
+    ranked = hit.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "type").orderBy("at"))).filter(F.col("_n") <= shown)
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "sentence"))), lambda x: x["sentence"]), "；")
+    return ranked.groupBy("doc_id", "type").agg(F.substring(joined, 1, width).alias("constraint"))
 
 
 def linked(scores: DataFrame, requirements: DataFrame, links=LINKS) -> tuple[DataFrame, DataFrame]:
@@ -94,20 +138,24 @@ def linked(scores: DataFrame, requirements: DataFrame, links=LINKS) -> tuple[Dat
     )
 
 
-def superset_dedupe(rows: DataFrame, keys: list[str], fields: str, order: str, evidence: str) -> DataFrame:
-    """DD-5, DD-6, SO-5: per key the entry whose fields no later one has all of, evidence united.
+def superset_dedupe(rows: DataFrame, keys: list[str], fields: str, order: str, evidence: str, kept: tuple[str, ...] = ()) -> DataFrame:
+    """DD-5, DD-6, SO-5: one entry a key, with the `kept` columns of the entry that stays, the
+    order of the first, and all evidence.
 
-    A fold in order: an entry replaces the kept one if its fields are a superset of those.
+    A fold in order: an entry with any field that the one so far lacks takes its place.
     """
-    entry = F.struct(order, fields, evidence)
-    start = F.struct(F.array().cast("array<string>").alias("f"), F.array().cast("array<string>").alias("e"), F.lit(True).alias("empty"))
+    entry = F.struct(order, fields, evidence, F.struct(*kept).alias("kept") if kept else F.lit(None).alias("kept"))
+    sorted_rows = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("all"))
 
     def step(acc, x):
-        covers = acc["empty"] | (F.size(F.array_except(acc["f"], x[fields])) == 0)
-        return F.struct(F.when(covers, x[fields]).otherwise(acc["f"]).alias("f"), F.array_distinct(F.array_append(acc["e"], x[evidence])).alias("e"), F.lit(False).alias("empty"))
+        more = F.size(F.array_except(x[fields], acc[fields])) > 0
+        taken = F.when(more, x).otherwise(acc)
+        return F.struct(acc[order].alias(order), taken[fields].alias(fields), taken[evidence].alias(evidence), taken["kept"].alias("kept"))
 
-    folded = rows.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list(entry)), start, step).alias("k"))
-    return folded.select(*keys, F.col("k.f").alias(fields), F.col("k.e").alias("evidence_ids"))
+    start = F.get("all", F.lit(0))
+    folded = sorted_rows.withColumn("k", F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(1))), start, step))
+    united = F.array_distinct(F.transform("all", lambda x: x[evidence]))
+    return folded.select(*keys, F.col(f"k.{order}").alias(order), F.col(f"k.{fields}").alias(fields), united.alias("evidence_ids"), *(F.col(f"k.kept.{c}").alias(c) for c in kept))
 
 
 def star_clauses(blocks: DataFrame, marker: str = "★", meta: tuple[str, ...] = ("标注", "标有", "带★"), width: int = 300) -> DataFrame:
@@ -133,19 +181,82 @@ def rejections(rows: DataFrame) -> DataFrame:
     return body.select("doc_id", "table_id", "row", F.format_string("RJ-%03d", n).alias("rej_id"), scoring.rejection_kind(joined).alias("kind"), category.alias("category"), longest.alias("text"))
 
 
-def build(blocks: DataFrame, scores: DataFrame) -> DataFrame:
+def _placed(rows: DataFrame, branch: int, at: Column, kind: str | Column, subject: str | Column, said: Column, confidence: float, parsed: Column | None = None, refs: Column | None = None) -> DataFrame:
+    """Requirements of a branch in one shape; parsed has the entries of the map of what was read."""
+    lit = lambda x: F.lit(x) if isinstance(x, str) else x
+    read = F.array().cast("array<struct<key:string,value:string>>") if parsed is None else F.map_entries(parsed)
+    return rows.select(
+        "doc_id",
+        F.struct(F.lit(branch).alias("branch"), at.cast("string").alias("at")).alias("place"),
+        lit(kind).alias("type"),
+        lit(subject).alias("subject"),
+        F.substring(said, 1, 300).alias("constraint"),
+        read.alias("parsed"),
+        F.lit(confidence).alias("confidence"),
+        (F.array().cast("array<string>") if refs is None else refs).alias("own_refs"),
+    )
+
+
+def _at(*parts: str) -> Column:
+    """A text that sorts like the numbers and texts it is made of."""
+    return F.concat_ws("|", *(F.coalesce(F.lpad(F.col(p).try_cast("long").cast("string"), 12, "0"), F.col(p).cast("string")) for p in parts))
+
+
+def _map(struct: Column, *names: str) -> Column:
+    """The fields of a struct that have a value, as JSON; null, false and empty ones have none."""
+    shown = lambda n: F.regexp_extract(F.to_json(F.struct(struct[n].alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    return F.map_filter(F.create_map(*(x for n in names for x in (F.lit(n), shown(n)))), lambda k, v: ~v.isin("", "false", "[]"))
+
+
+MEMBER = ("count", "title", "cert_no", "certificates")
+LEADER = ("builder", "title", "no_ongoing", "years", "social_security")
+PERFORMANCE = ("years", "count_min", "amount_min", "proofs", "unit_score")
+
+
+def from_scores(scores: DataFrame) -> DataFrame:
+    """FX-11, SF-29: requirements inside the rules of score items of ten characters and more."""
+    rules = scores.filter(F.length("rule_text") >= 10).select("doc_id", "score_id", F.posexplode(text.sentences(F.col("rule_text"))).alias("sentence_no", "sentence"))
+    s, refs, at = F.col("sentence"), F.array("score_id"), _at("score_id", "sentence_no")
+    p = rules.withColumn("p", scoring.performance(s)).filter("p is not null")
+    out = _placed(p, 7, at, "performance", "投标人", s, 0.82, _map(F.col("p"), *PERFORMANCE), refs)
+    m = rules.withColumn("position", F.explode(text.contained(POSITIONS, s))).withColumn("m", scoring.team_member(s, F.col("position"))).filter(has_detail(F.col("m")))
+    out = out.unionByName(_placed(m, 7, at, "team", F.col("position"), s, 0.78, _map(F.col("m"), *MEMBER), refs))
+    lead = rules.withColumn("p", leader(s)).filter("p is not null and (p.builder is not null or p.title is not null or p.no_ongoing)")
+    return out.unionByName(_placed(lead, 7, at, "leader", "项目负责人", s, 0.82, _map(F.col("p"), "builder", "title", "no_ongoing"), refs))
+
+
+def price_rules(scores: DataFrame) -> DataFrame:
+    """SF-31: the rules of price items."""
+    rows = scores.filter("category = 'price' and rule_text <> ''")
+    return _placed(rows, 6, _at("score_id"), "price", "投标报价", F.col("rule_text"), 0.85, F.create_map(F.lit("formula"), F.col("rule_text")), F.array("score_id"))
+
+
+def build(blocks: DataFrame, scores: DataFrame, rows: DataFrame | None = None, zones: DataFrame | None = None) -> DataFrame:
     """FX-11: all requirements of documents in branch order, with ids, uses and score links.
 
-    scores has doc_id, score_id and name.
+    scores has doc_id, score_id and name, and category and rule_text if rules are to be read; rows
+    has the tables' doc_id, table_id, row and cells; zones is what `structure.zones` returns. A
+    branch reads its zones' blocks, all blocks of a document without them. Entries of one position
+    are one requirement.
     """
-    shape = lambda rows, branch, kind, subject, said, at: rows.select("doc_id", F.lit(branch).alias("branch"), at.cast("int").alias("at"), kind.alias("type"), subject.alias("subject"), F.substring(said, 1, 300).alias("constraint"))
-    bidder = F.lit("投标人")
-    rows = shape(performances(blocks), 0, F.lit("performance"), bidder, F.col("constraint"), F.col("ord"))
-    rows = rows.unionByName(shape(leaders(blocks), 1, F.lit("leader"), F.lit("项目负责人"), F.col("sentence"), F.col("ord")))
-    rows = rows.unionByName(shape(team(blocks), 2, F.lit("team"), F.col("position"), F.col("sentence"), F.col("ord")))
-    rows = rows.unionByName(shape(plans(blocks).filter(F.size("must_include") > 0), 3, F.lit("plan"), bidder, F.array_join("must_include", "、"), F.lit(0)))
-    rows = rows.unionByName(shape(commercial(blocks), 4, F.col("type"), bidder, F.col("constraint"), F.lit(0)))
-    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("branch", "at", "type", "subject", "constraint"))
-    numbered = rows.withColumn("req_id", F.format_string("R-%03d", n)).withColumn("use", scoring.usage(F.col("constraint"), F.col("type")))
-    links = linked(scores, numbered)[1]
-    return numbered.join(links, ["doc_id", "req_id"], "left").select("doc_id", "req_id", "type", "subject", "constraint", F.col("use.scoring").alias("for_scoring"), F.col("use.document").alias("for_document"), "scoring_refs")
+    near = lambda branch: blocks if zones is None else structure.within_or_all(blocks, zones.filter(F.col("zone").isin(*ZONES[branch])))
+    bidder = "投标人"
+    out = _placed(performances(near("performance")), 0, _at("ord"), "performance", bidder, F.col("constraint"), 0.85, _map(F.col("p"), *PERFORMANCE))
+    out = out.unionByName(_placed(leaders(near("leader")), 1, _at("ord", "sentence_no"), "leader", "项目负责人", F.col("sentence"), 0.85, _map(F.col("p"), *LEADER)))
+    if rows is not None:
+        out = out.unionByName(_placed(team_tables(rows), 2, _at("table_id", "row"), "team", F.col("position"), F.col("said"), 0.88, _map(F.col("m"), *MEMBER)))
+    out = out.unionByName(_placed(team(near("team")), 3, _at("ord", "sentence_no"), "team", F.col("position"), F.col("sentence"), 0.75, _map(F.col("m"), *MEMBER)))
+    plan = plans(near("plan")).filter("size(must_include) + size(dark_bid) + size(fonts) > 0 or page_limit is not null")
+    out = out.unionByName(_placed(plan, 4, F.lit("0"), "plan", "技术标编制", F.concat_ws("；", F.array_join("must_include", "、"), F.array_join("dark_bid", "；"), F.array_join("fonts", "；")), 0.85, _map(F.struct("must_include", "page_limit", "dark_bid", "fonts"), "must_include", "page_limit", "dark_bid", "fonts")))
+    order = F.create_map(*(F.lit(x) for i, k in enumerate(COMMERCIAL) for x in (k, str(i))))
+    out = out.unionByName(_placed(commercial(near("commercial")), 5, F.element_at(order, F.col("type")), F.col("type"), bidder, F.col("constraint"), 0.8))
+    if "rule_text" in scores.columns:
+        out = out.unionByName(price_rules(scores)).unionByName(from_scores(scores))
+    entries = out.filter("type = 'team'").withColumn("fields", F.transform("parsed", lambda e: e["key"])).withColumn("evidence", F.to_json("place"))
+    members = superset_dedupe(entries, ["doc_id", "type", "subject"], "fields", "place", "evidence", ("constraint", "parsed", "confidence", "own_refs"))
+    united = out.filter("type <> 'team'").unionByName(members.select(*out.columns))
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("place", "type", "subject", "constraint"))
+    numbered = united.withColumn("req_id", F.format_string("R-%03d", n)).withColumn("use", scoring.usage(F.col("constraint"), F.col("type")))
+    refs = F.array_distinct(F.concat("own_refs", F.coalesce("scoring_refs", F.array().cast("array<string>"))))
+    linked_rows = numbered.join(linked(scores, numbered)[1], ["doc_id", "req_id"], "left")
+    return linked_rows.select("doc_id", "req_id", "type", "subject", "constraint", F.map_from_entries("parsed").alias("parsed"), "confidence", F.col("use.scoring").alias("for_scoring"), F.col("use.document").alias("for_document"), refs.alias("scoring_refs"))

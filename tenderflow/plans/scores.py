@@ -172,7 +172,7 @@ def team_members(spark, sf_dir):
 
 
 @query("""
-SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 2 = 0 THEN '一级建造师' ELSE '二级注册建造师' END AS builder, true AS no_ongoing, 3 AS years, '安全文明施工,文明施工,施工组织设计' AS must_include, 120 AS page_limit FROM customer""")
+SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 2 = 0 THEN '一级建造师' ELSE '二级注册建造师' END AS builder, true AS no_ongoing, 3 AS years, '施工组织设计,安全文明施工,文明施工' AS must_include, 120 AS page_limit FROM customer""")
 def leaders_and_plans(spark, sf_dir):
     """SF-29, SF-30, DD-3."""
     k = F.col("c_custkey")
@@ -203,13 +203,50 @@ def requirement_links(spark, sf_dir):
 
 
 @query("""
-SELECT o_custkey AS doc_id, count(*)::BIGINT AS n_evidence, CASE WHEN max(o_orderkey % 3) = 2 THEN 'a,b,c' WHEN max(o_orderkey % 3) = 1 THEN 'a,b' ELSE 'a' END AS fields FROM orders GROUP BY 1""")
+WITH r AS (SELECT o_custkey AS doc_id, count(*)::BIGINT AS n_evidence, min(o_orderkey) AS first_ord,
+  list_reduce(list(CASE o_orderkey % 4 WHEN 0 THEN ['a'] WHEN 1 THEN ['a', 'b'] WHEN 2 THEN ['b', 'c'] ELSE ['c'] END ORDER BY o_orderkey),
+    lambda k, x: CASE WHEN len(list_filter(x, lambda e: NOT list_contains(k, e))) > 0 THEN x ELSE k END) AS f FROM orders GROUP BY 1)
+SELECT doc_id, n_evidence, first_ord, array_to_string(f, ',') AS fields FROM r""")
 def team_superset_dedupe(spark, sf_dir):
-    """DD-5, DD-6, SO-5: nested sets of fields, so the largest is kept whatever the order."""
-    k = F.col("o_orderkey") % 3
-    some = F.when(k == 0, F.array(F.lit("a"))).when(k == 1, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"), F.lit("b"), F.lit("c")))
+    """DD-5, DD-6, SO-5: sets of fields of which some hold others and some do not."""
+    k = F.col("o_orderkey") % 4
+    some = F.when(k == 0, F.array(F.lit("a"))).when(k == 1, F.array(F.lit("a"), F.lit("b"))).when(k == 2, F.array(F.lit("b"), F.lit("c"))).otherwise(F.array(F.lit("c")))
     rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("ord"), some.alias("fields"), F.col("o_orderkey").cast("string").alias("evidence"))
-    return requirements.superset_dedupe(rows, ["doc_id"], "fields", "ord", "evidence").select("doc_id", F.size("evidence_ids").cast("long").alias("n_evidence"), F.array_join("fields", ",").alias("fields"))
+    kept = requirements.superset_dedupe(rows, ["doc_id"], "fields", "ord", "evidence")
+    return kept.select("doc_id", F.size("evidence_ids").cast("long").alias("n_evidence"), F.col("ord").alias("first_ord"), F.array_join("fields", ",").alias("fields"))
+
+
+@query("""
+WITH s AS (SELECT s_suppkey AS doc_id, s_suppkey % 5 + 1 AS k, s_suppkey % 2 = 0 AS zoned FROM supplier)
+SELECT doc_id, 'R-00' || n AS req_id, type, subject, refs, keys FROM (
+  SELECT doc_id, unnest([1, 2, 3, 4, 5, 6, 7, 8]) AS n, unnest(['performance', 'leader', 'team', 'team', 'plan', 'credit', 'price', 'performance']) AS type,
+    unnest(['投标人', '项目负责人', '安全员', '技术负责人', '技术标编制', '投标人', '投标报价', '投标人']) AS subject,
+    unnest(['S-1', '', 'S-2', 'S-2', '', '', 'S-3', 'S-1']) AS refs,
+    unnest(['count_min,proofs,years', 'builder,no_ongoing,social_security', 'certificates,count,title', CASE WHEN k % 2 = 0 THEN 'cert_no,count' ELSE 'count,title' END, 'dark_bid,fonts,must_include,page_limit', '', 'formula', 'count_min,proofs,unit_score,years']) AS keys FROM s)""")
+def requirement_build(spark, sf_dir):
+    """FX-11, JN-2, JN-7, DD-5, SF-29 to SF-31: blocks, a team table and score rules of a supplier; half of them have zones."""
+    k, n = F.col("s_suppkey") % 2, (F.col("s_suppkey") % 5 + 1).cast("string")
+    said = (
+        F.concat(F.lit("投标人近5年内完成类似业绩"), n, F.lit("项，附合同。")),
+        F.lit("项目经理须具有一级建造师证书并缴纳社保，无在建项目。"),
+        F.lit("施工组织设计应含应急预案，不超过120页；正文字体用宋体。技术标为暗标。控制在80页以内。"),
+        F.lit("未列入失信被执行人。"),
+    )
+    blocks = F.array(*(F.struct(F.lit(i).alias("ord"), t.alias("text")) for i, t in enumerate(said)))
+    second = F.when(F.col("s_suppkey") % 5 % 2 == 1, F.concat(F.lit("技术负责人"), n, F.lit("名，建造师证书编号：京1234567"))).otherwise(F.concat(F.lit("技术负责人"), n, F.lit("名，助理工程师")))
+    cells = (("岗位", "人数", "要求"), ("安全员", F.concat(n, F.lit("名")), "持安全员C证"), ("技术负责人", F.concat(n, F.lit("名")), "经验"))
+    rows = F.array(*(F.struct(F.lit(i).alias("row"), F.array(*(F.lit(c) if isinstance(c, str) else c for c in row)).alias("cells")) for i, row in enumerate(cells)))
+    rules = (
+        ("S-1", "企业业绩", "commercial", F.concat(F.lit("近3年内承担同类业绩"), n, F.lit("项得2分，附验收报告"))),
+        ("S-2", "人员配备", "technical", F.concat(F.lit("安全员"), n, F.lit("名，高级工程师，持安全员C证；"), second)),
+        ("S-3", "报价", "price", F.lit("评标基准价为平均值")),
+    )
+    scores = F.array(*(F.struct(F.lit(i).alias("score_id"), F.lit(name).alias("name"), F.lit(c).alias("category"), rule.alias("rule_text")) for i, name, c, rule in rules))
+    docs = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), blocks.alias("b"), rows.alias("r"), scores.alias("s"), k.alias("k"))
+    each = lambda c: docs.select("doc_id", F.explode(c).alias("x")).select("doc_id", "x.*")
+    zones = docs.filter("k = 0").select("doc_id", F.lit("scoring").alias("zone"), F.lit(0).alias("block_start"), F.lit(4).alias("block_end"))
+    built = requirements.build(each("b"), each("s"), each("r").withColumn("table_id", F.lit("t")), zones)
+    return built.select("doc_id", "req_id", "type", "subject", F.array_join("scoring_refs", ",").alias("refs"), F.array_join(F.array_sort(F.coalesce(F.map_keys("parsed"), F.array().cast("array<string>"))), ",").alias("keys"))
 
 
 @query("""
@@ -309,6 +346,77 @@ def lot_fields_long(spark, sf_dir):
     return lots.best_values(lots.table_fields(rows, {"lot_price_limit": 0.95, "scope": 0.85}), ["doc_id", "lot", "field_key"])
 
 
+def lot_table_rows(spark, sf_dir):
+    """R-8: three tables a supplier: lots with two prices, one in ten thousands; lots by name with
+    a time span; and a table without lots."""
+    k, n = F.col("s_suppkey"), (F.col("s_suppkey") + 1).cast("string")
+    row = lambda *cells: F.array(*(c if not isinstance(c, str) else F.lit(c) for c in cells))
+    prices = (
+        row("分标名称", "包号", "包名称", "项目名称", "单项最高限价（万元）", "包最高限价（元）", "招标范围"),
+        row(F.concat(F.lit("甲"), n), "包01", F.concat(F.lit("线路施工"), n), "—", n, F.concat(n, F.lit("000")), "全部"),
+        row("", "包02", "变电 站", F.concat(F.lit("工程"), n), F.concat(n, F.lit("万元")), "面议", "/"),
+        row("", "包03", "", "x", "1", "2", "y"),
+    )
+    spans = (
+        row("标包划分", "计划开工日期", "计划竣工日期", "最高限价"),
+        row(F.concat(F.lit("结算审核包"), (k % 90).cast("string")), "2026年03月1日", F.concat(F.lit("2027 年 "), (k % 12 + 1).cast("string"), F.lit("月")), "1,200元"),
+        row("土建A包", "2026年3月", "待定", "无"),
+    )
+    other = (row("包名称", "备注"), row("包9", "x"))
+    tables = F.array(*(F.struct(F.lit(t).alias("table_id"), F.lit(i).alias("row"), c.alias("cells")) for t, rows in (("t1", prices), ("t2", spans), ("t3", other)) for i, c in enumerate(rows)))
+    return read(spark, sf_dir, "supplier").select(k.alias("doc_id"), F.explode(tables).alias("t")).select("doc_id", "t.*")
+
+
+@query("""
+WITH s AS (SELECT s_suppkey AS doc_id, (s_suppkey + 1)::VARCHAR AS n, s_suppkey AS k FROM supplier)
+SELECT doc_id, lot, field_key, value, confidence::DOUBLE AS confidence FROM (
+  SELECT doc_id, '甲' || n || '::包01' AS lot, unnest(['package_no', 'fenbiao', 'package_name', 'scope', 'price_limit', 'unit_price_limit', 'lot_price_limit']) AS field_key,
+    unnest(['包01', '甲' || n, '线路施工' || n, '全部', n || '0000', n || '0000', n || '000']) AS value, unnest([0.9, 0.9, 0.9, 0.85, 0.95, 0.95, 0.95]) AS confidence FROM s
+  UNION ALL SELECT doc_id, '包02', unnest(['package_no', 'package_name', 'project_name', 'price_limit', 'unit_price_limit']), unnest(['包02', '变电 站', '工程' || n, n || '0000', n || '0000']), unnest([0.9, 0.9, 0.9, 0.95, 0.95]) FROM s
+  UNION ALL SELECT doc_id, '结算审核包' || (k % 90), unnest(['package_name', 'price_limit', 'duration']), unnest(['结算审核包' || (k % 90), '1200', '2026年3月至2027年' || (k % 12 + 1) || '月']), unnest([0.9, 0.95, 0.9]) FROM s
+  UNION ALL SELECT doc_id, '土建A包', 'package_name', '土建A包', 0.9 FROM s)""")
+def lot_tables(spark, sf_dir):
+    """SF-42, SF-43, AG-16, HL-6."""
+    return lots.best_values(lots.lot_tables(lot_table_rows(spark, sf_dir)), ["doc_id", "lot", "field_key"])
+
+
+@query("""
+WITH s AS (SELECT s_suppkey AS doc_id, s_suppkey::VARCHAR AS n, '包' || (s_suppkey % 90 + 1) AS lot FROM supplier)
+SELECT doc_id, file_no, lot, field_key, value FROM (
+  SELECT doc_id, 1 AS file_no, '施工' || lot AS lot, unnest(['project_name', 'quality_standard', 'duration', 'fund_source']) AS field_key, unnest(['东河大桥工程' || n, '合格' || n, '90天', '自筹' || n]) AS value FROM s
+  UNION ALL SELECT doc_id, 2, '监理' || lot, 'site', '西区' || n FROM s)""")
+def lot_file_fields(spark, sf_dir):
+    """FX-8, JN-5, JN-21, SF-41: two lots' own files beside a general one; a table counts in the file that refers to it."""
+    n, lot = F.col("s_suppkey").cast("string"), F.concat(F.lit("包"), (F.col("s_suppkey") % 90 + 1).cast("string"))
+    block = lambda file, at, level, said, ref=None: F.struct(F.lit(file).alias("file_no"), F.lit(at).alias("ord"), F.lit(level).alias("level"), said.alias("text"), F.lit(ref).cast("string").alias("table_ref"))
+    blocks = F.array(
+        block(0, 0, 0, F.lit("资金来源：财政")), block(0, 1, 0, F.lit(""), "t1"),
+        block(1, 2, 1, F.concat(F.lit("东河大桥工程"), n, F.lit("施工"), lot)), block(1, 3, 0, F.concat(F.lit("质量要求：合格"), n, F.lit("。项目名称：别的工程"))), block(1, 4, 0, F.lit(""), "t2"),
+        block(2, 5, 0, F.concat(F.lit("建设地点：西区"), n)),
+    )
+    cell = lambda t, r, c, said: F.struct(F.lit(t).alias("table_id"), F.lit(r).alias("row"), F.lit(c).alias("col"), said.alias("text"))
+    cells = F.array(cell("t1", 0, 0, F.lit("工期")), cell("t1", 0, 1, F.lit("10天")), cell("t2", 0, 0, F.lit("工期")), cell("t2", 0, 1, F.lit("90天")), cell("t2", 1, 0, F.lit("资金来源")), cell("t2", 1, 1, F.concat(F.lit("自筹"), n)))
+    files = F.array(*(F.struct(F.lit(i).alias("file_no"), name.alias("source_file")) for i, name in enumerate((F.lit("公告.docx"), F.lit("技术文件.docx"), F.concat(F.lit("监理"), lot, F.lit("新.docx"))))))
+    rows = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), blocks.alias("b"), cells.alias("c"), files.alias("f"))
+    each = lambda k: rows.select("doc_id", F.explode(k).alias("x")).select("doc_id", "x.*")
+    found = lots.file_fields(each("b"), each("c").withColumn("ord", F.lit(9)), lots.file_scopes(each("f"), each("b")))
+    return found.select("doc_id", "file_no", "lot", "field_key", "value")
+
+
+@query("""
+WITH x AS (SELECT l_orderkey AS doc_id, l_linenumber AS ord, l_quantity::BIGINT AS value, CASE WHEN l_linenumber % 2 = 0 THEN '包1' WHEN l_linenumber % 3 = 0 THEN '甲::包1' ELSE '结算审核包1' END AS lot FROM lineitem)
+SELECT doc_id, CASE WHEN lot = '甲::包1' THEN lot ELSE '结算审核包1' END AS lot, 'scope' AS field_key, arg_min(value, [CASE WHEN lot = '包1' THEN 1 ELSE 0 END, ord])::VARCHAR AS value
+FROM (SELECT doc_id, ord, lot, min(value) AS value FROM x GROUP BY ALL) GROUP BY 1, 2""")
+def lot_merge(spark, sf_dir):
+    """JN-15: a lot's values under its first known name; what that name has itself stays."""
+    k = F.col("l_linenumber")
+    lot = F.when(k % 2 == 0, "包1").when(k % 3 == 0, "甲::包1").otherwise("结算审核包1")
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), k.alias("ord"), lot.alias("lot"), F.lit("scope").alias("field_key"), F.col("l_quantity").cast("long").alias("v"))
+    values = lines.groupBy("doc_id", "ord", "lot", "field_key").agg(F.min("v").cast("string").alias("value")).withColumn("confidence", F.lit(0.9))
+    known = values.select("doc_id").distinct().select("doc_id", F.explode(F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(n).alias("lot")) for i, n in enumerate(("结算审核包1", "包01"))))).alias("x")).select("doc_id", "x.*")
+    return lots.merged_lots(values, known).select("doc_id", "lot", "field_key", "value")
+
+
 @query("""
 WITH n AS (SELECT DISTINCT o_custkey AS doc_id, o_orderkey % 9 + 1 AS k, o_orderkey % 2 = 0 AS f FROM orders)
 SELECT doc_id, arg_min(CASE WHEN f THEN '甲::包' || k ELSE '包0' || k END, [CASE WHEN f THEN 1 ELSE 0 END, k]) AS target_lot FROM n GROUP BY doc_id""")

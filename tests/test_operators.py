@@ -82,7 +82,7 @@ def test_requirements_build(spark):
     scores = spark.createDataFrame([("d", "S-1", "企业业绩")], "doc_id string, score_id string, name string")
     got = {r.type: r for r in requirements.build(blocks, scores).collect()}
     assert set(got) == {"performance", "team", "credit"}
-    assert got["performance"].req_id == "R-001" and got["performance"].scoring_refs == ["S-1"] and got["team"].scoring_refs is None
+    assert got["performance"].req_id == "R-001" and got["performance"].scoring_refs == ["S-1"] and got["team"].scoring_refs == [] and got["team"].parsed["count"] == "1"
 
 
 def test_skipped_levels_and_deep_first_heading(spark):
