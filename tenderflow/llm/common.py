@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only used where the session names no spark.checkpoint.dir, as in local tests.
+#: Only used where a local session names no spark.checkpoint.dir, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/tenderflow"
 
 
@@ -18,8 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Off a local master it must
+    be set: what executors write to their own disks is lost to the others."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named or LOCAL_CHECKPOINTS
 
 
@@ -73,3 +76,12 @@ def in_bitmap(spark: SparkSession, key: str, bitmap: np.ndarray) -> Column:
         return pd.Series((held.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0)
 
     return F.col(key).isNotNull() & found(F.pmod(F.xxhash64(key), F.lit(ID_BITS)))
+
+
+def split_by_ids(docs: DataFrame, key: str, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs whose key may be among the rows' keys, and docs whose key surely is not.
+
+    So a join of large rows with few ids moves only the rows that it may concern.
+    """
+    may = in_bitmap(docs.sparkSession, key, id_bitmap(rows, key))
+    return docs.filter(may), docs.filter(~may)

@@ -20,8 +20,8 @@ the join; its benchmark side has few rows a key, and Spark splits skewed partiti
 
 Edge cases: a null or empty text has no words; items under MIN_WORDS words cannot be told from
 chance and are ignored, items under WINDOW words are one window; windows with under PLAIN plain
-words (or under half of a short item's) are used only with their words as they stand; rows that share an id are judged each by its
-own text and reported under the id; repeated rows are reported once; empty tables give an empty
+words (or under half of a short item's) are used only with their words as they stand; rows that share an id, a null id too, are judged each by
+its own text and reported under the id; repeated rows are reported once; empty tables give an empty
 result; columns other than doc_id, item_id and text are ignored, and `keep_clean` keeps them.
 """
 
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, split_by_ids, table
 
 WINDOW = 8
 PLAIN = 4
@@ -193,24 +193,25 @@ def covered(starts: Column, length: Column) -> Column:
     )["n"]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, kind, n_covered, doc_start of each contaminated pair, its best run."""
+def runs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """id, sig (of the text), item_id, kind, same, n_covered and doc_start of all contaminated runs."""
     items = materialise(windows(benchmark.selectExpr("cast(item_id as long) id", "cast(text as string) text"), None, None))
     lengths = sorted(r.length for r in items.select("length").distinct().collect())  # MIN_WORDS to WINDOW
-    texts = docs.selectExpr("cast(doc_id as long) id", "cast(text as string) text").filter("id is not null")
+    texts = docs.selectExpr("cast(doc_id as long) id", "cast(text as string) text")
     hits = windows(texts, lengths, bitmap(items))
     item = items.select(F.col("id").alias("item_id"), F.col("sig").alias("item_sig"), F.col("at").alias("item_at"), "length", F.col("n_words").alias("item_words"), "hash", F.col("words").alias("item_template"), F.col("values").alias("item_values"))
     met = hits.join(item, ["hash", "length"]).filter("words = item_template")
     run = ["id", "sig", "item_id", "item_sig", "item_words", "length", (F.col("at") - F.col("item_at")).alias("diagonal")]
     cells = F.transform(F.arrays_zip("words", "values", "item_values"), lambda c, i: F.struct((F.col("item_at") + i).alias("place"), c["words"].alias("word"), c["item_values"].alias("theirs"), c["values"].alias("ours")))
-    runs = met.select(*run, "item_at", cells.alias("cells")).groupBy("id", "sig", "item_id", "item_sig", "item_words", "length", "diagonal").agg(
+    gathered = met.select(*run, "item_at", cells.alias("cells")).groupBy("id", "sig", "item_id", "item_sig", "item_words", "length", "diagonal").agg(
         F.sort_array(F.collect_set("item_at")).alias("starts"), F.array_distinct(F.flatten(F.collect_list("cells"))).alias("cells")
     )
     slots = F.filter("cells", lambda c: c["word"].isin(*SLOTS))
     pairs = F.array_distinct(F.transform(slots, lambda c: F.struct(c["theirs"], c["ours"])))
     theirs, ours = (F.size(F.array_distinct(F.transform(pairs, lambda p: p[k]))) for k in ("theirs", "ours"))
-    judged = runs.select(
+    judged = gathered.select(
         "id",
+        "sig",
         "item_id",
         covered(F.col("starts"), F.col("length")).alias("n_covered"),
         (F.size("cells") - F.size(slots)).alias("n_plain"),
@@ -221,14 +222,22 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     counted = judged.filter((F.col("n_covered") >= F.col("needed")) & (F.col("agree") | (F.col("n_plain") >= F.col("needed"))))
     kind = F.when(F.col("same"), "exact").when(F.col("agree"), "reparameterised").otherwise("plain words")
-    best = counted.groupBy("id", "item_id").agg(F.max_by(F.struct(kind.alias("kind"), "n_covered", "doc_start"), F.struct("n_covered", "same", -F.col("doc_start"))).alias("best"))
+    return counted.select("id", "sig", "item_id", kind.alias("kind"), "same", "n_covered", "doc_start")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, kind, n_covered, doc_start of each contaminated pair, its best run."""
+    rank = F.struct("n_covered", "same", -F.col("doc_start"))
+    best = runs(docs, benchmark).groupBy("id", "item_id").agg(F.max_by(F.struct("kind", "n_covered", "doc_start"), rank).alias("best"))
     return best.select(F.col("id").alias("doc_id"), "item_id", "best.*")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a contaminated pair, with all their columns."""
-    leaked = matches(docs, benchmark).select("doc_id").distinct().toDF("_leaked_id")
-    return docs.join(leaked, docs["doc_id"] == leaked["_leaked_id"], "left_anti")
+    """The documents whose texts are in no contaminated pair, with all their columns."""
+    leaked = materialise(runs(docs, benchmark).select("sig").distinct().withColumnRenamed("sig", "_sig"))
+    signed = docs.withColumn("_sig", F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), 1))
+    some, rest = split_by_ids(signed, "_sig", leaked)
+    return some.join(leaked, "_sig", "left_anti").unionByName(rest).select(*docs.columns)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, table
+from .common import discard, materialise, split_by_ids, table
 
 BITS = 64
 RADIUS = 3
@@ -340,75 +340,105 @@ def exact_pairs(texts: DataFrame, roots: DataFrame, shingle: int, similarity: fl
     many = materialise(rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("part"))).filter("n > 1"))
     rooted = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = rooted.groupBy("part").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("part")
-    rooted = materialise(rooted.join(apart, "part", "left_semi").withColumn("deals", F.ceil(F.col("n") / PART).cast("int")))
-    left = rooted.select("part", F.pmod(F.xxhash64("node"), "deals").cast("int").alias("deal"), *(F.col(c).alias(f"{c}_a") for c in ("node", "size", "place", "root")))
-    right = rooted.select("part", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), *(F.col(c).alias(f"{c}_b") for c in ("node", "size", "place", "root")))
+    shared_rows = materialise(rooted.join(apart, "part", "left_semi").withColumn("deals", F.ceil(F.col("n") / PART).cast("int")))
+    left = shared_rows.select("part", F.pmod(F.xxhash64("node"), "deals").cast("int").alias("deal"), *(F.col(c).alias(f"{c}_a") for c in ("node", "size", "place", "root")))
+    right = shared_rows.select("part", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), *(F.col(c).alias(f"{c}_b") for c in ("node", "size", "place", "root")))
     sized = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-6
     follow = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
     enough = follow >= similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-6
     met = left.join(right, ["part", "deal"]).filter((F.col("node_a") > F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & sized & enough)
-    return met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "root_a", "root_b").agg(F.count(F.lit(1)).alias("shared"))
+    pairs = materialise(met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "root_a", "root_b").agg(F.count(F.lit(1)).alias("shared")))
+    discard(many)
+    discard(shared_rows)
+    return pairs
 
 
 def near_copies(docs: DataFrame, families: int = FAMILIES, shingle: int = COPY_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, text_hash and leader of the documents that another one stands for.
+    """node, doc_id and leader of the documents that another one stands for; a node is an id with
+    its text, so several texts of one id, or of none, are documents of their own.
 
     Equal texts: the least id stays. The rest are joined to groups by all pairs of the least
     similarity; in a group the least id leads and all others go. Fingerprints of word sets join
     most of a group cheaply: the links of the buckets' spanning trees, checked on the texts. They
     find no pair for sure, so `exact_pairs` then gives every pair that is left between groups:
     first the likeliest of two groups is checked, then all whose groups are still apart.
+
+    Texts stay where they are read but for those that links name.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    read = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    slim = read.select("doc_id", "text_hash").distinct()
-    equal = materialise(slim.join(slim.groupBy("text_hash").agg(F.min("doc_id").alias("first")), "text_hash"))
+    read = with_nodes(docs).select("node", "doc_id", "text_hash", "text")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
+    slim = read.select("node", "doc_id", "text_hash").distinct()
+    firsts = materialise(slim.groupBy("text_hash").agg(F.min_by(F.struct("node", "doc_id"), order).alias("f")).select("text_hash", "f.node", "f.doc_id"))
+    equal = materialise(slim.join(firsts.select("text_hash", F.col("node").alias("first")), "text_hash").select("node", "doc_id", "first"))
+    doubted, sure = split_by_ids(read, "node", equal.filter("node <> first"))
+    whole = doubted.join(firsts, "node", "left_semi").unionByName(sure).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [np.array(word_prints(t, families), np.uint64).view(np.int64) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(made, pa.list_(pa.int64()))], ["doc_id", "text_hash", "fps"])
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(made, pa.list_(pa.int64()))], ["node", "fps"])
 
-    firsts = equal.filter("doc_id = first").select("doc_id", "text_hash")
-    printed = read.mapInArrow(run, "doc_id long, text_hash long, fps array<long>")
-    prints = materialise(printed.join(firsts, ["doc_id", "text_hash"], "left_semi").select(F.col("doc_id").alias("node"), "fps").dropDuplicates(["node"]))
+    prints = materialise(whole.mapInArrow(run, "node long, fps array<long>").dropDuplicates(["node"]))
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similar(x, y, shingle, similarity) for x, y in zip(a, b)])
 
     def checked(links: DataFrame) -> DataFrame:
-        nodes = links.select(F.col("a").alias("doc_id")).union(links.select("b")).distinct().join(firsts, "doc_id")
-        texts = materialise(read.join(nodes, ["doc_id", "text_hash"], "left_semi").select("doc_id", "text").distinct())
+        """The links whose texts are alike; the given ones are discarded."""
+        nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+        named, _ = split_by_ids(read, "node", nodes)
+        texts = materialise(named.join(nodes, "node", "left_semi").select("node", "text").dropDuplicates(["node"]))
         both = links.select("a", "b").join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
         held = materialise(both.filter(alike("text_a", "text_b")).select("a", "b").distinct())
         discard(texts)
+        discard(links)
         return held
 
     def grown(roots: DataFrame, links: DataFrame) -> DataFrame:
-        return components(roots.filter("node > root").toDF("a", "b").union(links).distinct())
-
-    roots = components(checked(materialise(candidate_links(prints, families))))
-    whole = read.join(firsts, ["doc_id", "text_hash"], "left_semi").select(F.col("doc_id").alias("node"), "text")
-    pairs = materialise(exact_pairs(whole, roots, shingle, similarity))
+        made = components(roots.filter("node > root").toDF("a", "b").union(links).distinct())
+        discard(links)
+        return made
+
+    links = checked(materialise(candidate_links(prints, families)))
+    discard(prints)
+    roots = components(links)
+    discard(links)
+    pairs = exact_pairs(whole, roots, shingle, similarity)
     likely = pairs.groupBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).agg(F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("pair"))
-    roots = grown(roots, checked(materialise(likely.select("pair.*"))))
+    before, roots = roots, grown(roots, checked(materialise(likely.select("pair.*"))))
+    discard(before)
     of = lambda side: roots.toDF(side, f"new_{side}")
     rest = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("new_a", "root_a") != F.coalesce("new_b", "root_b"))
     tried = likely.select("pair.*")
-    roots = grown(roots, checked(materialise(rest.select("a", "b").join(tried, ["a", "b"], "left_anti"))))
-    led = equal.join(roots, equal["first"] == roots["node"], "left").select("doc_id", "text_hash", F.coalesce("root", "first").alias("leader"))
-    return led.filter("doc_id <> leader")
+    before, roots = roots, grown(roots, checked(materialise(rest.select("a", "b").join(tried, ["a", "b"], "left_anti"))))
+    discard(before)
+    discard(pairs)
+    grouped = equal.join(roots, equal["first"] == roots["node"], "left").select(equal["node"], "doc_id", F.coalesce("root", "first").alias("root"))
+    led = materialise(grouped.groupBy("root").agg(F.min_by(F.struct("node", "doc_id"), order).alias("lead")))
+    gone = materialise(grouped.join(led, "root").filter("node <> lead.node").select("node", "doc_id", F.col("lead.doc_id").alias("leader")))
+    for frame in (firsts, equal, roots, led):
+        discard(frame)
+    return gone
+
+
+def with_nodes(docs: DataFrame) -> DataFrame:
+    """The documents' own columns, text read as a string, null as empty, with text_hash and node."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return read.withColumn("node", F.xxhash64("doc_id", "text_hash"))
 
 
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
     """The documents without near copies of others, with all their columns.
 
-    Rows with equal id and text are one document; rows with a null id stay.
+    Rows with equal id and text are one document.
     """
-    gone = near_copies(docs, **how).select("doc_id", "text_hash").toDF("_copy_id", "_copy_hash")
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    return docs.join(gone, (docs["doc_id"] == gone["_copy_id"]) & (F.xxhash64(text) == gone["_copy_hash"]), "left_anti")
+    gone = near_copies(docs, **how).select(F.col("node").alias("_node"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    noded = docs.withColumn("_node", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(text)))
+    some, rest = split_by_ids(noded, "_node", gone)
+    return some.join(gone, "_node", "left_anti").unionByName(rest).select(*docs.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

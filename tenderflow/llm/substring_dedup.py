@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, id_bitmap, in_bitmap, materialise, table
+from .common import discard, materialise, split_by_ids, table
 
 LENGTH = 100
 Q = 32
@@ -254,7 +254,7 @@ def still_open(judged: DataFrame) -> DataFrame:
 def contexts(docs: DataFrame, opened: DataFrame) -> DataFrame:
     """h, doc_id, sig, start, windows, classes and the bytes that an open anchor's windows cover."""
     listed = opened.groupBy("doc_id", "sig").agg(F.collect_set(F.struct("h", (F.col("a") - far()).alias("start"), (far() - near() + 1).alias("windows"), "classes")).alias("opened"))
-    met = docs.filter(in_bitmap(docs.sparkSession, "doc_id", id_bitmap(opened, "doc_id")))
+    met, _ = split_by_ids(docs, "doc_id", opened)
     read = met.join(listed, ["doc_id", "sig"]).select("doc_id", "sig", "data", F.explode("opened").alias("o"))
     context = F.substring("data", F.col("o.start") + 1, F.col("o.windows") + LENGTH - 1)
     return read.select("o.h", "doc_id", "sig", "o.start", "o.windows", "o.classes", context.alias("context"))
@@ -375,9 +375,9 @@ def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
             made = [pa.array(x, k) for x, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *made], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    touched = in_bitmap(docs.sparkSession, "doc_id", id_bitmap(spans, "doc_id"))  # false for a null id
-    cut = docs.filter(touched).join(spans, ["doc_id", "sig"], "left").select("doc_id", "data", "spans")
-    whole = docs.filter(~touched).select("doc_id", "data", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    touched, whole = split_by_ids(docs, "doc_id", spans)  # a null id is not touched
+    cut = touched.join(spans, ["doc_id", "sig"], "left").select("doc_id", "data", "spans")
+    whole = whole.select("doc_id", "data", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
     return cut.unionByName(whole).mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 

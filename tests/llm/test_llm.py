@@ -487,7 +487,7 @@ def test_near_copies(spark, none, odd):
     assert kept == set(range(21))
     assert simhash.drop_near_copies(none).count() == 0
     assert simhash.drop_near_copies(odd).columns == odd.columns
-    assert simhash.drop_near_copies(odd).filter("doc_id is null").count() == 2
+    assert [r.text for r in simhash.drop_near_copies(odd).filter("doc_id is null").collect()] == ["nobody"]  # empty texts have an id elsewhere
 
 
 def brute_leaders(texts):
