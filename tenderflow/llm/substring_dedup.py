@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,9 +44,11 @@ from .common import discard, materialise, split_by_ids, table
 LENGTH = 100
 Q = 32
 WINDOW = LENGTH - Q + 1
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 BUCKET = 1000
-BLOCK = 20_000
+BLOCK = 4000
+#: Bytes of text that a task works on at once, a longer text alone.
+SLICE = 4 << 20
 #: Common q-grams: one document in SAMPLE is looked at; those met COMMON times, HELD at most, are dealt out.
 SAMPLE, COMMON, HELD = 16, 32, 1 << 16
 BASES = (0x5851F42D4C957F2D, 0x9E3779B97F4A7C15)
@@ -162,6 +165,17 @@ def joined_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[n
     return doc[heads], start[heads], reach[np.append(heads[1:], len(doc)) - 1]
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about SLICE bytes of `data`."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch["data"]).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def anchors(docs: DataFrame, common: np.ndarray | None = None) -> DataFrame:
     """Rows h, deal, c, doc_id, sig, a, b: an anchor at a with distances b to its windows, or, where
     c is null, a span [a, b) that is a copy of something the task met earlier. deal is 0 but for
@@ -171,7 +185,7 @@ def anchors(docs: DataFrame, common: np.ndarray | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = held.value
         hashers = tuple(map(Hasher, BASES))
-        for batch in batches:
+        for batch in slices(batches):
             doc_ids, sigs = batch["doc_id"].to_numpy(), batch["sig"].to_numpy()
             h, c, row, place, first, last = batch_anchors(np.arange(batch.num_rows), batch["data"].to_pylist(), hashers)
             order = np.lexsort((place, doc_ids[row], c, h))
