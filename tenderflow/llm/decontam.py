@@ -116,27 +116,29 @@ class Template:
         return [SLOTS[s - 1] if s else t.lower() for t, s in zip(self.tokens[at : at + n], slots[at : at + n])]
 
 
-def window_hashes(template: Template, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each reading its slots, the hashes of the windows of a length, and whether each counts:
-    it has enough plain words or is read as it stands, and no reading before gives the same."""
-    n = len(template) - length + 1
-    if n <= 0:
-        return
-    done = []
+def window_hashes(template: Template, lengths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each reading and length: the length, the reading's slots, the hashes of the windows, and
+    whether each counts: it has enough plain words or is read as it stands, and no reading before
+    gives the same. One pass makes the hashes of all lengths."""
+    most = min(max(lengths), len(template))
+    done: dict[int, list] = {n: [] for n in lengths}
     for slots in template.readings:
         hashes = np.where(slots > 0, slots.astype(np.uint64), template.coded)
-        out = np.full(n, length, np.uint64)
-        for k in range(length):
-            out = (out + hashes[k : k + n]) * BASE
-            out ^= out >> np.uint64(29)
-        out *= FACTOR
-        made = (out ^ (out >> np.uint64(32))).view(np.int64)
         plain = np.append(0, np.cumsum(slots == 0))
-        good = plain[length:] - plain[:-length] >= min(PLAIN, (length + 1) // 2)
-        for other, taken in done:
-            good &= ~(taken & (other == made))
-        done.append((made, good.copy()))
-        yield slots, made, good
+        out = np.zeros(len(hashes), np.uint64)
+        for k in range(most):
+            out = (out[: len(hashes) - k] + hashes[k:]) * BASE
+            out ^= out >> np.uint64(29)
+            n = k + 1
+            if n not in done:
+                continue
+            made = (out + np.uint64(n)) * FACTOR
+            made = (made ^ (made >> np.uint64(32))).view(np.int64)
+            good = plain[n:] - plain[:-n] >= min(PLAIN, (n + 1) // 2)
+            for other, taken in done[n]:
+                good &= ~(taken & (other == made))
+            done[n].append((made, good.copy()))
+            yield n, slots, made, good
 
 
 WINDOW_FIELDS = "id long, sig long, at int, length int, n_words int, hash long, words array<string>, values array<string>"
@@ -160,14 +162,13 @@ def windows(rows: DataFrame, lengths: list[int] | None, seen: np.ndarray | None)
                 if len(template) < MIN_WORDS:
                     continue
                 sig = None
-                for length in lengths if lengths is not None else [min(WINDOW, len(template))]:
-                    for slots, hashes, good in window_hashes(template, length):
-                        if seen is not None:
-                            bit = hashes.view(np.uint64) % np.uint64(BITS)
-                            good &= (seen[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                        for at in np.flatnonzero(good):
-                            sig = xxhash.xxh64_intdigest(text.encode(), 42) >> 1 if sig is None else sig
-                            out.append((row_id, sig, at, length, len(template), hashes[at], template.words(slots, at, length), template.values(at, length)))
+                for length, slots, hashes, good in window_hashes(template, lengths or [min(WINDOW, len(template))]):
+                    if seen is not None:
+                        bit = hashes.view(np.uint64) % np.uint64(BITS)
+                        good &= (seen[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                    for at in np.flatnonzero(good):
+                        sig = xxhash.xxh64_intdigest(text.encode(), 42) >> 1 if sig is None else sig
+                        out.append((row_id, sig, at, length, len(template), hashes[at], template.words(slots, at, length), template.values(at, length)))
             columns = list(zip(*out)) or [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
@@ -196,7 +197,7 @@ def covered(starts: Column, length: Column) -> Column:
 def runs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """id, sig (of the text), item_id, kind, same, n_covered and doc_start of all contaminated runs."""
     items = materialise(windows(benchmark.selectExpr("cast(item_id as long) id", "cast(text as string) text"), None, None))
-    lengths = sorted(r.length for r in items.select("length").distinct().collect())  # MIN_WORDS to WINDOW
+    lengths = sorted(r.length for r in items.select("length").distinct().collect()) or [WINDOW]  # MIN_WORDS to WINDOW
     texts = docs.selectExpr("cast(doc_id as long) id", "cast(text as string) text")
     hits = windows(texts, lengths, bitmap(items))
     item = items.select(F.col("id").alias("item_id"), F.col("sig").alias("item_sig"), F.col("at").alias("item_at"), "length", F.col("n_words").alias("item_words"), "hash", F.col("words").alias("item_template"), F.col("values").alias("item_values"))
