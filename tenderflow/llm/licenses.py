@@ -1,12 +1,13 @@
 """Licence scans by sentence rules, in Spark expressions only.
 
-Sentences are normalised and looked up in a table of known licence sentences; what is found, in
-order, is a sequence of sentence identifiers. Rules are sequences too; at each place the longest
-rule that fits names the licence. Sentences that are not known are passed over. The tables are
-fixed and small and become literals of the plan: no join and no shuffle.
+A text is normalised to words in small letters between sentence marks. Known licence sentences are
+found in it and become identifiers; what is found, in order, is a sequence, and rules are sequences
+too. At each place the longest rule that fits names the licence. Sentences that are not known are
+passed over. The tables are fixed and small and become literals of the plan: no join, no shuffle.
 
-Lines wrapped inside a sentence (no mark before the break, a small letter after it) are joined
-first; then sentences end at . ! ? ; : before white space, and at line breaks.
+A sentence ends at . ! ? ; : before white space and at a line without words. A line break is a soft
+mark: a known sentence may start or end there, or go on over it, so neither wrapped lines nor
+headings above them matter. Punctuation is no word, so comment signs and indentation vanish.
 
 Edge cases: a null or empty text has no sentences; repeated rows each give a row; an empty table
 gives an empty result; columns other than doc_id and text are ignored.
@@ -19,70 +20,80 @@ from pyspark.sql import functions as F
 
 from .common import table, text_or_empty
 
-#: Known licence sentences, normalised, and the licences that sequences of them make.
+APACHE, GPL, LGPL, AGPL = "the apache license version 2 0", "gnu general public license", "gnu lesser general public license", "gnu affero general public license"
+REDISTRIBUTE = "you can redistribute it and or modify it under the terms of the"
+FOUNDATION = "as published by the free software foundation"
+LATER = "or at your option any later version"
+
+#: Known licence sentences, normalised, | for a sentence mark inside, and the licences
+#: that sequences of them make.
 SENTENCES = {
-    "A01": "licensed under the apache license version 2 0",
-    "A02": "licensed under the apache license version 2 0 the license",
+    "A02": f"licensed under {APACHE} the license",
     "A03": "you may not use this file except in compliance with the license",
     "A04": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "A05": "see the license for the specific language governing permissions and limitations under the license",
-    "A06": "this work is licensed under the apache license version 2 0",
     "B01": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "B02": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "B03": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "B04": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    "C01": "licensed under cc by 4 0",
-    "C02": "licensed under cc by sa 4 0",
-    "C03": "licensed under cc by nc 4 0",
-    "C04": "licensed under cc by nc sa 4 0",
-    "C05": "licensed under cc by nd 4 0",
-    "C06": "this work is licensed under a creative commons attribution 4 0 international license",
-    "C07": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
-    "C08": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
-    "G01": "this work is licensed under the gnu general public license version 3",
-    "G02": "this work is licensed under the gnu general public license version 2",
+    "B05": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
     "G03": "this program is free software",
-    "G04": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "G05": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-    "G06": "licensed under the gnu general public license version 3",
-    "M01": "released under the mit license",
-    "M02": "licensed under the mit license",
+    "G04": f"{REDISTRIBUTE} {GPL} {FOUNDATION} either version 3 of the license {LATER}",
+    "G05": f"{REDISTRIBUTE} {GPL} {FOUNDATION} either version 2 of the license {LATER}",
+    "G07": f"{REDISTRIBUTE} {GPL} {FOUNDATION} | either version 2 of the license {LATER}",
+    "G08": f"{REDISTRIBUTE} {GPL} {FOUNDATION} | either version 3 of the license {LATER}",
+    "G09": f"{REDISTRIBUTE} {AGPL} {FOUNDATION} either version 3 of the license {LATER}",
+    "I01": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "L01": "this library is free software",
+    "L02": f"{REDISTRIBUTE} {LGPL} {FOUNDATION} | either version 2 1 of the license {LATER}",
+    "L03": f"{REDISTRIBUTE} {LGPL} {FOUNDATION} either version 3 of the license {LATER}",
     "M03": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "M04": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "P01": "this source code form is subject to the terms of the mozilla public license v",
-    "P02": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0 and this license applies",
+    "M05": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    "P01": "this source code form is subject to the terms of the mozilla public license v | 2 0",
+    "P02": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "P03": "the contents of this file are subject to the mozilla public license version 1 1 the license",
+    "U01": "this is free and unencumbered software released into the public domain",
 }
-RULES = (
-    ("Apache-2.0", "A02 A03 A04 A05"),
-    ("Apache-2.0", "A02 A03"),
-    ("Apache-2.0", "A02"),
-    ("Apache-2.0", "A01"),
-    ("Apache-2.0", "A06"),
-    ("BSD-3-Clause", "B01 B02 B03 B04"),
-    ("BSD-2-Clause", "B01 B02 B03"),
-    ("CC-BY-4.0", "C01"),
-    ("CC-BY-4.0", "C06"),
-    ("CC-BY-NC-4.0", "C03"),
-    ("CC-BY-NC-4.0", "C08"),
-    ("CC-BY-NC-SA-4.0", "C04"),
-    ("CC-BY-ND-4.0", "C05"),
-    ("CC-BY-SA-4.0", "C02"),
-    ("CC-BY-SA-4.0", "C07"),
-    ("GPL-2.0-only", "G02"),
-    ("GPL-2.0-or-later", "G03 G05"),
-    ("GPL-3.0-only", "G01"),
-    ("GPL-3.0-only", "G06"),
-    ("GPL-3.0-or-later", "G03 G04"),
-    ("MIT", "M01"),
-    ("MIT", "M02"),
-    ("MIT", "M03 M04"),
-    ("MPL-2.0", "P01"),
-)
-#: Each known sentence holds one of these; a text with none of them is not split at all.
-HINTS = ("licen", "software", "redistribut", "copyright", "mpl")
+RULES = [
+    ("Apache-2.0", "A02 A03 A04 A05"), ("Apache-2.0", "A02 A03"), ("Apache-2.0", "A02"), ("BSD-3-Clause", "B01 B02 B03 B04"), ("BSD-2-Clause", "B01 B02 B03"),
+    ("GPL-2.0-or-later", "G03 G05"), ("GPL-2.0-or-later", "G03 G07"), ("GPL-3.0-or-later", "G03 G04"), ("GPL-3.0-or-later", "G03 G08"), ("AGPL-3.0-or-later", "G03 G09"),
+    ("ISC", "I01"), ("LGPL-2.1-or-later", "L01 L02"), ("LGPL-3.0-or-later", "L01 L03"), ("MIT", "M03 M04"), ("MPL-2.0", "P01 P02"), ("MPL-2.0", "P01"), ("MPL-1.1", "P03"), ("Unlicense", "U01"),
+]
+#: How short statements begin, and the names that licences have in them.
+STATEMENTS = ("licensed under", "released under", "distributed under", "available under", *(f"this {what} is {how} under" for what in ("project", "work", "software") for how in ("licensed", "released")))
+NAMES = {
+    "MIT": ("the mit license", "mit license"), "Apache-2.0": (APACHE, "apache license 2 0", "the apache license 2 0"), "BSD-2-Clause": ("the bsd 2 clause license",), "BSD-3-Clause": ("the bsd 3 clause license",),
+    "ISC": ("the isc license",), "Unlicense": ("the unlicense",), "MPL-2.0": ("the mozilla public license version 2 0", "the mozilla public license 2 0"), "MPL-1.1": ("the mozilla public license version 1 1",),
+    "GPL-2.0-only": (f"the {GPL} version 2", "the gpl version 2"), "GPL-3.0-only": (f"the {GPL} version 3", "the gpl version 3"), "LGPL-2.1-only": (f"the {LGPL} version 2 1",), "LGPL-3.0-only": (f"the {LGPL} version 3",), "AGPL-3.0-only": (f"the {AGPL} version 3",),
+    "CC-BY-4.0": ("cc by 4 0", "a creative commons attribution 4 0 international license"), "CC-BY-SA-4.0": ("cc by sa 4 0", "a creative commons attribution sharealike 4 0 international license"),
+    "CC-BY-NC-4.0": ("cc by nc 4 0", "a creative commons attribution noncommercial 4 0 international license"), "CC-BY-NC-SA-4.0": ("cc by nc sa 4 0", "a creative commons attribution noncommercial sharealike 4 0 international license"),
+    "CC-BY-ND-4.0": ("cc by nd 4 0", "a creative commons attribution noderivatives 4 0 international license"), "CC0-1.0": ("cc0 1 0",),
+}
+SPDX = (*NAMES, "GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "0BSD", "BSL-1.0", "EPL-2.0", "Zlib")
+for _i, (_name, _said) in enumerate(NAMES.items()):
+    for _k, _form in enumerate(_said):
+        for _j, _start in enumerate(STATEMENTS):
+            SENTENCES[f"S{_i:02}{_k}{_j}"] = f"{_start} {_form}"
+            RULES.append((_name, f"S{_i:02}{_k}{_j}"))
+for _i, _name in enumerate(SPDX):
+    SENTENCES[f"X{_i:02}"] = "spdx license identifier | " + _name.lower().replace("-", " ").replace(".", " ")
+    RULES.append((_name, f"X{_i:02}"))
+
+#: Each known sentence holds one of these; a text with none of them is not read at all.
+HINTS = ("licen", "software", "redistribut", "copyright", "mpl", "gpl", "cc0", "cc by")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WRAP = r"([^.!?:;\n])\n([a-z(])"
-ENDS = r"([.!?;:])[ \t\r\n]+"
+#: Sentence marks and line breaks become control characters, then pairs of brackets.
+STEPS = (
+    (r"[.!?;:][ \t\r\n]+", "\x01"),
+    (r"\n[^a-z0-9\n\x01]*\n", "\x01"),
+    (r"\n", "\x02"),
+    (r"[^a-z0-9\x01\x02]+", " "),
+    (r" *\x01 *", " > < "),
+    (r" *\x02 *", " ) ( "),
+    (r" +", " "),
+)
+SOFT = r"(?: \) \()*"
 
 
 def longest_first() -> list[tuple[str, str]]:
@@ -94,17 +105,25 @@ def rule_pattern() -> str:
     return "|".join(f"{ids} " for _, ids in longest_first())
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, in order."""
-    unwrapped = F.regexp_replace(text, WRAP, "$1 $2")
-    lines = F.split(F.regexp_replace(unwrapped, ENDS, "$1\n"), "\n", -1)
-    return F.transform(lines, lambda s: F.trim(F.regexp_replace(F.translate(s, UPPER, LOWER), "[^a-z0-9]+", " ")))
+def sentence_pattern() -> str:
+    """A known sentence between two marks, soft marks anywhere in it, longest first."""
+    said = lambda s: f"{SOFT} ".join("> <" if w == "|" else w for w in s.split())
+    return f"[<(] ({'|'.join(map(said, sorted(SENTENCES.values(), key=lambda s: (-len(s), s))))}) [>)]"
+
 
+def normalised(text: Column) -> Column:
+    """Words of a text between < and >, ( and ) where a line breaks."""
+    out = F.translate(text, f"{UPPER}\x01\x02", LOWER)
+    for pattern, to in STEPS:
+        out = F.regexp_replace(out, pattern, to)
+    return F.concat(F.lit("< "), F.trim(out), F.lit(" >"))
 
-def known(found: Column) -> Column:
-    """Identifiers of the known ones among normalised sentences, in order."""
-    ids = F.create_map(*(F.lit(x) for i, s in SENTENCES.items() for x in (s, i)))
-    return F.filter(F.transform(found, lambda s: F.try_element_at(ids, s)), lambda i: i.isNotNull())
+
+def known(read: Column) -> Column:
+    """Identifiers of the known sentences in a normalised text, in order."""
+    ids = F.create_map(*(F.lit(x) for i, s in SENTENCES.items() for x in (s.replace("|", "> <"), i)))
+    found = F.regexp_extract_all(read, F.lit(sentence_pattern()), F.lit(1))
+    return F.transform(found, lambda s: F.element_at(ids, F.regexp_replace(s, r" \) \(", "")))
 
 
 def licences(ids: Column) -> Column:
@@ -117,9 +136,9 @@ def licences(ids: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, sentence_ids and licences, arrays in the order of the text."""
     text = text_or_empty()
-    hinted = F.rlike(text, F.lit("(?i)" + "|".join(HINTS)))
+    hinted = F.rlike(text, F.lit("(?i)" + "|".join(HINTS).replace(" ", "[^a-z0-9]+")))
     empty = F.array().cast("array<string>")
-    found = docs.select("doc_id", F.when(hinted, known(sentences(text))).otherwise(empty).alias("sentence_ids"))
+    found = docs.select("doc_id", F.when(hinted, known(normalised(text))).otherwise(empty).alias("sentence_ids"))
     return found.withColumn("licences", licences(F.col("sentence_ids")))
 
 
@@ -134,22 +153,28 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _cases(column: str, pairs) -> str:
-    return f"CASE {column} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in pairs) + " END"
+def _map(pairs) -> str:
+    keys, values = zip(*pairs)
+    return f"map({list(keys)}, {list(values)})"
+
+
+def _normalised_sql() -> str:
+    out = f"translate(coalesce(text, ''), '{UPPER}' || chr(1) || chr(2), '{LOWER}')"
+    for pattern, to in STEPS:
+        shown = {"\x01": "chr(1)", "\x02": "chr(2)"}.get(to, f"'{to}'")
+        out = f"regexp_replace({out}, '{pattern}', {shown}, 'g')"
+    return f"'< ' || trim({out}) || ' >'"
 
 
 OP8_SQL = rf"""
-WITH split AS (
-  SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '{WRAP}', '\1 \2', 'g'), '{ENDS}', '\1' || chr(10), 'g'), chr(10)) AS lines
-  FROM documents
+WITH read AS (SELECT doc_id, {_normalised_sql()} AS said FROM documents
 ), named AS (
-  SELECT doc_id, list_filter(list_transform(list_transform(lines,
-    lambda s: trim(regexp_replace(translate(s, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'))),
-    lambda s: {_cases("s", [(s, i) for i, s in SENTENCES.items()])}), lambda i: i IS NOT NULL) AS ids
-  FROM split
+  SELECT doc_id, list_transform(regexp_extract_all(said, '{sentence_pattern()}', 1),
+    lambda s: {_map([(s.replace("|", "> <"), i) for i, s in SENTENCES.items()])}[regexp_replace(s, ' \) \(', '', 'g')]) AS ids
+  FROM read
 ), ruled AS (
   SELECT doc_id, ids, list_transform(regexp_extract_all(list_aggregate(list_concat(list_transform(ids, lambda i: i || ' '), ['']), 'string_agg', ''), '{rule_pattern()}'),
-    lambda m: {_cases("m", [(f"{rule} ", name) for name, rule in RULES])}) AS names
+    lambda m: {_map([(f"{rule} ", name) for name, rule in RULES])}[m]) AS names
   FROM named
 )
 SELECT doc_id, len(ids)::BIGINT AS n_sentences, array_to_string(ids, ' ') AS sentence_ids,
