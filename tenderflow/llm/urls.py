@@ -6,9 +6,12 @@ ORDER others, each order smoothed by the next lower one. A URL that no rule fits
 the difference of its log-likelihoods per character; the threshold is calibrated on a fold of
 the labelled URLs that the models have not seen.
 
-Counts cover all labelled URLs outside that fold and are summed in Spark. They are kept in
-BINS hashed bins, so a model has BINS rows at most, whatever the corpus, and can be broadcast;
-the calibration histogram is bounded by its number of steps.
+Counts cover all labelled URLs outside that fold and are exact, one row a gram, so the models grow
+with the corpus. They stay in Spark: the windows of all URLs, each a character and what stands
+before it, are made distinct, each distinct window meets the counts of its grams and contexts in a
+join and gets its log-likelihood difference once, and URLs join their windows. Only the letter
+totals and the calibration histogram, bounded by its number of steps, reach the driver. Common
+windows make large groups on one side of the last join only, which Spark splits.
 
 Edge cases: a null or empty URL, or one without ://, has empty host and path and no rule, and a
 score of 0; a URL is allowed where one of the models has no data; repeated rows each give a row;
@@ -17,21 +20,15 @@ an empty table gives an empty result; columns other than page_id and url are ign
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-from functools import lru_cache
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import discard, materialise, table, text_or_empty
 
 #: host, path, verdict
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 ORDER = 4
-BINS = 1 << 18
 SMOOTHING = 2.0
 ALPHABET = 64
 FOLDS = 10
@@ -63,8 +60,8 @@ def model_text(url: Column) -> Column:
     return F.concat(F.lit("^"), F.regexp_replace(rest, "[0-9]", "0"), F.lit("$"))
 
 
-def gram_counts(labelled: DataFrame, order: int = ORDER, bins: int = BINS) -> DataFrame:
-    """bin, accepted, rejected: how often grams of up to order + 1 characters occur."""
+def gram_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
+    """gram, accepted, rejected: how often each gram of up to order + 1 characters occurs."""
     s = F.col("model_text")
     grams = F.flatten(
         F.transform(
@@ -72,58 +69,52 @@ def gram_counts(labelled: DataFrame, order: int = ORDER, bins: int = BINS) -> Da
             lambda i: F.transform(F.sequence(F.lit(0), F.least(F.lit(order), i - 1)), lambda k: F.substring(s, i - k, k + 1)),
         )
     )
-    one = lambda verdict: F.count_if(F.col("verdict") == verdict)
     exploded = labelled.select("verdict", F.explode(grams).alias("gram"))
-    return exploded.groupBy(F.pmod(F.xxhash64("gram"), F.lit(bins)).alias("bin")).agg(one("allow").alias("accepted"), one("block").alias("rejected"))
-
-
-class RatioModel:
-    """Two hashed count tables and the log-likelihood difference they give."""
-
-    def __init__(self, counts: np.ndarray, letters: np.ndarray, order: int, bins: int):
-        self.counts, self.letters, self.order, self.bins = counts, letters, order, bins
-        self.trained = bool((letters > 0).all())
-
-    def of(self, gram: str) -> np.ndarray:
-        import xxhash
-
-        h = xxhash.xxh64_intdigest(gram.encode(), 42)
-        return self.counts[(h - (1 << 64) if h >> 63 else h) % self.bins]
+    return exploded.groupBy("gram").agg(F.count_if(F.col("verdict") == "allow").alias("accepted"), F.count_if(F.col("verdict") == "block").alias("rejected"))
 
-    def ratio(self, window: str) -> float:
-        """log p(rejected) - log p(accepted) of the window's last character after the others."""
-        p = np.full(2, 1 / ALPHABET)
-        for k in range(len(window)):
-            total = self.of(window[-1 - k : -1]) if k else self.letters
-            p = (self.of(window[-1 - k :]) + SMOOTHING * p) / (total + SMOOTHING)
-        return float(np.log(p[1]) - np.log(p[0]))
 
+def windows(text: Column, order: int = ORDER) -> Column:
+    """Each character after the first with up to `order` before it."""
+    at = lambda i: F.substring(text, F.greatest(i - order, F.lit(1)), F.least(i, F.lit(order + 1)))
+    return F.when(F.length(text) > 2, F.transform(F.sequence(F.lit(2), F.length(text)), at)).otherwise(F.array().cast("array<string>"))
 
-def fit(labelled: DataFrame, order: int = ORDER, bins: int = BINS) -> RatioModel:
-    """At most `bins` rows of counts reach the driver."""
-    rows = gram_counts(labelled, order, bins).toPandas()
-    counts = np.zeros((bins, 2))
-    counts[rows["bin"].to_numpy(np.int64)] = rows[["accepted", "rejected"]].to_numpy(np.float64)
-    letters = labelled.agg(*(F.coalesce(F.sum(F.when(F.col("verdict") == v, F.length("model_text") - 1)), F.lit(0)) for v in ("allow", "block"))).first()
-    return RatioModel(counts, np.array(letters, np.float64), order, bins)
 
+def window_ratios(rows: DataFrame, counts: DataFrame, letters: tuple[int, int], order: int = ORDER) -> DataFrame:
+    """window and ratio, log p(rejected) - log p(accepted) of its last character after the others,
+    for the distinct windows of rows.
 
-def scored(rows: DataFrame, model: RatioModel) -> DataFrame:
-    """The rows with `score`, positive where the rejected model explains the URL better."""
-    held = rows.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        ratio = lru_cache(1 << 18)(held.value.ratio)
-        n = held.value.order + 1
-
-        def one(s: str) -> float:
-            return math.fsum(ratio(s[max(0, i - n) : i]) for i in range(2, len(s) + 1)) / (len(s) - 1)
-
-        for texts in batches:
-            yield texts.map(lambda s: one(s) if len(s) > 2 else 0.0)
-
-    return rows.withColumn("score", score("model_text") if model.trained else F.lit(0.0))
+    p of each length is smoothed by that of the next shorter one. A window asks for the counts of
+    its grams, roles 0, 2, 4, …, and of their contexts, roles 1, 3, …; counts that are not there are 0.
+    """
+    w = F.col("window")
+    n = F.length(w)
+    gram = lambda k: F.struct((2 * k).alias("role"), F.substring(w, n - k, k + 1).alias("gram"))
+    context = lambda k: F.struct((2 * k - 1).alias("role"), F.substring(w, n - k, k).alias("gram"))
+    lengths = F.sequence(F.lit(0), n - 1)
+    asked = rows.select("window").distinct().select("window", F.explode(F.concat(F.transform(lengths, gram), F.transform(F.filter(lengths, lambda k: k > 0), context))).alias("a"))
+    met = asked.select("window", "a.role", "a.gram").join(counts, "gram", "left")
+    of = lambda name, role: F.coalesce(F.max(F.when(F.col("role") == role, F.col(name))), F.lit(0)).cast("double").alias(f"{name}{role}")
+    sides = tuple(zip(("accepted", "rejected"), letters))
+    found = met.groupBy("window").agg(*(of(name, role) for name, _ in sides for role in range(2 * order + 1)))
+
+    def likelihood(name: str, total: int) -> Column:
+        p = F.lit(1 / ALPHABET)
+        for k in range(order + 1):
+            before = F.col(f"{name}{2 * k - 1}") if k else F.lit(float(total))
+            p = F.when(n > k, (F.col(f"{name}{2 * k}") + SMOOTHING * p) / (before + SMOOTHING)).otherwise(p)
+        return p
+
+    accepted, rejected = (likelihood(name, total) for name, total in sides)
+    return found.select("window", (F.log(rejected) - F.log(accepted)).alias("ratio"))
+
+
+def scored(rows: DataFrame, counts: DataFrame, letters: tuple[int, int], order: int = ORDER) -> DataFrame:
+    """url_hash and score of the distinct model texts of rows: the mean ratio of a text's windows,
+    positive where the rejected model explains it better."""
+    texts = rows.select("url_hash", "model_text").distinct()
+    each = texts.select("url_hash", F.explode(windows(F.col("model_text"), order)).alias("window"))
+    ratios = materialise(window_ratios(each, counts, letters, order))
+    return each.join(ratios, "window").groupBy("url_hash").agg(F.round(F.avg("ratio"), 9).alias("score"))
 
 
 def calibrate(held_out: DataFrame) -> float:
@@ -149,14 +140,24 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and score of every page."""
     url = text_or_empty("url")
     read = pages.select("page_id", url.alias("url")).select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    said = model_text(F.col("url"))
     ruled = read.withColumn("found", rule_of(F.col("host"), F.col("path"), rules)).select(
-        "page_id", "host", "path", "found.rule", "found.verdict", model_text(F.col("url")).alias("model_text"), (F.pmod(F.xxhash64("url"), F.lit(FOLDS)) == 0).alias("held_out")
+        "page_id", "host", "path", "found.rule", "found.verdict", said.alias("model_text"), F.xxhash64(said).alias("url_hash"), (F.pmod(F.xxhash64("url"), F.lit(FOLDS)) == 0).alias("held_out")
     )
     labelled = ruled.filter(F.col("verdict").isNotNull())
-    model = fit(labelled.filter(~F.col("held_out")))
-    threshold = calibrate(scored(labelled.filter("held_out"), model)) if model.trained else 0.0
+    learned = labelled.filter(~F.col("held_out"))
+    letters = learned.agg(*(F.coalesce(F.sum(F.when(F.col("verdict") == v, F.length("model_text") - 1)), F.lit(0)) for v in ("allow", "block"))).first()
+    shown = ruled.select("page_id", "host", "path", "rule", "verdict", "url_hash")
+    if not all(letters):
+        return shown.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("score"))
+    counts = materialise(gram_counts(learned))
+    scores = materialise(scored(ruled, counts, tuple(letters)))
+    discard(counts)
+    held_out = labelled.filter("held_out").select("url_hash", "verdict").join(scores, "url_hash", "left")
+    threshold = calibrate(held_out.select("verdict", F.coalesce("score", F.lit(0.0)).alias("score")))
+    judged = shown.join(scores, "url_hash", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     ratio = F.when(F.col("score") > threshold, "block").otherwise("allow")
-    return scored(ruled, model).select("page_id", "host", "path", "rule", F.coalesce("verdict", ratio).alias("verdict"), "score")
+    return judged.select("page_id", "host", "path", "rule", F.coalesce("verdict", ratio).alias("verdict"), "score")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
