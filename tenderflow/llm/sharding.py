@@ -1,10 +1,12 @@
 """Sharding by fixed virtual slots.
 
 Every record hashes into one of a few thousand virtual slots. Bytes are summed per slot, and a
-versioned slot-to-shard map places whole slots on shards. Rebalancing edits that map; records
-never hash again. The map and the slot sizes have `n_slots` rows at most, whatever the data's
-size, so they may pass through the driver and be broadcast.
+versioned slot-to-shard map places whole slots on shards. The map is stored in the shared folder,
+each version beside the ones before. Rebalancing edits the latest version by the slots' sizes and
+stores the next; records never hash again. The map and the slot sizes have `n_slots` rows at most,
+whatever the data's size, so they may pass through the driver and be broadcast.
 
+Equal texts are documents of their own, each in the slot of its id: no group is held together.
 Edge cases: a null text has no bytes (size 1); a null id hashes like any other value; repeated
 rows each take a place of their own; an empty table gives an empty result; other columns are
 kept by `assign` and never used.
@@ -13,11 +15,12 @@ kept by `assign` and never used.
 from __future__ import annotations
 
 import heapq
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import shared_dir, table, text_or_empty
 
 N_SLOTS = 4096
 N_SHARDS = 8
@@ -95,6 +98,23 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return maps.filter(F.col("version") == wanted).select("version", "vslot", "shard")
 
 
+def stored_map(spark: SparkSession, path: str, sizes: list[tuple[int, int]], n_slots: int, n_shards: int) -> DataFrame:
+    """The map to use: version 1 if none is stored, else the latest, edited into the next version
+    if it has other shards or if its fullest shard is over the mean by more than its largest slot."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        store_map(map_frame(spark, first_map(sizes, n_slots, n_shards)), path)
+    else:
+        latest = sorted(map(tuple, load_map(spark, path).collect()))
+        known, load = dict(sizes), dict.fromkeys(range(n_shards), 0)
+        for _, s, k in latest:
+            load[k] = load.get(k, 0) + known.get(s, 0)
+        if len(load) > n_shards or {k for *_, k in latest} != set(load) or max(load.values()) - sum(load.values()) / n_shards > max(known.values(), default=0):
+            store_map(map_frame(spark, edit_map(latest, sizes, n_shards)), path)
+    return load_map(spark, path)
+
+
 def assign(slotted: DataFrame, slot_map: DataFrame) -> DataFrame:
     """Add `shard` from the map, which has n_slots rows at most and so is broadcast."""
     return slotted.join(F.broadcast(slot_map.select("vslot", "shard")), "vslot", "left")
@@ -116,10 +136,11 @@ def place(assigned: DataFrame, sizes: DataFrame, slot_map: DataFrame, order: lis
     return assigned.join(F.broadcast(starts), "vslot").withColumn("slot", F.col("slot_start") + rank - 1).drop("slot_start")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
     """Documents with size, checksum, shard and place, balanced by bytes (law `bytes`).
 
-    The text is only measured in the scans; what is shuffled has a few numbers a record.
+    map_path is where the slot map's versions are stored, by default a new folder in the shared
+    one. The text is only measured in the scans; what is shuffled has a few numbers a record.
     """
     spark = docs.sparkSession
     text = text_or_empty()
@@ -129,7 +150,7 @@ def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_
         n_slots,
     )
     sizes = slot_sizes(slim)
-    slot_map = map_frame(spark, first_map(collect_sizes(sizes), n_slots, n_shards))
+    slot_map = stored_map(spark, map_path or f"{shared_dir(spark)}/slot-maps-{uuid4().hex}", collect_sizes(sizes), n_slots, n_shards)
     return place(assign(slim, slot_map), sizes, slot_map, ["doc_id", "text_crc32", "size"])
 
 
