@@ -3,7 +3,8 @@
 Words are numbered, and ranks of windows of 1, 2, 4, 8, ... words are made by sorting pairs of
 ranks, each from the last, until every suffix that repeats MIN_REPEAT words or more stands alone.
 The ranks give the suffix array of those suffixes and, by lifting over the same windows, the
-longest common prefixes of its neighbours. A suffix's deepest prefix interval is the longest
+longest common prefixes of its neighbours; in texts of over LONG words, whose windows would take
+too much memory, one pass in the order of the text gives them instead. A suffix's deepest prefix interval is the longest
 repeat that starts there; those that no longer one contains are the maximal repeats. Their spans
 are united. A text fails if the union covers too large a part of it, or one repeat is too long.
 
@@ -32,6 +33,7 @@ MIN_WORDS = 10
 MAX_WINDOW_PERCENT = 20
 MAX_COVERED_PERCENT = 20
 MAX_LONGEST = 100
+LONG = 1 << 20
 SPACES = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered_words", "longest_repeat")
@@ -55,6 +57,11 @@ def union_size(starts: np.ndarray, lengths: np.ndarray, n: int) -> int:
     return int(np.count_nonzero(np.cumsum(edge[:-1]) > 0))
 
 
+def padded(ids: np.ndarray) -> np.ndarray:
+    """The ids and, after them, others that occur once, so each word starts a window of MIN_REPEAT."""
+    return np.append(ids, int(ids.max(initial=0)) + np.arange(1, MIN_REPEAT))
+
+
 def window_ranks(ids: np.ndarray, most: int) -> list[np.ndarray]:
     """Ranks of all windows of 1, 2, 4, ... words, up to `most`."""
     ranks, h = [ids], 1
@@ -64,21 +71,38 @@ def window_ranks(ids: np.ndarray, most: int) -> list[np.ndarray]:
     return ranks
 
 
+def shared_prefixes(ids: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Words that each suffix in `order` but the first shares with the one before it. In the order
+    of the text a suffix shares at most one word less than the suffix a word earlier did, as long
+    as what is left is a window that `order` is about."""
+    n, before, shared = len(ids), np.full(len(ids), -1, np.int64), np.zeros(len(ids), np.int64)
+    before[order[1:]] = order[:-1]
+    words, earlier, out = memoryview(ids), memoryview(before), memoryview(shared)
+    h, last = 0, -2
+    for i in memoryview(np.sort(order)):
+        j = earlier[i]
+        h = h - 1 if i == last + 1 and j >= 0 and h > MIN_REPEAT else 0
+        last = i
+        if j >= 0:
+            while max(i, j) + h < n and words[i + h] == words[j + h]:
+                h += 1
+            out[i] = h
+    return shared[order[1:]]
+
+
 def maximal_repeats(ids: np.ndarray, levels: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of the maximal repeats of MIN_REPEAT words and more.
 
-    `levels` are the window ranks up to MIN_REPEAT, a power of two. Only suffixes whose first
+    `levels` are the window ranks up to MIN_REPEAT, a power of two, of the `padded` ids. Only suffixes whose first
     window repeats are refined and sorted; every other suffix shares fewer words with any.
     """
     none = np.zeros(0, np.int64)
     if len(ids) <= MIN_REPEAT or not (at := np.flatnonzero(repeated(levels[-1]))).size:
         return none, none
     n, h = len(ids), MIN_REPEAT
-    rank = np.full(n + 1, -1, np.int64)
-    rank[: len(levels[-1])] = levels[-1]
-    rank[len(levels[-1]) : n] = int(levels[-1].max()) + 1 + np.arange(n - len(levels[-1]))  # too short to repeat
-    lifted = [(1 << k, np.concatenate([x, -1 - np.arange(n + 1 - len(x))])) for k, x in enumerate(levels)]
-    lifted[-1] = (h, rank.copy())
+    rank = np.append(levels[-1], levels[-1].max() + 1)  # the end comes after all, as in the padded text
+    long = n > LONG
+    lifted = [] if long else [(1 << k, np.append(x[:n], -1)) for k, x in enumerate(levels)]
     order = at
     while True:  # refine the buckets that still hold several suffixes by the bucket h words on
         order = order[np.lexsort((rank[np.minimum(order + h, n)], rank[order]))]
@@ -90,10 +114,10 @@ def maximal_repeats(ids: np.ndarray, levels: list[np.ndarray]) -> tuple[np.ndarr
         fresh = rank * base  # order between buckets stays
         fresh[order] += np.cumsum(new)
         rank = np.unique(fresh, return_inverse=True)[1].astype(np.int64)
-        rank[n] = -1
         h *= 2
-        lifted.append((h, rank.copy()))
-    a, b, lcp = order[:-1].copy(), order[1:].copy(), np.zeros(len(order) - 1, np.int64)
+        if not long:
+            lifted.append((h, rank.copy()))
+    a, b, lcp = order[:-1].copy(), order[1:].copy(), shared_prefixes(ids, order) if long else np.zeros(len(order) - 1, np.int64)
     for h, ranks in reversed(lifted):
         same = ranks[np.minimum(a, n)] == ranks[np.minimum(b, n)]
         lcp[same] += h
@@ -120,7 +144,7 @@ def measure(text: str) -> tuple[int, ...]:
     number: defaultdict[bytes, int] = defaultdict()
     number.default_factory = number.__len__
     ids = np.fromiter(map(number.__getitem__, words), np.int64, n)
-    levels = window_ranks(ids, MIN_REPEAT)
+    levels = window_ranks(padded(ids), MIN_REPEAT)
     again = np.zeros(0, np.int64)
     if n >= WINDOW:
         again = np.flatnonzero(repeated(paired(levels[2][:-1], levels[2][1:])))
