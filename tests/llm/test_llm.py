@@ -252,6 +252,33 @@ def test_sharding(spark, docs, rows, none, odd, tmp_path):
     assert sharding.shard_documents(none).count() == 0
 
 
+def test_sharding_is_balanced_and_its_map_is_kept(spark, tmp_path):
+    rng = random.Random(19)
+    texts = [(i, "x" * rng.randrange(2000)) for i in range(4000)] + [(i, "same text") for i in range(4000, 4300)] + [(9999, "y" * 60_000)]
+    docs = spark.createDataFrame(texts, DOCS)
+    path = str(tmp_path / "maps")
+
+    def brute(rows):
+        load, slots = Counter(), Counter()
+        for r in rows:
+            load[r.shard] += r.size
+            slots[r.vslot] += r.size
+        assert len({(r.vslot, r.shard) for r in rows}) == len(slots)  # slots move whole
+        return load, max(slots.values())
+
+    one = sharding.shard_documents(docs, 4, 256, path).collect()
+    load, largest = brute(one)
+    assert sum(load.values()) == sum(len(t) + 1 for _, t in texts) and max(load.values()) - min(load.values()) <= largest
+    again = sharding.shard_documents(docs, 4, 256, path).collect()
+    assert {(r.doc_id, r.shard) for r in again} == {(r.doc_id, r.shard) for r in one} and sharding.load_map(spark, path).first().version == 1
+    more = sharding.shard_documents(docs, 5, 256, path).collect()
+    assert sharding.load_map(spark, path).first().version == 2
+    load, largest = brute(more)
+    assert max(load.values()) - min(load.values()) <= 2 * largest
+    before = {r.doc_id: r.shard for r in one}
+    assert all(r.shard in (before[r.doc_id], 4) for r in more)
+
+
 def test_slot_maps(spark, tmp_path):
     rng = random.Random(4)
     sizes = [(s, rng.randrange(1, 1000)) for s in range(500)]
@@ -288,7 +315,9 @@ def brute_repeats(words):
     return len(cover), max(best, default=0)
 
 
-def test_quality_repeats():
+@pytest.mark.parametrize("long", [quality.LONG, 0])
+def test_quality_repeats(long, monkeypatch):
+    monkeypatch.setattr(quality, "LONG", long)
     rng = random.Random(9)
     for size, n in ((2, 60), (3, 90), (30, 150), (4, 40)):
         for _ in range(12):
@@ -370,13 +399,63 @@ def test_decontamination_whatever_stands_around(spark):
     assert got == {(0, 1): "exact", (1, 2): "exact", (2, 3): "exact", (3, 4): "reparameterised", (4, 2): "reparameterised"}
 
 
+APACHE_HEADER = """# Copyright 2020 Somebody
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+import os
+"""
+GPL2_NOTICE = """
+    This program is free software; you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation; either version 2 of the License, or
+    (at your option) any later version.
+"""
+MPL_NOTICE = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
+
+
 def test_licences(spark, none, odd):
     mit = licenses.SENTENCES["M03"].replace(" the software to", ' (the "Software"), to').capitalize() + ":\n\n" + licenses.SENTENCES["M04"].capitalize() + "."
-    wrapped = "Licensed under the Apache License,\nVersion 2.0."
-    texts = ["Intro\nReleased under the MIT License.\nmore", mit.replace(" permit persons", "\npermit persons"), 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance\nwith the License.', "This licence is nothing.", None, "", wrapped]
-    got = {r.doc_id: r.licences for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
-    assert got == {0: ["MIT"], 1: ["MIT"], 2: ["Apache-2.0"], 3: [], 4: [], 5: [], 6: []}
-    assert licenses.scan(none).count() == 0 and licenses.scan(odd).count() == odd.count()
+    given = [
+        ("Intro\nReleased under the MIT License.\nmore", "MIT"),
+        (mit.replace(" permit persons", "\npermit persons"), "MIT"),
+        ("\n".join(f" * {line}" for line in mit.replace(" rights to", "\nrights to").split("\n")), "MIT"),
+        ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance\nwith the License.', "Apache-2.0"),
+        ("Licensed under the Apache License,\nVersion 2.0.", "Apache-2.0"),
+        (APACHE_HEADER, "Apache-2.0"),
+        (APACHE_HEADER.replace("# ", "// ").replace("#", "//"), "Apache-2.0"),
+        (GPL2_NOTICE, "GPL-2.0-or-later"),
+        (MPL_NOTICE, "MPL-2.0"),
+        (MPL_NOTICE.replace("2.0. If", "1.1. If"), ""),
+        ("This project is licensed under the MIT License.", "MIT"),
+        ("// SPDX-License-Identifier: LGPL-2.1-or-later\nint x;", "LGPL-2.1-or-later"),
+        ("This licence is none. It was not licensed under the MIT License yet.", ""),
+        ("We are not\nlicensed under the MIT license fully", ""),
+        ("licensed under the mit license\x01 \x02<(> odd", ""),
+        ("plain words", ""),
+        ("", ""),
+        (None, ""),
+    ]
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(given)], DOCS)
+    got = {r.doc_id: r for r in licenses.scan(frame).collect()}
+    assert {i: ";".join(r.licences) for i, r in got.items()} == {i: want for i, (_, want) in enumerate(given)}
+    assert got[5].sentence_ids == ["A02", "A03", "A04", "A05"]
+    assert licenses.scan(none).collect() == []
+    shown = [(r.doc_id, tuple(r.sentence_ids)) for r in licenses.scan(odd).collect()]
+    assert len(shown) == odd.count()
+    long = spark.createDataFrame([(1, "word " * 200_000 + "\n" * 50_000 + "Released under the MIT License.")], DOCS)
+    assert licenses.scan(long).first().licences == ["MIT"]
     assert all(any(h in s for h in licenses.HINTS) for s in licenses.SENTENCES.values())
 
 
@@ -416,6 +495,43 @@ def test_url_model_separates_held_out(spark):
     assert sum(v == "allow" for v in got[:40]) + sum(v == "block" for v in got[40:]) >= 72
 
 
+def plain_url_scores(urls_and_verdicts, asked):
+    """Scores by plain counting: two models of up to five characters, each length smoothed by the next shorter."""
+    said = lambda u: "^" + re.sub("[0-9]", "0", re.sub(r"(?s)^.*?://", "", u.lower())) + "$"
+    models = {}
+    for verdict in ("allow", "block"):
+        texts = [said(u) for u, v in urls_and_verdicts if v == verdict]
+        grams = Counter(t[i : i + n] for t in texts for n in range(1, 6) for i in range(len(t) - n + 1))
+        models[verdict] = grams, sum(len(t) - 1 for t in texts)
+
+    def p(verdict, window):
+        grams, letters = models[verdict]
+        out = 1 / 64
+        for k in range(len(window)):
+            total = grams[window[-1 - k : -1]] if k else letters
+            out = (grams[window[-1 - k :]] + 2 * out) / (total + 2)
+        return out
+
+    out = []
+    for u in asked:
+        t = said(u)
+        ratios = [np.log(p("block", w)) - np.log(p("allow", w)) for w in (t[max(0, i - 5) : i] for i in range(2, len(t) + 1))]
+        out.append(sum(ratios) / len(ratios) if len(t) > 2 else 0.0)
+    return out
+
+
+def test_url_scores_equal_a_plain_model(spark):
+    rng = random.Random(18)
+    word = lambda some, n: "".join(rng.choice(some) for _ in range(n))
+    labelled = [(f"https://{word('aeimnt', 5)}.example.net/en/{word('aei0', 4)}", "allow") for _ in range(60)] + [(f"https://{word('xzqae', 6)}.net/{word('xz7', 5)}", "block") for _ in range(60)]
+    asked = ["https://x.com/", "no scheme at all", "", "a", *(f"http://{word('aeixzq', 9)}.com/{word('aez', 30)}" for _ in range(20)), "http://long.com/" + "ab" * 20_000]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate([u for u, _ in labelled] + asked + asked[:2])], "page_id long, url string")
+    hashed = {r.url: r.h for r in pages.selectExpr("url", "pmod(xxhash64(url), 10) h").collect()}
+    want = plain_url_scores([(u, v) for u, v in labelled if hashed[u] != 0], asked + asked[:2])
+    got = [r.score for r in urls.judge(pages).filter(f"page_id >= {len(labelled)}").orderBy("page_id").collect()]
+    assert np.allclose(got, want, atol=1e-8)
+
+
 def brute_components(prints, ids):
     parent = list(range(len(ids)))
 
