@@ -50,7 +50,7 @@ UNITS = frozenset(
     "second seconds minute minutes hour hours day days week weeks month months year years cent cents dollar dollars euro euros percent degree degrees mph kph kmh".split()
 )
 MARKS = ".!?\n"
-TOKEN = re.compile(r"[.!?\n]|\d(?:[\d.,]*\d)?|[^\W\d_]+(?:['’-][^\W\d_]+)*")
+TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|[.!?\n]|\d(?:[\d.,]*\d)?")
 SLOTS = ("<num>", "<unit>", "<name>")
 MARK, PLAIN_WORD, NUMBER, UNIT, CAPITALISED = range(5)
 KIND_BITS = np.uint64(7)
@@ -79,61 +79,79 @@ class Kinds(dict):
 
 
 class Template:
-    """The words of a text without marks: `tokens`, and for each of the `readings` the slots (0
-    for a plain word, else a number of SLOTS from 1). The last reading has no slots."""
+    """The words of a text without marks, and for each of the `readings` the slots (0 for a plain
+    word, else a number of SLOTS from 1). The last reading has no slots."""
 
     def __init__(self, text: str, kinds: Kinds, item: bool):
-        found = TOKEN.findall(text)
-        coded = np.fromiter(map(kinds.__getitem__, found), np.uint64, len(found))
+        self.found = TOKEN.findall(text)
+        coded = np.fromiter(map(kinds.__getitem__, self.found), np.uint64, len(self.found))
         kind = (coded & KIND_BITS).astype(np.int8)
-        word = np.flatnonzero(kind != MARK)
-        opens = np.ones(len(found), bool)
+        self.word = np.flatnonzero(kind != MARK)
+        opens = np.ones(len(kind), bool)
         opens[1:] = kind[:-1] == MARK
-        self.tokens = [found[i] for i in word] if len(word) < len(found) else found
-        kind, opens = kind[word], opens[word]
-        slots = np.zeros(len(word), np.int8)
+        coded, kind, opens = coded[self.word], kind[self.word], opens[self.word]
+        slots = np.zeros(len(kind), np.int8)
         slots[kind == NUMBER], slots[kind == UNIT] = 1, 2
-        inside = np.flatnonzero((kind == CAPITALISED) & ~opens)
+        capital = kind == CAPITALISED
+        inside, first = np.flatnonzero(capital & ~opens), np.flatnonzero(capital & opens)
         slots[inside] = 3
-        self.readings = [slots]
-        first = np.flatnonzero((kind == CAPITALISED) & opens)
-        names = {self.tokens[i] for i in inside}
-        for some in ([i for i in first if self.tokens[i] in names], list(first) if item else []):
-            if some:
+        self.readings = [slots] if slots.any() else []
+        for some in (first[np.isin(coded[first], coded[inside])], first if item else first[:0]):
+            if some.size:
                 named = slots.copy()
                 named[some] = 3
                 self.readings.append(named)
-        self.readings.append(np.zeros(len(word), np.int8))
-        self.coded = coded[word] & ~KIND_BITS
+        self.readings.append(np.zeros(len(kind), np.int8))
+        self.coded = coded & ~KIND_BITS
 
     def __len__(self) -> int:
-        return len(self.tokens)
+        return len(self.word)
 
     def values(self, at: int, n: int) -> list[str]:
-        return [t.lower() for t in self.tokens[at : at + n]]
+        return [self.found[i].lower() for i in self.word[at : at + n]]
 
     def words(self, slots: np.ndarray, at: int, n: int) -> list[str]:
-        return [SLOTS[s - 1] if s else t.lower() for t, s in zip(self.tokens[at : at + n], slots[at : at + n])]
+        return [SLOTS[s - 1] if s else v for v, s in zip(self.values(at, n), slots[at : at + n])]
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of hashes."""
+    out = a * BASE
+    out += b
+    out ^= out >> np.uint64(29)
+    out *= FACTOR
+    out ^= out >> np.uint64(32)
+    return out
+
+
+def all_windows(hashes: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """Hashes of the windows of each length that fits: windows of 1, 2, 4, … words, each of two of
+    the last, joined as the length's binary digits say."""
+    powers = [hashes]
+    while 2 << len(powers) - 1 <= min(max(lengths), len(hashes)):
+        half = 1 << len(powers) - 1
+        powers.append(joined(powers[-1][:-half], powers[-1][half:]))
+    for n in lengths:
+        if n > len(hashes):
+            continue
+        out, have = None, 0
+        for k in reversed(range(len(powers))):
+            if n >> k & 1:
+                part = powers[k][have : have + len(hashes) - n + 1]
+                out = part if out is None else joined(out, part)
+                have += 1 << k
+        yield n, out.view(np.int64)
 
 
 def window_hashes(template: Template, lengths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For each reading and length: the length, the reading's slots, the hashes of the windows, and
     whether each counts: it has enough plain words or is read as it stands, and no reading before
-    gives the same. One pass makes the hashes of all lengths."""
-    most = min(max(lengths), len(template))
+    gives the same."""
     done: dict[int, list] = {n: [] for n in lengths}
     for slots in template.readings:
         hashes = np.where(slots > 0, slots.astype(np.uint64), template.coded)
         plain = np.append(0, np.cumsum(slots == 0))
-        out = np.zeros(len(hashes), np.uint64)
-        for k in range(most):
-            out = (out[: len(hashes) - k] + hashes[k:]) * BASE
-            out ^= out >> np.uint64(29)
-            n = k + 1
-            if n not in done:
-                continue
-            made = (out + np.uint64(n)) * FACTOR
-            made = (made ^ (made >> np.uint64(32))).view(np.int64)
+        for n, made in all_windows(hashes, lengths):
             good = plain[n:] - plain[:-n] >= min(PLAIN, (n + 1) // 2)
             for other, taken in done[n]:
                 good &= ~(taken & (other == made))
