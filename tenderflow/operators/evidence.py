@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import quotes
 
 SNIPPET = 200
 
@@ -29,20 +30,41 @@ def value_cell(cells: DataFrame, hits: DataFrame) -> DataFrame:
     return near.groupBy("doc_id", "table_id", "hit_row").agg(F.min_by(F.struct("row", "col", "text"), F.struct(F.col("row") < F.col("hit_row"), "row", "col")).alias("c")).select("doc_id", "table_id", "hit_row", "c.*")
 
 
-def with_sources(evidence: DataFrame, blocks: DataFrame, tables: DataFrame) -> DataFrame:
-    """JN-10: source files by block id, else by table id."""
+def with_sources(evidence: DataFrame, blocks: DataFrame, tables: DataFrame, prefix: int = 15) -> DataFrame:
+    """JN-10: source files by block id, else by table id, else the document's first file whose
+    text has the beginning of the snippet.
+
+    blocks has doc_id, block_id and source_file, and for the third step ord and text; evidence
+    then has a snippet.
+    """
     by_block = blocks.select("doc_id", "block_id", F.col("source_file").alias("_b"))
     by_table = tables.select("doc_id", "table_id", F.col("source_file").alias("_t"))
     joined = evidence.join(by_block, ["doc_id", "block_id"], "left").join(by_table, ["doc_id", "table_id"], "left")
-    return joined.withColumn("source_file", F.coalesce("_b", "_t")).drop("_b", "_t")
+    named = joined.withColumn("source_file", F.coalesce("_b", "_t")).drop("_b", "_t")
+    if not {"ord", "text"} <= set(blocks.columns):
+        return named
+    said = F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"])
+    files = blocks.filter("source_file is not null and text <> ''").groupBy("doc_id", "source_file").agg(F.min("ord").alias("_ord"), F.array_join(said, "\n").alias("_text")).withColumnRenamed("source_file", "_file")
+    begin = F.substring(F.coalesce("snippet", F.lit("")), 1, prefix)
+    open_rows = named.filter("source_file is null").drop("source_file")
+    met = open_rows.select("doc_id", begin.alias("_begin")).filter("_begin <> ''").distinct().join(files, "doc_id").filter(F.contains("_text", F.col("_begin")))
+    first = met.groupBy("doc_id", "_begin").agg(F.min_by("_file", "_ord").alias("source_file"))
+    found = open_rows.withColumn("_begin", begin).join(first, ["doc_id", "_begin"], "left").drop("_begin")
+    return named.filter("source_file is not null").unionByName(found)
 
 
 def first_pages(probes: DataFrame, pages: DataFrame, width: int = 24, least: int = 6) -> DataFrame:
-    """JN-11: the first page of the document whose text has the probe's beginning, white space aside."""
+    """JN-11: the first page of a document whose text has a probe's beginning, white space aside.
+
+    probes has block_id and text, and doc_id if they are to be found in their own documents only;
+    pages has doc_id, page_no and text.
+    """
+    keys = [c for c in ("doc_id", "block_id") if c in probes.columns]
     cut = F.substring(text.dense(F.col("text")), 1, width)
-    asked = probes.select("doc_id", "block_id", cut.alias("probe")).filter(F.length("probe") >= least)
-    met = asked.join(pages.select("doc_id", "page_no", text.dense(F.col("text")).alias("page")), "doc_id").filter(F.contains("page", F.col("probe")))
-    return met.groupBy("doc_id", "block_id").agg(F.min("page_no").alias("page_no"))
+    asked = probes.select(*keys, F.xxhash64(*keys).alias("id"), cut.alias("said")).filter(F.length("said") >= least)
+    paged = pages.select("doc_id", "page_no", F.xxhash64("doc_id", "page_no").alias("id"), F.col("text").alias("said"))
+    met = quotes.held(paged, asked).join(paged.select("doc_id", "page_no", F.col("id").alias("text_id")), "text_id")
+    return met.join(asked.select(F.col("id").alias("quote_id"), *keys), [*keys[:-1], "quote_id"]).groupBy("doc_id", "block_id").agg(F.min("page_no").alias("page_no"))
 
 
 def to_main(evidence: DataFrame, spans: DataFrame) -> DataFrame:

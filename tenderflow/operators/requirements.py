@@ -158,6 +158,31 @@ def superset_dedupe(rows: DataFrame, keys: list[str], fields: str, order: str, e
     return folded.select(*keys, F.col(f"k.{order}").alias(order), F.col(f"k.{fields}").alias(fields), united.alias("evidence_ids"), *(F.col(f"k.kept.{c}").alias(c) for c in kept))
 
 
+def verdicts(done: DataFrame, asked: DataFrame, as_of_year: int) -> DataFrame:
+    """JN-18: verdict and confidence of the performances that a criterion does not turn down.
+
+    done has performance_id and e (`scoring.performance_elements`), asked criterion_id, a
+    (`scoring.scope`), amount_min and years. A pair must share an element of the first dimension
+    that the criterion names, or the performance says nothing of it, so pairs meet in a join on
+    that element and those that do not meet are no match. Criteria that name none of voltage,
+    facility and work are met by all performances that name none, under one key.
+    """
+    empty = F.array().cast("array<string>")
+    sizes = [F.size(F.col(f"a.{d}")) > 0 for d in ("facilities", "voltages", "works")]
+    pick = lambda side, kind: F.when(kind == "facilities", F.col(f"{side}.facilities")).when(kind == "voltages", F.col(f"{side}.voltages")).when(kind == "works", F.col(f"{side}.works")).otherwise(empty)
+    dimension = F.when(sizes[0], "facilities").when(sizes[1], "voltages").when(sizes[2], "works").otherwise("none")
+    blank = F.array(F.lit(""))
+    wanted = asked.withColumn("dimension", dimension).withColumn("element", F.explode(F.array_distinct(F.concat(pick("a", F.col("dimension")), blank))))
+    every = done.withColumn("dimension", F.explode(F.array(*map(F.lit, ("facilities", "voltages", "works", "none")))))
+    have = pick("e", F.col("dimension"))
+    shown = every.withColumn("element", F.explode(F.when(F.size(have) > 0, F.array_distinct(have)).otherwise(blank)))
+    met = shown.join(wanted, ["dimension", "element"])
+    first = F.get(F.when(F.size(have) > 0, F.array_intersect(have, pick("a", F.col("dimension")))).otherwise(blank), F.lit(0))
+    once = met.filter(F.col("element") == first)  # a pair that shares several elements counts once
+    v = scoring.verdict(F.col("e"), F.col("a"), F.col("amount_min"), F.col("years"), F.lit(as_of_year))
+    return once.select("performance_id", "criterion_id", v.alias("v")).select("performance_id", "criterion_id", "v.*").filter("verdict <> 'no_match'")
+
+
 def star_clauses(blocks: DataFrame, marker: str = "★", meta: tuple[str, ...] = ("标注", "标有", "带★"), width: int = 300) -> DataFrame:
     """PF-18, WN-2, TK-7: blocks with the marker that do not explain it, numbered."""
     hits = blocks.filter(F.contains("text", F.lit(marker)))

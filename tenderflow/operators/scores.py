@@ -34,16 +34,47 @@ def declared_totals(rows: DataFrame) -> DataFrame:
     return read.groupBy("doc_id", "category").agg(F.min_by("total", "row").alias("declared_total"))
 
 
+def grid_rows(rows: DataFrame) -> DataFrame:
+    """WN-9: grid rows with something in them, the name filled down, and their scores."""
+    said = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    before = Window.partitionBy("doc_id", "table_id").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    kept = rows.select(*(c for c in rows.columns if c not in ("parent", "name", "content")), *(said(c).alias(c) for c in ("parent", "name", "content"))).filter("parent <> '' or name <> '' or content <> ''")
+    name = F.coalesce(F.last(F.nullif("name", F.lit("")), ignorenulls=True).over(before), F.lit(""))
+    return kept.withColumn("name", name).withColumn("s", scoring.paren_score(F.col("name"), F.col("parent"), F.col("content")))
+
+
 def grid_groups(rows: DataFrame) -> DataFrame:
-    """AG-10, WN-9: items of grid tables: rows of equal parent and name, the name filled down.
+    """AG-10, FX-9: items of grid tables: rows of equal parent and name.
 
-    rows has doc_id, table_id, row, parent, name, content.
+    rows has doc_id, table_id, row, parent, name, content and category. The score is the first
+    row's, else the first in the rule; items without a positive one go. Names and groups lose
+    their score marks.
     """
-    before = Window.partitionBy("doc_id", "table_id").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    name = F.coalesce(F.last(F.when(F.trim("name") != "", F.trim("name")), ignorenulls=True).over(before), F.lit(""))
-    used = rows.withColumn("name", name).withColumn("s", scoring.paren_score(F.col("name"), F.col("parent"), F.col("content")))
-    texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", "content"))), lambda t: t["content"]), "\n")
-    return used.groupBy("doc_id", "table_id", "parent", "name").agg(F.min("row").alias("first_row"), F.min_by("s.score", F.when(F.col("s.score").isNotNull(), F.col("row"))).alias("max_score"), texts.alias("rule_text"), F.bool_or("s.penalty").alias("penalty"))
+    rule = F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("content") != "", F.struct("row", "content")))), lambda t: t["content"]), " / "), 1, 800)
+    keys = ["doc_id", "table_id", "category", "parent", "name"]
+    groups = grid_rows(rows).groupBy(*keys).agg(F.min("row").alias("first_row"), F.min_by("s.score", "row").alias("score"), rule.alias("rule"), F.bool_or("s.penalty").alias("penalty"))
+    in_rule = scoring.found(F.substring("rule", 1, 60), scoring.SCORE_IN_TEXT).try_cast("double")
+    bare = lambda c: F.regexp_replace(c, scoring.SCORE_MARK, "")
+    scored = groups.withColumn("max_score", F.coalesce("score", in_rule)).filter("max_score > 0")
+    return scored.select(
+        *keys[:3],
+        bare(F.col("parent")).alias("group"),
+        F.substring(bare(F.col("name")), 1, 40).alias("name"),
+        "first_row",
+        "max_score",
+        "penalty",
+        scoring.rule_type(F.col("rule"), F.col("category")).alias("rule_type"),
+        F.substring("rule", 1, 500).alias("rule_text"),
+        scoring.proofs(F.col("rule")).alias("proofs"),
+    )
+
+
+def grid_totals(rows: DataFrame) -> DataFrame:
+    """AG-10: the total that the parents of a grid table declare, each parent once; negative ones
+    declare nothing."""
+    declared = scoring.found(F.col("parent"), scoring.PAREN_SCORE).try_cast("double")
+    parents = grid_rows(rows).select("doc_id", "table_id", "category", "parent", declared.alias("d")).filter("d >= 0").distinct()
+    return parents.groupBy("doc_id", "table_id", "category").agg(F.round(F.sum("d"), 2).alias("declared_total"))
 
 
 def table_islands(tables: DataFrame) -> DataFrame:
@@ -70,17 +101,21 @@ def first_of(rows: DataFrame, keys: list, by: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(by))).filter("_n = 1").drop("_n")
 
 
-def computed_totals(items: DataFrame, keys: list[str], score: str, active: Column | None = None) -> DataFrame:
-    """AG-1: sum and count of the active items of each key."""
+def computed_totals(items: DataFrame, keys: list[str], score: str, active: Column | None = None, named: str | None = None) -> DataFrame:
+    """AG-1: sum and count of the active items of each key; with `named`, bad_items has the names
+    of the active items whose score is not positive."""
     counts = F.lit(True) if active is None else active
-    return items.groupBy(*keys).agg(F.round(F.sum(F.when(counts, F.col(score))), 2).alias("computed_total"), F.count_if(counts).alias("item_count"))
+    more = [] if named is None else [F.array_sort(F.collect_list(F.when(counts & (F.col(score) <= 0), F.col(named)))).alias("bad_items")]
+    return items.groupBy(*keys).agg(F.round(F.sum(F.when(counts, F.col(score))), 2).alias("computed_total"), F.count_if(counts).alias("item_count"), *more)
 
 
 def sum_check(declared: DataFrame, computed: DataFrame, keys: list[str], tolerance: float = 0.01) -> DataFrame:
-    """AG-2, JN-19: passed, failed or unverifiable (ok is null) per declared key."""
+    """AG-2, JN-19: passed, failed or unverifiable (ok is null) per declared key; an item without a
+    positive score fails its key."""
     both = declared.join(computed, keys, "left")
     gap = F.abs(F.col("declared_total") - F.col("computed_total"))
-    state = F.when(F.col("declared_total").isNull() | F.col("computed_total").isNull(), "unverifiable").when(gap <= tolerance, "passed").otherwise("failed")
+    bad = F.coalesce(F.size("bad_items") > 0, F.lit(False)) if "bad_items" in computed.columns else F.lit(False)
+    state = F.when(bad, "failed").when(F.col("declared_total").isNull() | F.col("computed_total").isNull(), "unverifiable").when(gap <= tolerance, "passed").otherwise("failed")
     return both.withColumn("item_count", F.coalesce("item_count", F.lit(0).cast("long"))).withColumn("state", state).withColumn("ok", F.when(state != "unverifiable", state == "passed"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import blocks, chunks, evidence, ledger, structure
+from ..operators import blocks, chunks, evidence, ledger, quotes, structure
 from ..sources import files
 from .registry import query, read
 
@@ -48,7 +48,7 @@ WITH e AS (SELECT user_id, CASE event_type WHEN 'purchase' THEN 'DONE' WHEN 'err
 SELECT user_id, count(*)::BIGINT AS total, (count(*) FILTER (status = 'DONE'))::BIGINT AS done, (count(*) FILTER (status = 'EXCLUDED_WITH_REASON'))::BIGINT AS excluded,
   (count(*) FILTER (status = 'FAILED_REVIEW'))::BIGINT AS failed, (count(*) FILTER (status = 'PENDING'))::BIGINT AS pending, coalesce(bool_and(status <> 'PENDING'), true) AS gate FROM e GROUP BY user_id""")
 def ledger_gate(spark, sf_dir):
-    """AG-5, AG-6."""
+    """AG-5."""
     kind = F.col("event_type")
     status = F.when(kind == "purchase", "DONE").when(kind == "error", "FAILED_REVIEW").when(kind == "view", "EXCLUDED_WITH_REASON").otherwise("PENDING")
     return ledger.summary(read(spark, sf_dir, "events").select("user_id", status.alias("status")), "user_id")
@@ -200,11 +200,36 @@ def chunk_budget(spark, sf_dir):
     return chunks.pack_lines(read(spark, sf_dir, "documents")).select("doc_id", "chunk_no", "n_lines", F.md5("text").alias("text_md5"))
 
 
+@query("""
+WITH RECURSIVE c AS (SELECT conv_id AS doc_id, turn::INTEGER AS ord, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END AS level, text FROM conversations),
+s AS (SELECT doc_id, ord AS section, coalesce((SELECT min(n.ord) FROM c n WHERE n.doc_id = c.doc_id AND n.ord > c.ord AND n.level <= c.level), (SELECT max(n.ord) + 1 FROM c n WHERE n.doc_id = c.doc_id)) AS block_end FROM c),
+b AS (SELECT s.doc_id, section, c.ord, c.text, row_number() OVER (PARTITION BY s.doc_id, section ORDER BY c.ord) AS n FROM s JOIN c ON c.doc_id = s.doc_id AND c.ord >= section AND c.ord < block_end WHERE c.text <> ''),
+f AS (SELECT doc_id, section, ord, text, n, 0 AS child, length(text) AS size FROM b WHERE n = 1
+  UNION ALL SELECT b.doc_id, b.section, b.ord, b.text, b.n, CASE WHEN f.size + length(b.text) > 480 THEN f.child + 1 ELSE f.child END, CASE WHEN f.size + length(b.text) > 480 THEN length(b.text) ELSE f.size + length(b.text) END
+  FROM f JOIN b ON b.doc_id = f.doc_id AND b.section = f.section AND b.n = f.n + 1),
+p AS (SELECT doc_id, section, -1 AS child, substr(string_agg(text, chr(10) ORDER BY ord), 1, 4400) AS text, min(ord) AS first_ord, max(ord) AS last_ord FROM b GROUP BY 1, 2
+  UNION ALL SELECT doc_id, section, child, string_agg(text, chr(10) ORDER BY ord), min(ord), max(ord) FROM f GROUP BY 1, 2, 3)
+SELECT doc_id, section, child, md5(text) AS text_md5, first_ord, last_ord,
+  'c-' || lpad((row_number() OVER (PARTITION BY doc_id ORDER BY section, child))::VARCHAR, 5, '0') AS chunk_id FROM p""")
+def section_chunks(spark, sf_dir):
+    """WN-7: a parent and its children for each section, nested ones too."""
+    b = turns(spark, sf_dir)
+    made = chunks.section_chunks(b, structure.sections(b))
+    return made.select("doc_id", "section", "child", F.md5("text").alias("text_md5"), "first_ord", "last_ord", "chunk_id")
+
+
+@query("""
+SELECT conv_id AS doc_id, (turn // 4)::INTEGER AS chunk_no, md5(string_agg(text, chr(10) ORDER BY turn)) AS text_md5, count(*)::BIGINT AS n_blocks FROM conversations GROUP BY 1, 2""")
+def window_chunks(spark, sf_dir):
+    """WN-7: documents without sections: windows of blocks."""
+    return chunks.block_windows(turns(spark, sf_dir), 4).select("doc_id", "chunk_no", F.md5("text").alias("text_md5"), "n_blocks")
+
+
 @query("""
 WITH c AS (SELECT DISTINCT conv_id, k AS chunk_no FROM conversations, (VALUES (0), (1)) v(k))
 SELECT c.conv_id AS doc_id, chunk_no, string_agg(DISTINCT (t.turn // 2)::VARCHAR, ',' ORDER BY (t.turn // 2)::VARCHAR) AS page_nos FROM c JOIN conversations t ON t.conv_id = c.conv_id AND t.turn >= chunk_no * 3 AND t.turn < chunk_no * 3 + 3 GROUP BY ALL""")
 def chunk_pages(spark, sf_dir):
-    """AG-12, AG-17."""
+    """AG-12."""
     b = turns(spark, sf_dir).withColumn("page_no", F.floor(F.col("ord") / 2))
     c = b.select("doc_id").distinct().withColumn("chunk_no", F.explode(F.array(F.lit(0), F.lit(1)))).selectExpr("*", "chunk_no * 3 block_start", "chunk_no * 3 + 3 block_end")
     return chunks.pages_of(c, b).select("doc_id", "chunk_no", F.array_join("page_nos", ",").alias("page_nos"))
@@ -218,14 +243,11 @@ def evidence_context(spark, sf_dir):
     return evidence.row_context(read(spark, sf_dir, "conversations"), "conv_id", "turn", "role").select("conv_id", "turn", "context", F.col("at").alias("at_row"))
 
 
-def quotes(spark, sf_dir):
-    """Benchmark passages met with the documents that hold them, white space aside.
-
-    Both sides lose their white space once, before the join that compares them.
-    """
-    items = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), text.dense(F.col("text")).alias("dense_quote"))
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", text.dense(F.col("text")).alias("dense_text"))
-    return docs.join(items, F.contains("dense_text", F.col("dense_quote")))
+def held_quotes(spark, sf_dir):
+    """Benchmark passages met with the documents that hold them, white space aside."""
+    items, docs = read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents")
+    found = quotes.held(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("said")), items.select(F.col("item_id").alias("id"), F.col("text").alias("said")))
+    return found.select(F.col("text_id").alias("doc_id"), F.col("quote_id").alias("item_id"), "dense_at")
 
 
 QUOTES_SQL = r"FROM documents d JOIN benchmark b ON instr(regexp_replace(d.text, '\s+', '', 'g'), regexp_replace(b.text, '\s+', '', 'g')) > 0"
@@ -234,7 +256,7 @@ QUOTES_SQL = r"FROM documents d JOIN benchmark b ON instr(regexp_replace(d.text,
 @query(rf"SELECT d.doc_id, b.item_id, instr(regexp_replace(d.text, '\s+', '', 'g'), regexp_replace(b.text, '\s+', '', 'g'))::BIGINT AS dense_at {QUOTES_SQL}")
 def quote_verify(spark, sf_dir):
     """SF-49, SF-50, SF-53."""
-    return quotes(spark, sf_dir).select("doc_id", "item_id", F.instr("dense_text", F.col("dense_quote")).cast("long").alias("dense_at"))
+    return held_quotes(spark, sf_dir).select("doc_id", "item_id", F.col("dense_at").cast("long").alias("dense_at"))
 
 
 @query("""
@@ -242,7 +264,9 @@ SELECT d.doc_id, b.item_id, md5(substr(d.text, greatest(instr(d.text, b.text) -
   (instr(d.text, b.text) - greatest(instr(d.text, b.text) - 120, 1))::BIGINT AS offset_in FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
 def quote_context(spark, sf_dir):
     """WN-13."""
-    met = quotes(spark, sf_dir).filter(F.contains("text", F.col("quote")))
+    pairs = held_quotes(spark, sf_dir).select("doc_id", "item_id")
+    said = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    met = read(spark, sf_dir, "documents").select("doc_id", "text").join(pairs, "doc_id").join(said, "item_id").filter(F.contains("text", F.col("quote")))
     near = text.around(F.col("text"), F.instr("text", F.col("quote")), F.length("quote"))
     return met.select("doc_id", "item_id", near.alias("n")).select("doc_id", "item_id", F.md5("n.context").alias("context_md5"), F.col("n.offset").cast("long").alias("offset_in"))
 
@@ -252,7 +276,7 @@ WITH p AS (SELECT item_id, substr(regexp_replace(text, '\s+', '', 'g'), 1, 24) A
 SELECT d.doc_id % 10 AS doc_id, p.item_id AS block_id, min(d.doc_id)::BIGINT AS page_no FROM documents d JOIN p ON contains(regexp_replace(d.text, '\s+', '', 'g'), p.probe) GROUP BY 1, 2""")
 def page_anchor(spark, sf_dir):
     """JN-11: documents are the pages of ten documents, passages the probes of each."""
-    items = read(spark, sf_dir, "benchmark").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("doc_id"), F.col("item_id").alias("block_id"), "text")
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("block_id"), "text")
     pages = read(spark, sf_dir, "documents").select((F.col("doc_id") % 10).alias("doc_id"), F.col("doc_id").alias("page_no"), "text")
     return evidence.first_pages(items, pages)
 
@@ -280,7 +304,7 @@ def evidence_sources(spark, sf_dir):
 @query("""
 SELECT conv_id AS doc_id, turn, (turn * 10)::BIGINT AS char_start, (turn * 10 % 20 + (turn * 10 // 20) * 100)::BIGINT AS main_char_start FROM conversations""")
 def main_offsets(spark, sf_dir):
-    """JN-22, JN-21: spans of 20 characters that lie 100 apart in the main text."""
+    """JN-22: spans of 20 characters that lie 100 apart in the main text."""
     c = turns(spark, sf_dir).select("doc_id", F.col("ord").cast("long").alias("turn"), (F.col("ord") * 10).cast("long").alias("char_start"))
     spans = c.groupBy("doc_id").agg(F.max("char_start").alias("m")).selectExpr("doc_id", "explode(sequence(0L, m div 20)) k").selectExpr("doc_id", "k * 20 start", "k * 20 + 20 end", "k * 100 main_start")
     return evidence.to_main(c, spans).select("doc_id", "turn", "char_start", "main_char_start")
@@ -327,12 +351,11 @@ def loose_json(spark, sf_dir):
 
 
 @query(r"""
-WITH t AS (SELECT doc_id, regexp_replace(substr(text, 1, 20), '\s+', '', 'g') AS head FROM documents), p AS (SELECT regexp_replace(substr(text, 1, 20), '\s+', '', 'g') AS head FROM benchmark)
-SELECT doc_id FROM t WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.head = t.head)""")
+SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE contains(regexp_replace(d.text, '\s+', '', 'g'), regexp_replace(b.text, '\s+', '', 'g')))""")
 def coverage_audit(spark, sf_dir):
-    """Documents whose beginning no passage shares: prefix anti join."""
-    head = lambda: text.dense(F.substring("text", 1, 20)).alias("head")
-    return read(spark, sf_dir, "documents").select("doc_id", head()).join(read(spark, sf_dir, "benchmark").select(head()), "head", "left_anti").select("doc_id")
+    """Documents that hold no passage whole: anti join by the hash join of quotes."""
+    docs = read(spark, sf_dir, "documents").select("doc_id")
+    return docs.join(held_quotes(spark, sf_dir).select("doc_id").distinct(), "doc_id", "left_anti")
 
 
 @query(r"""

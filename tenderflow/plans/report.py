@@ -20,6 +20,16 @@ def field_zones(blocks: DataFrame, zones: DataFrame) -> DataFrame:
     return near.select("doc_id", "ord", F.explode(F.array_compact(wanted)).alias("field_key"))
 
 
+def statistics(blocks: DataFrame, rows: DataFrame, found: DataFrame, items: DataFrame, asked: DataFrame, stars: DataFrame) -> DataFrame:
+    """AG-6: counts of what a report holds, one row a document; each part is counted before they meet."""
+    count = lambda frame, name: frame.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name))
+    out = count(blocks, "blocks")
+    parts = {"tables": rows.select("doc_id", "table_id").distinct(), "fields_found": found, "score_items": items, "requirements": asked, "star_clauses": stars}
+    for name, frame in parts.items():
+        out = out.join(count(frame, name), "doc_id", "left")
+    return out.select("doc_id", "blocks", *(F.coalesce(name, F.lit(0).cast("long")).alias(name) for name in parts), F.lit(len(PACKS)).cast("long").alias("fields_total"))
+
+
 def table_cells(rows: DataFrame) -> DataFrame:
     """A row for each cell; ord is the table's block where the rows have it."""
     ord_ = F.col("ord").cast("int") if "ord" in rows.columns else F.lit(LAST)
@@ -35,19 +45,23 @@ def analyse(blocks: DataFrame, rows: DataFrame) -> dict[str, DataFrame]:
     candidates = fields.all_candidates(blocks, field_zones(blocks, zones), table_cells(rows))
     items = block_ops.numbered(scores.first_of(scores.classic_rows(rows), ["doc_id", "category", "name", "max_score"], "row"), "score_id", "T-%03d", ["doc_id"], ["table_id", "row"])
     totals = scores.computed_totals(items, ["doc_id", "category"], "max_score")
+    asked = requirements.build(blocks, items, rows, zones)
+    found, stars = fields.merged(candidates), requirements.star_clauses(blocks)
     return {
         "blocks": placed,
         "sections": tree,
         "section_paths": structure.section_paths(tree, 3),
         "zones": zones,
-        "chunks": chunks.pack_lines(block_ops.full_texts(blocks).withColumnRenamed("full_text", "text")),
+        "chunks": chunks.section_chunks(blocks, tree),
+        "block_windows": chunks.block_windows(blocks.join(tree.select("doc_id").distinct(), "doc_id", "left_anti")),
         "candidates": candidates,
-        "fields": fields.merged(candidates),
+        "fields": found,
         "conflicts": fields.conflicts(candidates, ["doc_id", "field_key"], "value_normalized", "confidence"),
         "evidence": evidence.register(candidates.select("doc_id", "ord", "field_key", F.col("value_raw").alias("snippet")), ["ord", "field_key"]),
         "scores": items,
         "score_checks": scores.sum_check(scores.declared_totals(rows), totals, ["doc_id", "category"]),
-        "requirements": requirements.build(blocks, items),
+        "requirements": asked,
         "performances": requirements.performances(blocks),
-        "star_clauses": requirements.star_clauses(blocks),
+        "star_clauses": stars,
+        "statistics": statistics(blocks, rows, found, items, asked, stars),
     }

@@ -28,7 +28,7 @@ WITH l AS (SELECT l_orderkey, l_linenumber AS n, min({'a': l_partkey, 'b': l_qua
 SELECT l_orderkey AS doc_id, (n * 2 + 1)::INTEGER AS row_no, 'part-' || x.a AS name, floor(x.b)::DOUBLE AS max_score,
   coalesce(last_value(CASE WHEN n % 2 = 1 THEN CASE WHEN n % 3 = 0 THEN 'technical' ELSE 'commercial' END END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY n), 'technical') AS category FROM l""")
 def score_rows(spark, sf_dir):
-    """FX-9, WN-8, SF-19, SF-20, JN-5."""
+    """FX-9, WN-8, SF-19, SF-20."""
     return scores.classic_rows(score_rows_of(spark, sf_dir)).select("doc_id", F.col("row").cast("int").alias("row_no"), "name", "max_score", "category")
 
 
@@ -82,16 +82,47 @@ def weight_triples(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", scoring.weights(said).alias("w")).select("p_partkey", "w.*")
 
 
-@query("""
-SELECT p_brand AS doc_id, p_type AS name, min(p_partkey)::INTEGER AS first_row, arg_min(p_size, p_partkey)::DOUBLE AS max_score, md5(string_agg('细则' || p_partkey, chr(10) ORDER BY p_partkey)) AS rule_md5, bool_or(p_size % 7 = 0) AS penalty FROM part GROUP BY 1, 2""")
+def grid_table_rows(spark, sf_dir):
+    """Parts as grid rows of their brand: two parents with totals, names with a score, a minus or
+    none, blank names below, scores in rules."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    parent = F.when(k % 2 == 0, "技术部分（60分）").otherwise("扣分项（-20分）")
+    name = F.when(k % 5 == 0, F.lit(None)).when(k % 5 == 1, F.concat("p_type", F.lit("（"), size, F.lit("分）"))).when(k % 5 == 2, F.concat("p_type", F.lit("（-"), size, F.lit("分）"))).otherwise(F.col("p_type"))
+    content = F.when(k % 3 == 0, F.concat(F.lit("优得"), size, F.lit("分"))).when(k % 3 == 1, F.concat(F.lit("附合同"), k.cast("string"))).otherwise("")
+    return read(spark, sf_dir, "part").select(F.col("p_brand").alias("doc_id"), F.lit("t").alias("table_id"), F.lit("technical").alias("category"), k.cast("int").alias("row"), parent.alias("parent"), name.alias("name"), content.alias("content"))
+
+
+@query(r"""
+WITH r AS (SELECT p_brand AS doc_id, p_partkey AS row, p_partkey % 2 = 0 AS even, p_size, CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN p_type || '（' || p_size || '分）' WHEN 2 THEN p_type || '（-' || p_size || '分）' ELSE p_type END AS name,
+  CASE p_partkey % 3 WHEN 0 THEN '优得' || p_size || '分' WHEN 1 THEN '附合同' || p_partkey ELSE '' END AS content FROM part),
+n AS (SELECT * EXCLUDE (name), coalesce(last_value(name IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY row), '') AS name FROM r),
+s AS (SELECT *, coalesce(nullif(regexp_extract(name, '（(-?\d+)分）', 1), ''), CASE WHEN even THEN '60' ELSE '-20' END) AS shown FROM n),
+g AS (SELECT doc_id, even, name, min(row)::INTEGER AS first_row, arg_min(abs(shown::DOUBLE), row) AS max_score, bool_or(starts_with(shown, '-') OR NOT even) AS penalty, substr(coalesce(string_agg(content, ' / ' ORDER BY row) FILTER (content <> ''), ''), 1, 800) AS rule FROM s GROUP BY 1, 2, 3)
+SELECT doc_id, CASE WHEN even THEN '技术部分' ELSE '扣分项' END AS grp, substr(regexp_replace(name, '（-?\d+分）', '', 'g'), 1, 40) AS name, first_row, max_score::DOUBLE AS max_score, penalty, CASE WHEN regexp_matches(rule, '优|良|一般|差|好|中档|较差|档次') THEN 'graded' ELSE 'binary' END AS rule_type,
+  md5(substr(rule, 1, 500)) AS rule_md5, CASE WHEN contains(rule, '合同') THEN '合同' ELSE '' END AS proofs FROM g WHERE max_score > 0""")
 def grid_groups(spark, sf_dir):
-    """AG-10, SF-22: parts as grid rows of their brand."""
-    sized = F.concat(F.lit("（"), F.when(F.col("p_size") % 7 == 0, "-").otherwise(""), "p_size", F.lit("分）"))
-    rows = read(spark, sf_dir, "part").select(F.col("p_brand").alias("doc_id"), F.lit("t").alias("table_id"), F.col("p_partkey").cast("int").alias("row"), sized.alias("parent_score"), F.col("p_type").alias("name"), F.concat(F.lit("细则"), "p_partkey").alias("content"))
-    scored = rows.withColumn("s", scoring.paren_score(F.lit(""), F.col("parent_score"), F.lit("")))
-    out = scores.grid_groups(rows.withColumn("parent", F.lit("")))
-    marks = scored.groupBy("doc_id", "name").agg(F.min_by("s.score", "row").alias("max_score"), F.bool_or("s.penalty").alias("penalty"))
-    return out.drop("max_score", "penalty").join(marks, ["doc_id", "name"]).select("doc_id", "name", "first_row", "max_score", F.md5("rule_text").alias("rule_md5"), "penalty")
+    """AG-10, FX-9, WN-9, SF-22, PF-16: parts as grid rows of their brand."""
+    rows = grid_table_rows(spark, sf_dir)
+    out = scores.grid_groups(rows.filter(scoring.is_grid_table(F.lit("序号评审内容及分值"), F.lit(3))))
+    return out.select("doc_id", F.col("group").alias("grp"), "name", "first_row", "max_score", "penalty", "rule_type", F.md5("rule_text").alias("rule_md5"), F.array_join("proofs", ",").alias("proofs"))
+
+
+@query("""
+SELECT p_brand AS doc_id, 60.0::DOUBLE AS declared_total FROM part GROUP BY 1 HAVING bool_or(p_partkey % 2 = 0)""")
+def grid_totals(spark, sf_dir):
+    """AG-10: what the parents of a brand's grid declare."""
+    return scores.grid_totals(grid_table_rows(spark, sf_dir)).select("doc_id", "declared_total")
+
+
+@query("""
+WITH c AS (SELECT o_custkey AS doc_id, round(sum(o_totalprice % 7 - 1), 2) AS computed, list_sort(list('S-' || o_orderkey) FILTER (round(o_totalprice % 7 - 1, 2) <= 0)) AS bad FROM orders GROUP BY 1)
+SELECT doc_id, CASE WHEN len(coalesce(bad, [])) > 0 THEN 'failed' ELSE 'passed' END AS state, coalesce(array_to_string(bad, ','), '') AS bad_items FROM c""")
+def score_bad_items(spark, sf_dir):
+    """AG-2: items without a positive score fail their key, whatever the sum."""
+    items = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.concat(F.lit("S-"), "o_orderkey").alias("score_id"), F.round(F.col("o_totalprice") % 7 - 1, 2).alias("score"))
+    computed = scores.computed_totals(items, ["doc_id"], "score", named="score_id")
+    checked = scores.sum_check(computed.select("doc_id", F.col("computed_total").alias("declared_total")), computed, ["doc_id"])
+    return checked.select("doc_id", "state", F.array_join("bad_items", ",").alias("bad_items"))
 
 
 @query("""
@@ -123,7 +154,7 @@ def table_islands(spark, sf_dir):
 @query("""
 SELECT doc_id, ord, lot_hint FROM (SELECT conv_id AS doc_id, turn::INTEGER AS ord, role, last_value(CASE WHEN role = 'user' THEN 'hint ' || turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lot_hint FROM conversations) WHERE role = 'assistant'""")
 def lot_hints(spark, sf_dir):
-    """WN-10, TK-10: assistant turns as tables, user turns as short paragraphs."""
+    """WN-10: assistant turns as tables, user turns as short paragraphs."""
     c = read(spark, sf_dir, "conversations")
     kind = F.when(F.col("role") == "assistant", "table").when(F.col("role") == "user", "paragraph").otherwise("heading")
     b = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("ord"), kind.alias("type"), F.concat(F.lit(" hint "), "turn").alias("text"))
@@ -296,17 +327,17 @@ def scope_elements(spark, sf_dir):
 
 
 @query("""
-WITH x AS (SELECT p.p_partkey, s.s_suppkey, p.p_partkey % 2 = s.s_suppkey % 2 AND p.p_partkey % 3 = s.s_suppkey % 3 AND (p.p_partkey % 5 < 2) = (s.s_suppkey % 5 < 2) AS same, p_size >= 20 AS enough, s_suppkey % 4 = 0 AS years_asked, p_partkey % 6 = 0 AS no_year, p_partkey % 6 IN (1, 2, 3) AS recent FROM part p, supplier s WHERE s_suppkey < 20),
-v AS (SELECT *, CASE WHEN NOT same OR NOT enough OR (years_asked AND NOT no_year AND NOT recent) THEN 'no_match' WHEN years_asked AND no_year THEN 'uncertain' ELSE 'match' END AS verdict FROM x)
-SELECT p_partkey, s_suppkey, verdict, CASE WHEN verdict = 'uncertain' THEN 0.75 ELSE 0.9 END::DOUBLE AS confidence FROM v""")
+WITH x AS (SELECT p.p_partkey, s.s_suppkey, s_suppkey % 4 = 0 AS years_asked, p_partkey % 6 = 0 AS no_year, p_partkey % 6 IN (1, 2, 3) AS recent FROM part p JOIN supplier s
+  ON p.p_partkey % 2 = s.s_suppkey % 2 AND p.p_partkey % 3 = s.s_suppkey % 3 AND (p.p_partkey % 5 < 2) = (s.s_suppkey % 5 < 2) AND p_size >= 49),
+v AS (SELECT *, CASE WHEN years_asked AND NOT no_year AND NOT recent THEN 'no_match' WHEN years_asked AND no_year THEN 'uncertain' ELSE 'match' END AS verdict FROM x)
+SELECT p_partkey, s_suppkey, verdict, CASE WHEN verdict = 'uncertain' THEN 0.75 ELSE 0.9 END::DOUBLE AS confidence FROM v WHERE verdict <> 'no_match'""")
 def performance_verdict(spark, sf_dir):
-    """JN-18, SF-35: performances met with criteria, a small stated set that is broadcast."""
+    """JN-18, SF-35: performances and criteria that share a scope, less those that turn each other down."""
     k = F.col("p_partkey")
     year = F.when(k % 6 == 0, "").when(k % 6 < 4, "，2020年竣工").otherwise("，1999年竣工")
-    done = read(spark, sf_dir, "part").select("p_partkey", scoring.performance_elements(F.concat(scope_text(k), F.lit("，合同金额"), "p_size", F.lit("万元"), year)).alias("e"))
-    asked = read(spark, sf_dir, "supplier").filter("s_suppkey < 20").select("s_suppkey", scoring.scope(scope_text(F.col("s_suppkey"))).alias("a"), F.when(F.col("s_suppkey") % 4 == 0, 5).alias("years"))
-    v = scoring.verdict(F.col("e"), F.col("a"), F.lit(200_000.0), F.col("years"), F.lit(2024))
-    return done.crossJoin(F.broadcast(asked)).select("p_partkey", "s_suppkey", v.alias("v")).select("p_partkey", "s_suppkey", "v.*")
+    done = read(spark, sf_dir, "part").select(k.alias("performance_id"), scoring.performance_elements(F.concat(scope_text(k), F.lit("，合同金额"), "p_size", F.lit("万元"), year)).alias("e"))
+    asked = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("criterion_id"), scoring.scope(scope_text(F.col("s_suppkey"))).alias("a"), F.lit(490_000.0).alias("amount_min"), F.when(F.col("s_suppkey") % 4 == 0, 5).alias("years"))
+    return requirements.verdicts(done, asked, 2024).withColumnsRenamed({"performance_id": "p_partkey", "criterion_id": "s_suppkey"})
 
 
 @query("""

@@ -10,6 +10,8 @@ LOCAL = "/tmp/checkpoints/tenderflow"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; below LOCAL only where that is not set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL
-    return f"{base}/{name}-{uuid4().hex}"
+    """A new path below spark.checkpoint.dir; below LOCAL in a local session that does not set it."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base or LOCAL}/{name}-{uuid4().hex}"

@@ -13,8 +13,8 @@ MOST_PER_PAGE = 200
 
 
 def scan(spark: SparkSession, path: str, pattern: str = "*.{docx,pdf,xlsx,doc,zip}") -> DataFrame:
-    """SRC-6: files below a folder, once per path; the content is read only where it is used."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).dropDuplicates(["path"])
+    """SRC-6: files below a folder, each path once; the content is read only where it is used."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
 
 
 def allowed_path(path: str, folders: list[str]) -> str:

@@ -63,11 +63,21 @@ def notify(events: DataFrame, send: Callable[[DataFrame, int], None], checkpoint
 
 
 def run_to_table(frame: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run a stream over all that is there now, into a table in memory."""
-    spark = frame.sparkSession
-    started = frame.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", shared_path(spark, name)).trigger(availableNow=True).start()
+    """Run a stream over all that is there now, each batch to files in the shared folder; a batch
+    that is run again replaces its files. In complete mode the last batch is the result."""
+    spark, folder = frame.sparkSession, shared_path(frame.sparkSession, name)
+    rows = f"{folder}/rows"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{rows}/batch={number}")
+
+    spark.createDataFrame([], frame.schema).write.parquet(f"{rows}/batch=-1")
+    started = frame.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     started.awaitTermination()
-    return spark.table(name)
+    found = spark.read.parquet(rows)
+    if mode == "complete":
+        found = found.filter(F.col("batch") == found.agg(F.max("batch")).first()[0])
+    return found.select(*frame.columns)
 
 
 def daily(events: DataFrame, delay: str = "1 day") -> DataFrame:

@@ -106,6 +106,9 @@ def test_report(spark):
     assert {(r.category, r.state) for r in out["score_checks"].collect()} == {("technical", "passed"), ("commercial", "failed")}
     assert [(r.name, r.score_id) for r in out["scores"].orderBy("row").collect()] == [("方案", "T-001"), ("进度", "T-002"), ("业绩", "T-003")]
     assert {r.zone for r in out["zones"].collect()} == {"notice", "evaluation_method"}
+    stats = out["statistics"].first()
+    assert (stats.blocks, stats.tables, stats.fields_found, stats.score_items, stats.star_clauses, stats.fields_total) == (6, 1, 4, 3, 1, 31)
+    assert stats.requirements == out["requirements"].count() > 0
     assert out["performances"].first().p.years == 5 and out["star_clauses"].first().clause_id == "STAR-01"
     text = "\n".join(t for _, t in said)
     assert all(text[r.char_start : r.char_end] == r.text for r in out["blocks"].collect())
