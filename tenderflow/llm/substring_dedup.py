@@ -320,7 +320,8 @@ def refine_dealt(found: DataFrame) -> DataFrame:
 
     Windows start in the buckets of their first Q bytes; each round goes Q bytes on, the last with
     an overlap, and what is then alone is settled. At the end equal windows share a bucket, which
-    the window itself names. A bucket is only ever counted or reduced to its least place.
+    the window itself names. A bucket is only ever counted or reduced to its least place, and what
+    that gives is written out, so Spark may split a large bucket in the join that follows.
     """
     step = F.explode(F.sequence(F.lit(0), F.col("windows") - 1))
     each = found.select("doc_id", "sig", "start", "context", step.alias("step"))
@@ -328,10 +329,11 @@ def refine_dealt(found: DataFrame) -> DataFrame:
     rows = each.select("doc_id", "sig", (F.col("start") + F.col("step")).alias("a"), window.alias("window"), F.lit(0).cast("long").alias("bucket"))
     for offset in (*range(0, LENGTH - Q, Q), LENGTH - Q):
         finer = rows.withColumn("bucket", F.xxhash64("bucket", F.substring("window", F.lit(offset + 1), F.lit(Q))))
-        shared = finer.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+        shared = materialise(finer.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket"))
         before, rows = rows, materialise(finer.join(shared, "bucket", "left_semi"))
         discard(before)
-    leads = rows.groupBy("window").agg(F.min(F.struct("doc_id", "a")).alias("lead"))
+        discard(shared)
+    leads = materialise(rows.groupBy("window").agg(F.min(F.struct("doc_id", "a")).alias("lead")))
     copies = rows.join(leads, "window").filter(F.struct("doc_id", "a") > F.col("lead"))
     return copies.select("doc_id", "sig", "a", (F.col("a") + LENGTH).cast("int").alias("b"))
 
