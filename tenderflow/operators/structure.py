@@ -55,20 +55,23 @@ def sections(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
 def section_paths(tree: DataFrame, depth: int = 9, key: str = "doc_id") -> DataFrame:
     """WN-5, WN-6: depth and path `a > b > c` of each section down to a depth.
 
-    A section's path is its parent's path and its title: one join a level of the tree.
+    An ancestor of level k is the last heading of that level before the section, if no heading of
+    a smaller level came after it: one running window of a maximum a level, no joins.
     """
-    level = tree.filter("parent is null").select(key, "ord", F.col("title").alias("path"), F.lit(1).alias("depth"))
-    out = level
-    rest = tree.filter("parent is not null").select(key, "ord", "parent", "title")
-    for d in range(2, depth + 1):
-        above = level.select(key, F.col("ord").alias("parent"), F.col("path").alias("above"))
-        level = rest.join(above, [key, "parent"]).select(key, "ord", F.concat_ws(" > ", "above", "title").alias("path"), F.lit(d).alias("depth"))
-        out = out.unionByName(level)
-    return out
+    earlier = Window.partitionBy(key).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    seen = tree.select(key, "ord", "level", "title", *(F.max(F.when(F.col("level") == k, F.struct("ord", "title"))).over(earlier).alias(f"last_{k}") for k in LEVELS))
+    at = lambda k: F.coalesce(F.col(f"last_{k}.ord"), F.lit(-1))
+    above, newest = [], F.lit(-1)
+    for k in LEVELS:
+        above.append(F.when((F.col("level") > k) & (at(k) > newest), F.col(f"last_{k}.title")))
+        newest = F.greatest(newest, at(k))
+    placed = seen.withColumn("above", F.array_compact(F.array(*above)))
+    made = placed.select(key, "ord", F.concat_ws(" > ", "above", "title").alias("path"), (F.size("above") + 1).alias("depth"))
+    return made.filter(F.col("depth") <= depth)
 
 
 def zones(blocks: DataFrame, words: dict = ZONE_WORDS, key: str = "doc_id") -> DataFrame:
-    """JN-4, WN-3, AG-17: the zones of each document.
+    """JN-4, WN-3: the zones of each document.
 
     The first word in a zone's order that occurs wins; for a word, section titles come before
     other blocks and earlier blocks before later ones. A zone from a title is its section; from a

@@ -113,3 +113,55 @@ def test_allowed_paths(tmp_path):
     assert files.allowed_path("hdfs://x/y", []) == "hdfs://x/y"
     with pytest.raises(PermissionError):
         files.allowed_path(str(tmp_path / ".." / "b"), [str(tmp_path)])
+
+
+def test_shared_folder_is_needed_off_local(spark):
+    from types import SimpleNamespace
+
+    from tenderflow.shared import shared_path
+
+    remote = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: {}, master="spark://x:7077"))
+    with pytest.raises(ValueError):
+        shared_path(remote, "x")
+
+
+def test_terminal_events_are_sent(spark, tmp_path):
+    from tenderflow.streaming import tasks
+
+    schema = "task_id long, seq long, ts timestamp, state string"
+    rows = spark.createDataFrame([(1, 0, "submitted"), (1, 1, "completed"), (2, 0, "working")], "task_id long, seq long, state string").selectExpr("task_id", "seq", "timestamp'2024-01-01' ts", "state")
+    rows.write.parquet(str(tmp_path / "events"))
+    events = tasks.source(spark, str(tmp_path / "events"), rows.schema)
+    assert events.isStreaming and schema
+    out = str(tmp_path / "sent")
+    tasks.notify(events, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"), str(tmp_path / "checkpoint")).awaitTermination()
+    assert [(r.task_id, r.state) for r in spark.read.parquet(out).collect()] == [(1, "completed")]
+    artifacts = spark.createDataFrame([(1, "report.json")], "task_id long, name string")
+    both = tasks.with_artifacts(rows.select("task_id", "state"), artifacts)
+    assert sorted((r.kind, r.name) for r in both.filter("task_id = 1").collect() if r.name) == [("artifact-update", "report.json")]
+
+
+def test_sources_of_evidence(spark):
+    found = spark.createDataFrame([("d", "b1", None, "x"), ("d", None, "t1", "y"), ("d", None, None, "项目名称：东河大桥工程的施工招标"), ("d", None, None, "")], "doc_id string, block_id string, table_id string, snippet string")
+    blocks = spark.createDataFrame([("d", "b1", "f1", 0, "正文"), ("d", "b2", "f2", 1, "一、项目名称：东河大桥工程的施工招标公告"), ("d", "b3", "f3", 2, "项目名称：东河大桥工程的施工招标公告")], "doc_id string, block_id string, source_file string, ord int, text string")
+    tables = spark.createDataFrame([("d", "t1", "f3")], "doc_id string, table_id string, source_file string")
+    got = {(r.snippet, r.source_file) for r in evidence.with_sources(found, blocks, tables).collect()}
+    assert got == {("x", "f1"), ("y", "f3"), ("项目名称：东河大桥工程的施工招标", "f2"), ("", None)}
+
+
+def test_pages_of_probes_within_their_document(spark):
+    probes = spark.createDataFrame([("d", "b1", "the quick brown fox jumps over"), ("e", "b1", "the quick brown fox jumps over"), ("d", "b2", "abc")], "doc_id string, block_id string, text string")
+    pages = spark.createDataFrame([("d", 1, "nothing here"), ("d", 2, "so the quick  brown fox jumps over it"), ("d", 3, "the quick brown fox jumps over")], "doc_id string, page_no int, text string")
+    assert [(r.doc_id, r.block_id, r.page_no) for r in evidence.first_pages(probes, pages).collect()] == [("d", "b1", 2)]
+
+
+def test_quotes_of_all_lengths(spark):
+    from tenderflow.operators import quotes
+
+    body = "".join(chr(97 + (i * i + 3 * i) % 26) + (" " if i % 7 == 0 else "") for i in range(900))
+    asked = [(n, body[200 : 200 + n]) for n in (7, 9, 12, 20, 40, 70, 150, 400)] + [(999, "not in any text at all, surely")]
+    texts = [(1, body), (2, body[230:].replace(" ", "\n")), (3, None), (4, "")]
+    got = {(r.text_id, r.quote_id) for r in quotes.held(spark.createDataFrame(texts, "id long, said string"), spark.createDataFrame(asked, "id long, said string")).collect()}
+    squeezed = lambda t: "".join((t or "").split())
+    want = {(i, n) for i, t in texts for n, q in asked if len(squeezed(q)) >= 8 and squeezed(q) in squeezed(t)}
+    assert got == want and want
