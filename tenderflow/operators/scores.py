@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scoring
+from ..functions import lots, scoring
 
 
 def classic_rows(rows: DataFrame) -> DataFrame:
@@ -123,3 +123,9 @@ def weight_check(items: DataFrame, key: str) -> DataFrame:
     """AG-3: whether weights sum to 100 and ids are unique, per key."""
     total = F.sum("technical") + F.sum("commercial") + F.sum("price")
     return items.groupBy(key).agg((F.abs(total - 100) <= 0.01).alias("sums_to_100"), (F.count("item_id") == F.count_distinct("item_id")).alias("ids_unique"))
+
+
+def selected(items: DataFrame, category: str | None = None, lot: str | None = None) -> DataFrame:
+    """PF-19: items of a category, and of a lot or of what may apply to it."""
+    out = items if category is None else items.filter(F.col("category") == category)
+    return out if lot is None else out.filter(lots.applies(F.col("lot"), F.lit(lot)) != "other")

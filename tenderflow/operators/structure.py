@@ -112,3 +112,18 @@ def deepest_section(items: DataFrame, tree: DataFrame, key: str = "doc_id") -> D
     joined = items.join(inner, (F.col(key) == F.col("_k")) & (F.col("ord") >= F.col("block_start")) & (F.col("ord") < F.col("block_end")), "left")
     best = F.max_by(F.struct("title", "level"), F.struct("level", -F.col("block_start")))
     return joined.groupBy(*items.columns).agg(best.alias("s")).select(*items.columns, "s.title", "s.level")
+
+
+def zone_pages(zones: DataFrame, blocks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """AG-17: zones with their first and last page; page 0 is no page."""
+    inside = within(blocks.select(key, "ord", "page_no"), zones, key)
+    page = F.when(F.col("page_no") > 0, F.col("page_no"))
+    names = [c for c in zones.columns if c != key]
+    return inside.groupBy(key, *names).agg(F.min(page).alias("page_start"), F.max(page).alias("page_end"))
+
+
+def zone_first(tables: DataFrame, zones: DataFrame, key: str = "doc_id") -> DataFrame:
+    """TK-10: tables (with ord) numbered from 1: those in a zone first, each group by ord."""
+    near = within(tables.select(key, "ord"), zones, key).select(key, "ord").distinct().withColumn("in_zone", F.lit(True))
+    marked = tables.join(near, [key, "ord"], "left").withColumn("in_zone", F.coalesce("in_zone", F.lit(False)))
+    return marked.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(~F.col("in_zone"), "ord")))

@@ -143,6 +143,25 @@ def zone_blocks(spark, sf_dir):
     return structure.within(turns(spark, sf_dir), zone_rows(spark, sf_dir)).select("doc_id", "ord", "block_start", "block_end")
 
 
+@query("""
+WITH z AS (SELECT DISTINCT conv_id, 0 AS s, 2 AS e FROM conversations WHERE conv_id % 3 = 0 UNION ALL SELECT DISTINCT conv_id, 1, 4 FROM conversations WHERE conv_id % 2 = 0)
+SELECT c.conv_id AS doc_id, z.s AS block_start, z.e AS block_end, (min(c.turn // 2) FILTER (c.turn // 2 > 0))::BIGINT AS page_start, (max(c.turn // 2) FILTER (c.turn // 2 > 0))::BIGINT AS page_end
+FROM conversations c JOIN z ON z.conv_id = c.conv_id AND c.turn >= z.s AND c.turn < z.e GROUP BY 1, 2, 3""")
+def zone_pages(spark, sf_dir):
+    """AG-17: two turns a page, the first page without a number."""
+    return structure.zone_pages(zone_rows(spark, sf_dir), turns(spark, sf_dir).withColumn("page_no", F.floor(F.col("ord") / 2)))
+
+
+@query("""
+WITH z AS (SELECT DISTINCT conv_id, 0 AS s, 2 AS e FROM conversations WHERE conv_id % 3 = 0 UNION ALL SELECT DISTINCT conv_id, 1, 4 FROM conversations WHERE conv_id % 2 = 0),
+t AS (SELECT conv_id, turn, EXISTS (SELECT 1 FROM z WHERE z.conv_id = c.conv_id AND c.turn >= z.s AND c.turn < z.e) AS near FROM conversations c WHERE role <> 'user')
+SELECT conv_id AS doc_id, turn::INTEGER AS ord, row_number() OVER (PARTITION BY conv_id ORDER BY NOT near, turn)::INTEGER AS place FROM t""")
+def zone_tables_first(spark, sf_dir):
+    """TK-10: turns of others than users as tables."""
+    tables = turns(spark, sf_dir).filter("role <> 'user'").select("doc_id", "ord")
+    return structure.zone_first(tables, zone_rows(spark, sf_dir)).select("doc_id", "ord", "place")
+
+
 @query("""
 WITH z AS (SELECT DISTINCT conv_id, 0 AS s, 2 AS e FROM conversations WHERE conv_id % 3 = 0 UNION ALL SELECT DISTINCT conv_id, 1, 4 FROM conversations WHERE conv_id % 2 = 0),
 h AS (SELECT DISTINCT c.conv_id, c.turn FROM conversations c JOIN z ON z.conv_id = c.conv_id AND c.turn >= z.s AND c.turn < z.e)
@@ -310,7 +329,7 @@ def main_offsets(spark, sf_dir):
     return evidence.to_main(c, spans).select("doc_id", "turn", "char_start", "main_char_start")
 
 
-@query("SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(text, '[。；;\\n]'), lambda s: trim(s)), lambda s: length(s) >= 4)) AS sentence FROM documents".replace("\\\\", "\\"))
+@query(r"SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(text, '[。；;\n]'), lambda s: trim(s)), lambda s: length(s) >= 4)) AS sentence FROM documents")
 def sentence_explode(spark, sf_dir):
     """SF-15."""
     return read(spark, sf_dir, "documents").select("doc_id", F.explode(text.sentences(F.col("text"))).alias("sentence"))
@@ -381,5 +400,5 @@ def recent_reports(spark, sf_dir):
 
 @query("SELECT p_partkey, p_name, (SELECT count(*) FROM part WHERE p_size >= 20)::BIGINT AS total FROM part WHERE p_size >= 20 ORDER BY p_partkey LIMIT 50 OFFSET 100")
 def report_page(spark, sf_dir):
-    """PF-19, TK-6: the third page of 50 and the total before paging."""
+    """TK-6: the third page of 50 and the total before paging."""
     return files.page(read(spark, sf_dir, "part").filter("p_size >= 20").select("p_partkey", "p_name"), ["p_partkey"], page=3, size=50)

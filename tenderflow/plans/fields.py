@@ -52,7 +52,7 @@ def duration_days(spark, sf_dir):
 @query("""
 SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 2 WHEN 4 THEN 4 WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 0 END AS level,
   CASE p_partkey % 8 WHEN 0 THEN '12' WHEN 1 THEN (p_size::VARCHAR) WHEN 4 THEN '3.2.' || p_size WHEN 5 THEN '3.' || p_size WHEN 6 THEN (p_size::VARCHAR) ELSE '' END AS no,
-  CASE WHEN p_partkey % 8 = 6 THEN substr('T ' || p_name, 2) ELSE 'T ' || p_name END AS title FROM part""".replace("CASE WHEN p_partkey % 8 = 6 THEN substr('T ' || p_name, 2) ELSE 'T ' || p_name END", "CASE WHEN p_partkey % 8 IN (4, 5) THEN ltrim(substr(' T ' || p_name, 2)) WHEN p_partkey % 8 = 6 THEN p_name ELSE 'T ' || p_name END"))
+  CASE WHEN p_partkey % 8 = 6 THEN p_name ELSE 'T ' || p_name END AS title FROM part""")
 def numbering_levels(spark, sf_dir):
     """SF-11, SF-12, SF-13: numbered titles of all forms."""
     t, n = F.concat(F.lit("T "), "p_name"), F.col("p_size").cast("string")
@@ -221,18 +221,16 @@ CATALOG = (("price_limit", True), ("bid_deadline", True), ("security_deposit", T
 SELECT o_orderkey AS doc_id, 'tenderer' AS field_key FROM orders UNION ALL SELECT o_orderkey, 'security_deposit' FROM orders WHERE o_orderkey % 3 <> 0""")
 def required_missing(spark, sf_dir):
     """PF-21, D13."""
-    catalog = spark.createDataFrame(CATALOG, "field_key string, required boolean")
-    blocks = tender_texts(spark, sf_dir)
-    return fields.required_missing(fields.merged(candidates(spark, sf_dir)), blocks, catalog).select("doc_id", "field_key")
+    required = [k for k, needed in CATALOG if needed]
+    return fields.required_missing(fields.merged(candidates(spark, sf_dir)), tender_texts(spark, sf_dir), required).select("doc_id", "field_key")
 
 
 @query("""
 SELECT o_orderkey AS doc_id, k AS field_key, CASE WHEN k = 'tenderer' OR (k IN ('security_deposit', 'contact_phone') AND o_orderkey % 3 <> 0) THEN 'not_found' ELSE 'found' END AS status FROM orders, (VALUES ('price_limit'), ('bid_deadline'), ('security_deposit'), ('contact_phone'), ('tenderer')) v(k)""")
 def field_defaults(spark, sf_dir):
     """DM-5."""
-    catalog = spark.createDataFrame(CATALOG, "field_key string, required boolean")
-    blocks = tender_texts(spark, sf_dir)
-    return fields.with_defaults(fields.merged(candidates(spark, sf_dir)), blocks, catalog.drop("required")).select("doc_id", "field_key", "status")
+    keys = [k for k, _ in CATALOG]
+    return fields.with_defaults(fields.merged(candidates(spark, sf_dir)), tender_texts(spark, sf_dir), keys).select("doc_id", "field_key", "status")
 
 
 @query("""

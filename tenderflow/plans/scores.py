@@ -64,14 +64,16 @@ def score_sum_check(spark, sf_dir):
 
 
 @query("""
-SELECT p_brand, p_size > 0 AS sums_to_100, true AS ids_unique FROM (SELECT p_brand, 1 AS p_size FROM part GROUP BY 1)""")
+SELECT p_brand, arg_min(p_partkey % 3 <> 0, p_partkey) AS sums_to_100, count(p_partkey // 3) = count(DISTINCT p_partkey // 3) AS ids_unique FROM part GROUP BY 1""")
 def weight_sums(spark, sf_dir):
-    """AG-3, SF-24: weight triples that sum to 100 once per brand."""
+    """AG-3, SF-24: one weight triple a brand, for a third of them a point too much; ids that some parts of a brand share."""
     from pyspark.sql import Window
 
-    n = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
-    said = F.when(n == 1, F.concat((F.col("p_size") % 50).cast("string"), F.lit("："), F.lit("20"), F.lit(" : "), (80 - F.col("p_size") % 50).cast("string"))).otherwise("0:0:0")
-    found = read(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("item_id"), scoring.weights(said).alias("w"))
+    k, size = F.col("p_partkey"), F.col("p_size") % 50
+    n = F.row_number().over(Window.partitionBy("p_brand").orderBy(k))
+    price = 80 - size + F.when(k % 3 == 0, 1).otherwise(0)
+    said = F.when(n == 1, F.concat(size.cast("string"), F.lit("：20 : "), price.cast("string"))).otherwise("0:0:0")
+    found = read(spark, sf_dir, "part").select("p_brand", F.floor(k / 3).alias("item_id"), scoring.weights(said).alias("w"))
     return scores.weight_check(found.select("p_brand", "item_id", "w.*"), "p_brand")
 
 
@@ -448,6 +450,16 @@ def lot_merge(spark, sf_dir):
     return lots.merged_lots(values, known).select("doc_id", "lot", "field_key", "value")
 
 
+@query("""
+SELECT o_orderkey, lot FROM (SELECT o_orderkey, o_orderkey % 2 = 0 AS technical, CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN '包2' WHEN 2 THEN '包3' WHEN 3 THEN '包1-包3' ELSE '-' END AS lot FROM orders) WHERE technical AND lot <> '包3'""")
+def score_selection(spark, sf_dir):
+    """PF-19: technical items of a lot, of all lots or of lots unknown."""
+    k = F.col("o_orderkey")
+    lot = F.when(k % 5 == 0, "").when(k % 5 == 1, "包2").when(k % 5 == 2, "包3").when(k % 5 == 3, "包1-包3").otherwise("-")
+    items = read(spark, sf_dir, "orders").select(k, lot.alias("lot"), F.when(k % 2 == 0, "technical").otherwise("price").alias("category"))
+    return scores.selected(items, "technical", "包2").select("o_orderkey", "lot")
+
+
 @query("""
 WITH n AS (SELECT DISTINCT o_custkey AS doc_id, o_orderkey % 9 + 1 AS k, o_orderkey % 2 = 0 AS f FROM orders)
 SELECT doc_id, arg_min(CASE WHEN f THEN '甲::包' || k ELSE '包0' || k END, [CASE WHEN f THEN 1 ELSE 0 END, k]) AS target_lot FROM n GROUP BY doc_id""")

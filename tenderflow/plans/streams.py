@@ -21,7 +21,7 @@ def task_events(spark, sf_dir):
     return events.select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), "ts", state.alias("state"))
 
 
-@query(f"SELECT user_id AS task_id, arg_max({STATES_SQL}, (ts, event_id)) AS state, count(*)::BIGINT AS n_events FROM events GROUP BY 1".replace("(ts, event_id)", "{'a': ts, 'b': event_id}"))
+@query(f"SELECT user_id AS task_id, arg_max({STATES_SQL}, {{'a': ts, 'b': event_id}}) AS state, count(*)::BIGINT AS n_events FROM events GROUP BY 1")
 def task_latest_state(spark, sf_dir):
     """ST-1, ST-2, ST-4."""
     return tasks.run_to_table(tasks.latest_states(task_events(spark, sf_dir)), f"latest_{uuid4().hex}", "complete")
