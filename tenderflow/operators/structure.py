@@ -70,18 +70,18 @@ def section_paths(tree: DataFrame, depth: int = 9, key: str = "doc_id") -> DataF
     return made.filter(F.col("depth") <= depth)
 
 
-def zones(blocks: DataFrame, words: dict = ZONE_WORDS, key: str = "doc_id") -> DataFrame:
+def zones(blocks: DataFrame, words: dict = ZONE_WORDS, key: str = "doc_id", window: int = ZONE_WINDOW) -> DataFrame:
     """JN-4, WN-3: the zones of each document.
 
     The first word in a zone's order that occurs wins; for a word, section titles come before
     other blocks and earlier blocks before later ones. A zone from a title is its section; from a
-    block it ends at the next heading of level 2 or the block's own, or after ZONE_WINDOW blocks.
+    block it ends at the next heading of level 2 or the block's own, or after `window` blocks.
     """
     n = F.max("ord").over(Window.partitionBy(key)) + 1
     later = Window.partitionBy(key).orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
     ends = heading_ends(blocks.withColumn("n_blocks", n), key).withColumn("next_two", F.min(F.when(F.col("level").between(1, 2), F.col("ord"))).over(later))
     is_title = F.col("level") > 0
-    window_end = F.least(F.col("ord") + ZONE_WINDOW, F.col("n_blocks"))
+    window_end = F.least(F.col("ord") + window, F.col("n_blocks"))
     end = F.when(is_title, F.coalesce("next_same", "n_blocks")).otherwise(F.coalesce("next_two", window_end))
     entries = [F.struct(F.lit(z).alias("zone"), F.lit(k).alias("prio"), F.lit(w).alias("word")) for z, ws in words.items() for k, w in enumerate(ws)]
     any_word = "|".join(dict.fromkeys(w for ws in words.values() for w in ws))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.packs import PACKS
 from ..operators import blocks as block_ops
 from ..operators import chunks, evidence, fields, requirements, scores, structure
+from ..settings import Settings
 
 #: A place after all blocks, for tables of which none is known.
 LAST = 1 << 30
@@ -41,7 +42,8 @@ def analyse(blocks: DataFrame, rows: DataFrame) -> dict[str, DataFrame]:
     doc_id, table_id, row and cells. Nothing runs until a frame is read or written."""
     placed = block_ops.char_offsets(blocks)
     tree = structure.sections(blocks)
-    zones = structure.zones(blocks)
+    settings = Settings.of(blocks.sparkSession)
+    zones = structure.zones(blocks, window=settings.zone_window)
     candidates = fields.all_candidates(blocks, field_zones(blocks, zones), table_cells(rows))
     items = block_ops.numbered(scores.first_of(scores.classic_rows(rows), ["doc_id", "category", "name", "max_score"], "row"), "score_id", "T-%03d", ["doc_id"], ["table_id", "row"])
     totals = scores.computed_totals(items, ["doc_id", "category"], "max_score")
@@ -52,7 +54,7 @@ def analyse(blocks: DataFrame, rows: DataFrame) -> dict[str, DataFrame]:
         "sections": tree,
         "section_paths": structure.section_paths(tree, 3),
         "zones": zones,
-        "chunks": chunks.section_chunks(blocks, tree),
+        "chunks": chunks.section_chunks(blocks, tree, settings.child_chars),
         "block_windows": chunks.block_windows(blocks.join(tree.select("doc_id").distinct(), "doc_id", "left_anti")),
         "candidates": candidates,
         "fields": found,

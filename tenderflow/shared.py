@@ -6,12 +6,19 @@ from uuid import uuid4
 
 from pyspark.sql import SparkSession
 
+#: Only used where a local session names no spark.checkpoint.dir, as in tests.
 LOCAL = "/tmp/checkpoints/tenderflow"
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; below LOCAL in a local session that does not set it."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and not spark.sparkContext.master.startswith("local"):
+def shared_base(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Off a local master it must be set: what executors write to their own
+    disks is lost to the others."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{base or LOCAL}/{name}-{uuid4().hex}"
+    return named or LOCAL
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_base(spark)}/{name}-{uuid4().hex}"
