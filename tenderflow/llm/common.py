@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only used where a local session names no spark.checkpoint.dir, as in tests.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints/tenderflow"
+from ..shared import shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Off a local master it must
-    be set: what executors write to their own disks is lost to the others."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return named or LOCAL_CHECKPOINTS
-
-
 def materialise(df: DataFrame) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back, which cuts its lineage.
 
@@ -33,7 +21,7 @@ def materialise(df: DataFrame) -> DataFrame:
     several jobs use is computed once.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tenderflow-{uuid4().hex}"
+    path = shared_path(spark, "tenderflow")
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tenderflow_path = path

@@ -15,12 +15,11 @@ kept by `assign` and never used.
 from __future__ import annotations
 
 import heapq
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, text_or_empty
+from ..shared import shared_path
+from .common import table, text_or_empty
 
 N_SLOTS = 4096
 N_SHARDS = 8
@@ -150,7 +149,7 @@ def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_
         n_slots,
     )
     sizes = slot_sizes(slim)
-    slot_map = stored_map(spark, map_path or f"{shared_dir(spark)}/slot-maps-{uuid4().hex}", collect_sizes(sizes), n_slots, n_shards)
+    slot_map = stored_map(spark, map_path or shared_path(spark, "slot-maps"), collect_sizes(sizes), n_slots, n_shards)
     return place(assign(slim, slot_map), sizes, slot_map, ["doc_id", "text_crc32", "size"])
 
 
