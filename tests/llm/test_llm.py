@@ -696,6 +696,23 @@ def test_pipeline(spark, tmp_path, rows):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == ids[-1]
 
 
+def test_pipeline_on_odd_and_empty_tables(spark, odd, none, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame(BENCH, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    leak = spark.createDataFrame([(None, "a b c d e f g h i j k. " + BENCH[3][1], 1, 2, 3, 4, True, "r", "s", "l")], odd.schema)
+    docs = odd.unionByName(leak)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == odd.columns
+    kept = docs.collect()
+    assert kept and not any("old heron" in (r.text or "") for r in kept)
+    empty = none
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, str(tmp_path))
+    assert empty.count() == 0
+
+
 def ids_copied(texts):
     """Later texts whose five-word shingles are 0.8 alike to an earlier one."""
     out = set()
