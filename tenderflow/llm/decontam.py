@@ -54,7 +54,7 @@ TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|[.!?\n]|\d(?:[\d.,]*\d)?")
 SLOTS = ("<num>", "<unit>", "<name>")
 MARK, PLAIN_WORD, NUMBER, UNIT, CAPITALISED = range(5)
 KIND_BITS = np.uint64(7)
-MOST_KNOWN = 1 << 20
+MOST_KNOWN = 1 << 18
 
 
 class Kinds(dict):

@@ -281,6 +281,13 @@ def candidate_links(prints: DataFrame, families: int, bucket: int = BUCKET, bits
     return sets.select("members").mapInArrow(run, "a long, b long").distinct()
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of some rows, which bounds what a task makes of them at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
     """Sorted hashes of the distinct word shingles that `similar` compares."""
     import xxhash
@@ -299,7 +306,7 @@ def prefix_rows(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch["text"].to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(text, shingle).view(np.int64))], ["part"])
 
@@ -311,7 +318,7 @@ def prefix_rows(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, often = held.value
-        for batch in batches:
+        for batch in sliced(batches):
             parts, sizes, counts = [np.zeros(0, np.uint64)], [], []
             for text in batch["text"].to_pylist():
                 hashes = shingle_hashes(text, shingle)
@@ -374,7 +381,7 @@ def near_copies(docs: DataFrame, families: int = FAMILIES, shingle: int = COPY_S
     whole = doubted.join(firsts, "node", "left_semi").unionByName(sure).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             made = [np.array(word_prints(t, families), np.uint64).view(np.int64) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["node"], pa.array(made, pa.list_(pa.int64()))], ["node", "fps"])
 
