@@ -165,3 +165,16 @@ def test_quotes_of_all_lengths(spark):
     squeezed = lambda t: "".join((t or "").split())
     want = {(i, n) for i, t in texts for n, q in asked if len(squeezed(q)) >= 8 and squeezed(q) in squeezed(t)}
     assert got == want and want
+
+
+def test_a_run_leaves_nothing(spark):
+    import os
+
+    from tenderflow import shared
+
+    path = shared.shared_path(spark, "some")
+    spark.range(3).write.parquet(path)
+    assert path.startswith(shared.run_folder(spark)) and os.path.isdir(path)
+    shared.end_run(spark)
+    assert not os.path.exists(shared.run_folder(spark))
+    assert shared.shared_path(spark, "other") and os.path.isdir(shared.run_folder(spark))
