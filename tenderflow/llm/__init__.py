@@ -1,2 +1,3 @@
 """Training-data operators: packing, secret scans, substring dedup, chat formatting, sharding,
-quality rules, decontamination, licence scans, URL filters and SimHash near-dedup."""
+quality rules, decontamination, licence scans, URL filters, SimHash near-dedup, spelling variants,
+embedding whitening and nearest neighbours."""

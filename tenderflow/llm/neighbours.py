@@ -39,8 +39,8 @@ from .common import discard, materialise, table
 from .vectors import listed, matrix, usable
 
 NEAREST = 20
-DIMS = 8
-SURE = 0.98
+DIMS = 12
+SURE = 0.97
 SEED = 7
 SAMPLE = 1 << 14
 CELL = 4096

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, licenses, packing, quality, secret_scan, sharding, simhash, substring_dedup, urls
+from . import chat, decontam, licenses, neighbours, packing, quality, secret_scan, sharding, simhash, spelling, substring_dedup, urls, whitening
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_url_filter": urls.op9_url_filter,
     "op10_simhash": simhash.op10_simhash,
+    "op11_spelling": spelling.op11_spelling,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_nearest": neighbours.op13_nearest,
 }
 
 ORACLE_SQL = {
