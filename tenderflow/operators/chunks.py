@@ -84,5 +84,5 @@ def block_windows(blocks: DataFrame, width: int = 2 * CHILD_CHARS) -> DataFrame:
 
 def pages_of(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
     """AG-12: sorted distinct pages of the blocks in each chunk's [block_start, block_end)."""
-    inside = (chunks["doc_id"] == blocks["doc_id"]) & (blocks["ord"] >= chunks["block_start"]) & (blocks["ord"] < chunks["block_end"])
-    return chunks.join(blocks, inside).groupBy(chunks["doc_id"], "chunk_no").agg(F.array_sort(F.collect_set("page_no")).alias("page_nos"))
+    inside = structure.within(blocks.select("doc_id", "ord", "page_no"), chunks.select("doc_id", "chunk_no", "block_start", "block_end"))
+    return inside.groupBy("doc_id", "chunk_no").agg(F.array_sort(F.collect_set("page_no")).alias("page_nos"))

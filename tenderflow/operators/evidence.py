@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from . import quotes
+from .intervals import holders
 
 SNIPPET = 200
 
@@ -68,7 +69,10 @@ def first_pages(probes: DataFrame, pages: DataFrame, width: int = 24, least: int
 
 
 def to_main(evidence: DataFrame, spans: DataFrame) -> DataFrame:
-    """JN-22: offsets of a part moved to the main text; spans has doc_id, start, end, main_start."""
-    near = evidence.join(spans, (evidence["doc_id"] == spans["doc_id"]) & (evidence["char_start"] >= spans["start"]) & (evidence["char_start"] < spans["end"])).drop(spans["doc_id"])
-    moved = F.col("char_start") - F.col("start") + F.col("main_start")
-    return near.withColumn("main_char_start", moved)
+    """JN-22: offsets of a part moved to the main text; rows outside all parts are left out.
+
+    spans has doc_id, start, end and main_start; the parts of a document do not overlap.
+    """
+    placed = holders(evidence, spans, ["start", "main_start"], at="char_start", start="start", end="end")
+    moved = F.col("char_start") - F.col("holder.start") + F.col("holder.main_start")
+    return placed.filter("holder is not null").withColumn("main_char_start", moved).drop("holder")

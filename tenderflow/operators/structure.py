@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import holders, pairs
+
 LEVELS = range(1, 10)
 ZONE_WINDOW = 150
 
@@ -96,22 +98,21 @@ def zones(blocks: DataFrame, words: dict = ZONE_WORDS, key: str = "doc_id", wind
 
 def within(blocks: DataFrame, intervals: DataFrame, key: str = "doc_id") -> DataFrame:
     """PF-1, JN-2: blocks in half-open intervals of their document; overlaps give a row each."""
-    return blocks.join(intervals, (blocks[key] == intervals[key]) & (blocks["ord"] >= intervals["block_start"]) & (blocks["ord"] < intervals["block_end"])).drop(intervals[key])
+    return pairs(blocks, intervals, key)
 
 
 def within_or_all(blocks: DataFrame, intervals: DataFrame, key: str = "doc_id") -> DataFrame:
-    """JN-3: blocks in the intervals, once each; all blocks of a document that has none."""
-    hit = blocks.join(intervals, (blocks[key] == intervals[key]) & (blocks["ord"] >= intervals["block_start"]) & (blocks["ord"] < intervals["block_end"]), "left_semi")
-    none = blocks.join(within(blocks, intervals, key).select(key).distinct(), key, "left_anti")
-    return hit.unionByName(none)
+    """JN-3: blocks in the intervals, once each; all blocks of a document of which they hold none."""
+    marked = pairs(blocks.select(key, "ord"), intervals.select(key, "block_start", "block_end"), key, how="left_semi").distinct().withColumn("_in", F.lit(True))
+    joined = blocks.join(marked, [key, "ord"], "left")
+    some = F.max("_in").over(Window.partitionBy(key))
+    return joined.withColumn("_some", some).filter(F.col("_in") | F.col("_some").isNull()).drop("_in", "_some").select(*blocks.columns)
 
 
 def deepest_section(items: DataFrame, tree: DataFrame, key: str = "doc_id") -> DataFrame:
     """JN-1: each item (with ord) with title and level of the innermost section around it."""
-    inner = tree.select(F.col(key).alias("_k"), "level", "title", "block_start", "block_end")
-    joined = items.join(inner, (F.col(key) == F.col("_k")) & (F.col("ord") >= F.col("block_start")) & (F.col("ord") < F.col("block_end")), "left")
-    best = F.max_by(F.struct("title", "level"), F.struct("level", -F.col("block_start")))
-    return joined.groupBy(*items.columns).agg(best.alias("s")).select(*items.columns, "s.title", "s.level")
+    held = holders(items, tree, ["title", "level"], key, level=F.col("level"), levels=LEVELS)
+    return held.select(*items.columns, "holder.title", "holder.level")
 
 
 def zone_pages(zones: DataFrame, blocks: DataFrame, key: str = "doc_id") -> DataFrame:
