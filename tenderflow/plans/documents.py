@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import blocks, chunks, evidence, ledger, quotes, structure
+from ..shared import shared_path
+from ..sinks import stages
 from ..sources import files
 from .registry import query, read
 
@@ -402,3 +404,17 @@ def recent_reports(spark, sf_dir):
 def report_page(spark, sf_dir):
     """TK-6: the third page of 50 and the total before paging."""
     return files.page(read(spark, sf_dir, "part").filter("p_size >= 20").select("p_partkey", "p_name"), ["p_partkey"], page=3, size=50)
+
+
+@query(r"""
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END::INTEGER AS version, (len(string_split(text, chr(10))) + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS n_lines FROM documents""")
+def incremental_stage(spark, sf_dir):
+    """SNK-1, SRC-15, DM-4, AP-9: lines by document; a third of the texts then gets one more, and only these are done again."""
+    path = shared_path(spark, "stage")
+    lines = lambda docs: docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    hashed = lambda docs: docs.withColumn("content_hash", F.sha2("text", 256))
+    docs = hashed(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    later = hashed(docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\nmore"))).otherwise(F.col("text")).alias("text")))
+    for now in (docs, later):
+        stages.run(now, path, "1", lines)
+    return stages.rows(later, path, "1").groupBy("doc_id", "version").agg(F.count(F.lit(1)).alias("n_lines"))

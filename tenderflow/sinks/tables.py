@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import lots, numerals
 
 
-def write_stage(frame: DataFrame, path: str, version: str) -> None:
-    """SNK-1, DM-4: a stage's rows under their code version; only that version is replaced."""
-    frame.withColumn("code_version", F.lit(version)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("code_version").parquet(path)
-
-
 def write_gold(gold: DataFrame, path: str) -> None:
     """SNK-3: a JSON line per document."""
     gold.write.mode("overwrite").json(path)

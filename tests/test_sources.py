@@ -85,15 +85,6 @@ def test_content_list(spark):
     assert [(r.name, bytes(r.content)) for r in content_list.files_of_parts(parts).collect()] == [("a.docx", b"hi")]
 
 
-def test_stage_tables(spark, tmp_path):
-    path = str(tmp_path / "stage")
-    tables.write_stage(spark.range(3), path, "v1")
-    tables.write_stage(spark.range(5), path, "v2")
-    tables.write_stage(spark.range(4), path, "v2")
-    got = content_list.stage(spark, path).groupBy("code_version").count().collect()
-    assert {r.code_version: r["count"] for r in got} == {"v1": 3, "v2": 4}
-
-
 def test_report(spark):
     said = [(1, "第一章 招标公告"), (0, "项目名称：东河大桥工程。最高投标限价：3,500.5万元。"), (0, "投标截止时间：2026年11月20日09时30分，联系人：李明，电话：010-12345678"), (1, "第二章 评标办法"), (0, "★投标人须近5年内完成类似业绩3项，附合同。"), (0, "最高限价：3,600万元")]
     blocks = spark.createDataFrame([("d", i, level, t) for i, (level, t) in enumerate(said)], "doc_id string, ord int, level int, text string")
