@@ -94,7 +94,7 @@ def lot_tables(rows: DataFrame) -> DataFrame:
 
     def price(k: str) -> Column:
         raw = F.concat(F.col(k), F.when(F.col(f"wan_{k}") & ~F.contains(k, F.lit("万")), "万元").otherwise(""))
-        return F.when(F.rlike(k, F.lit(r"^\d")), fields.cleaned(F.lit("amount"), raw))
+        return F.when(F.rlike(k, F.lit(r"^\d")), fields.cleaned(F.lit("amount"), F.trim(raw)))
 
     month = lambda k: F.concat(F.regexp_extract(k, MONTH, 1), F.lit("年"), F.regexp_extract(k, MONTH, 2).try_cast("int"), F.lit("月"))
     span = F.when(F.rlike("start", F.lit(MONTH)) & F.rlike("end", F.lit(MONTH)), F.concat(month("start"), F.lit("至"), month("end")))

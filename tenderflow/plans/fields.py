@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import numbering as nb
 from ..functions import numerals, text, validators
-from ..operators import fields, review
+from ..operators import fields, review, rules
+from ..shared import shared_path
 from .registry import query, read
 
 
@@ -360,3 +361,14 @@ def date_window(spark, sf_dir):
 def ocr_spaces(spark, sf_dir):
     """SF-8."""
     return read(spark, sf_dir, "part").select("p_partkey", text.squeeze_ocr_spaces(F.concat(F.lit("A B "), "p_size", F.lit("  C - "), "p_partkey")).alias("code"))
+
+
+@query("SELECT p_partkey AS doc_id, 'size_class' AS field_key, 'S' || (p_size + 1000) AS value_normalized, 0.7::DOUBLE AS confidence FROM part")
+def added_field(spark, sf_dir):
+    """UX-1, UX-2, UX-3: a field whose pack is a row of a stored rule table, found by its second version."""
+    path = shared_path(spark, "rules")
+    added = rules.Row("pack", "size_class", "number", "尺寸等级", False, ["notice"], 0, 0.9, "尺寸等级[：:]([A-Z0-9]{4,10})")
+    for rows in (rules.BUILT_IN.rows(), [*rules.BUILT_IN.rows(), added]):
+        rules.store(rules.frame(spark, rows), path)
+    blocks = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(0).alias("ord"), F.concat(F.lit("尺寸等级：S"), F.col("p_size") + 1000, F.lit("。")).alias("text"))
+    return fields.text_candidates(blocks, rules=rules.load(spark, path)).select("doc_id", "field_key", "value_normalized", "confidence")
