@@ -97,14 +97,9 @@ def quote_at(quote: Column, text: Column) -> Column:
     return F.instr(dense(text), dense(quote))
 
 
-def quote_verified(quote: Column, value: Column, text: Column) -> Column:
-    """SF-49: the text has the quote and the quote has the value."""
-    return (dense(quote) != "") & (quote_at(quote, text) > 0) & (quote_at(value, quote) > 0)
-
-
-def quote_prefix_verified(quote: Column, text: Column, n: int = 15) -> Column:
-    """SF-50: the text has the quote's first n characters."""
-    return (F.length(quote) > 0) & F.contains(dense(text), F.substring(dense(quote), 1, n))
+def quote_prefix_at(quote: Column, text: Column, n: int = 15) -> Column:
+    """SF-50: 1-based place of the quote's first n characters in a text as it is; 0 if they are not there."""
+    return F.when(F.length(quote) > 0, F.instr(text, F.substring(quote, 1, n))).otherwise(0)
 
 
 def around(text: Column, place: Column, length: Column, reach: int = 120) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import blocks, chunks, evidence, ledger, quotes, structure
+from ..operators import blocks, chunks, evidence, ledger, model, quotes, structure
 from ..shared import shared_path
 from ..sinks import stages
 from ..sources import files
@@ -276,7 +276,7 @@ QUOTES_SQL = r"FROM documents d JOIN benchmark b ON instr(regexp_replace(d.text,
 
 @query(rf"SELECT d.doc_id, b.item_id, instr(regexp_replace(d.text, '\s+', '', 'g'), regexp_replace(b.text, '\s+', '', 'g'))::BIGINT AS dense_at {QUOTES_SQL}")
 def quote_verify(spark, sf_dir):
-    """SF-49, SF-50, SF-53."""
+    """SF-53, and the first half of SF-49: the text has the quote."""
     return held_quotes(spark, sf_dir).select("doc_id", "item_id", F.col("dense_at").cast("long").alias("dense_at"))
 
 
@@ -418,3 +418,42 @@ def incremental_stage(spark, sf_dir):
     for now in (docs, later):
         stages.run(now, path, "1", lines)
     return stages.rows(later, path, "1").groupBy("doc_id", "version").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+@query(r"""
+WITH m AS (SELECT d.doc_id, b.item_id, string_split(d.text, '') AS c, instr(regexp_replace(d.text, '\s+', '', 'g'), regexp_replace(b.text, '\s+', '', 'g')) AS pos, length(regexp_replace(b.text, '\s+', '', 'g')) AS n FROM documents d JOIN benchmark b ON instr(regexp_replace(d.text, '\s+', '', 'g'), regexp_replace(b.text, '\s+', '', 'g')) > 0),
+v AS (SELECT doc_id, item_id, pos, n, list_filter(range(1, len(c) + 1), lambda i: NOT regexp_matches(c[i], '\s')) AS p FROM m)
+SELECT doc_id, item_id, (p[pos] - 1)::BIGINT AS char_start, p[pos + n - 1]::BIGINT AS char_end FROM v""")
+def quote_spans(spark, sf_dir):
+    """SF-49: where the passages that documents hold, white space aside, stand in their texts as they are."""
+    said = read(spark, sf_dir, "benchmark").select("item_id", F.length(text.dense(F.col("text"))).alias("n"))
+    met = held_quotes(spark, sf_dir).join(said, "item_id").join(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return model.raw_spans(met.select("doc_id", "item_id", "text", F.col("dense_at").cast("int").alias("dense_at"), "n"))
+
+
+def stub_answers(asked):
+    """What stands for a model: by document a good answer, a quote that is not there, a value that its
+    quote has not, and no answer at all."""
+    out = []
+    for r in asked:
+        number, case = f"139{r['doc_id']:08d}", r["doc_id"] % 4
+        if case == 3:
+            raise TimeoutError("no answer")
+        quote = ("致电" if case == 1 else "联系") + ("另行通知" if case == 2 else number)
+        out.append("answer: " + model.as_json({"contact_phone": (number, quote), "site": ("nowhere", "nothing")}))
+    return out
+
+
+@query(r"""
+SELECT doc_id, 'contact_phone' AS field_key, CASE WHEN doc_id % 4 = 0 THEN '139' || lpad(doc_id::VARCHAR, 8, '0') END AS value_normalized,
+  CASE WHEN doc_id % 4 = 0 THEN length(text) + 1 END::BIGINT AS char_start, CASE WHEN doc_id % 4 = 0 THEN length(text) + 16 END::BIGINT AS char_end, CASE WHEN doc_id % 4 = 0 THEN 0.72 END::DOUBLE AS confidence,
+  CASE doc_id % 4 WHEN 1 THEN 'quote is not in the text' WHEN 2 THEN 'value is not in the quote' WHEN 3 THEN 'TimeoutError: no answer' END AS reason FROM documents""")
+def model_fields(spark, sf_dir):
+    """FX-7, SF-48, SF-49, UX-5, UX-6: a phone number that the rules do not find, asked of a model that a plain function stands for."""
+    number = F.concat(F.lit("139"), F.lpad(F.col("doc_id").cast("string"), 8, "0"))
+    tail = F.when(F.col("doc_id") % 4 == 2, F.lit("\n联 系\n另行通知")).otherwise(F.concat(F.lit("\n联 系\n"), number))
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.concat("text", tail).alias("text"))
+    none = spark.createDataFrame([], "doc_id long, field_key string, status string")
+    asked = model.requests(docs.withColumn("ord", F.lit(0)), none, keys=["contact_phone"])
+    checked = model.quoted(model.answers(asked, stub_answers), docs, asked)
+    return checked.select("doc_id", "field_key", "value_normalized", "char_start", "char_end", "confidence", "reason")
