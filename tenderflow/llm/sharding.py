@@ -1,10 +1,12 @@
 """Sharding by fixed virtual slots.
 
 Every record hashes into one of a few thousand virtual slots. Bytes are summed per slot, and a
-versioned slot-to-shard map places whole slots on shards. The map is stored in the shared folder,
-each version beside the ones before. Rebalancing edits the latest version by the slots' sizes and
-stores the next; records never hash again. The map and the slot sizes have `n_slots` rows at most,
-whatever the data's size, so they may pass through the driver and be broadcast.
+versioned slot-to-shard map places whole slots on shards. A table's map has one place in the shared
+folder, where a version is committed whole under a number of its own: of two writers one gets the
+number, the other starts from what that one wrote. Rebalancing edits the latest version by the
+slots' sizes and commits the next; records never hash again. The map and the slot sizes have
+`n_slots` rows at most, whatever the data's size, so they may pass through the driver and be
+broadcast.
 
 Equal texts are documents of their own, each in the slot of its id: no group is held together.
 Edge cases: a null text has no bytes (size 1); a null id hashes like any other value; repeated
@@ -15,10 +17,13 @@ kept by `assign` and never used.
 from __future__ import annotations
 
 import heapq
+from hashlib import sha256
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..shared import shared_path
+from .. import commits
+from ..shared import remove, shared_base
 from .common import table, text_or_empty
 
 N_SLOTS = 4096
@@ -85,33 +90,51 @@ def map_frame(spark: SparkSession, rows: list[tuple[int, int, int]]) -> DataFram
     return spark.createDataFrame(rows, MAP_SCHEMA)
 
 
-def store_map(slot_map: DataFrame, path: str) -> None:
-    """Add the map's version to a store of maps; earlier versions stay readable."""
-    slot_map.write.mode("append").partitionBy("version").parquet(path)
+def map_place(spark: SparkSession, name: str, n_slots: int) -> str:
+    """Where the maps of a table stand; it outlives the run."""
+    return f"{shared_base(spark)}/slot-maps/{sha256(name.encode()).hexdigest()[:24]}-{n_slots}"
+
+
+def store_map(slot_map: DataFrame, path: str) -> bool:
+    """Commit a map as the version that it names; False, and no trace, if there is one already."""
+    spark, name = slot_map.sparkSession, commits.fresh()
+    version = slot_map.first().version
+    slot_map.coalesce(1).write.parquet(f"{path}/maps/{name}")
+    if commits.commit(spark, path, version, name):
+        return True
+    remove(spark, f"{path}/maps/{name}")
+    return False
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """One version of the stored map; the latest by default."""
-    maps = spark.read.parquet(path)
-    wanted = F.lit(version) if version else F.lit(maps.agg(F.max("version")).first()[0])
-    return maps.filter(F.col("version") == wanted).select("version", "vslot", "shard")
+    found = commits.versions(spark, path)
+    return spark.read.schema(MAP_SCHEMA).parquet(f"{path}/maps/{found[version or max(found)]}")
+
+
+def is_fair(current: list[tuple[int, int, int]], sizes: list[tuple[int, int]], n_shards: int) -> bool:
+    """Whether a map has these shards and none is over the mean by more than the largest slot."""
+    known, load = dict(sizes), dict.fromkeys(range(n_shards), 0)
+    for _, s, k in current:
+        load[k] = load.get(k, 0) + known.get(s, 0)
+    held = {k for *_, k in current}
+    return held == set(range(n_shards)) and max(load.values()) - sum(load.values()) / n_shards <= max(known.values(), default=0)
 
 
 def stored_map(spark: SparkSession, path: str, sizes: list[tuple[int, int]], n_slots: int, n_shards: int) -> DataFrame:
     """The map to use: version 1 if none is stored, else the latest, edited into the next version
-    if it has other shards or if its fullest shard is over the mean by more than its largest slot."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-        store_map(map_frame(spark, first_map(sizes, n_slots, n_shards)), path)
-    else:
-        latest = sorted(map(tuple, load_map(spark, path).collect()))
-        known, load = dict(sizes), dict.fromkeys(range(n_shards), 0)
-        for _, s, k in latest:
-            load[k] = load.get(k, 0) + known.get(s, 0)
-        if len(load) > n_shards or {k for *_, k in latest} != set(load) or max(load.values()) - sum(load.values()) / n_shards > max(known.values(), default=0):
-            store_map(map_frame(spark, edit_map(latest, sizes, n_shards)), path)
-    return load_map(spark, path)
+    until it is fair. What another writer commits meanwhile is read and judged anew."""
+    while True:
+        found = commits.numbers(spark, path)
+        latest = sorted(map(tuple, load_map(spark, path).collect())) if commits.versions(spark, path) else []
+        if not latest:
+            made = [(max(found, default=0) + 1, s, k) for _, s, k in first_map(sizes, n_slots, n_shards)]
+        elif is_fair(latest, sizes, n_shards):
+            return load_map(spark, path, latest[0][0])
+        else:
+            made = [(max(found) + 1, s, k) for _, s, k in edit_map(latest, sizes, n_shards)]
+        if store_map(map_frame(spark, made), path):
+            return load_map(spark, path, made[0][0])
 
 
 def assign(slotted: DataFrame, slot_map: DataFrame) -> DataFrame:
@@ -135,11 +158,11 @@ def place(assigned: DataFrame, sizes: DataFrame, slot_map: DataFrame, order: lis
     return assigned.join(F.broadcast(starts), "vslot").withColumn("slot", F.col("slot_start") + rank - 1).drop("slot_start")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, map_path: str | None = None, name: str = "documents") -> DataFrame:
     """Documents with size, checksum, shard and place, balanced by bytes (law `bytes`).
 
-    map_path is where the slot map's versions are stored, by default a new folder in the shared
-    one. The text is only measured in the scans; what is shuffled has a few numbers a record.
+    map_path is where the slot map's versions are stored, by default the place of the table `name` in
+    the shared folder. The text is only measured in the scans; what is shuffled has a few numbers a record.
     """
     spark = docs.sparkSession
     text = text_or_empty()
@@ -149,12 +172,12 @@ def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_
         n_slots,
     )
     sizes = slot_sizes(slim)
-    slot_map = stored_map(spark, map_path or shared_path(spark, "slot-maps"), collect_sizes(sizes), n_slots, n_shards)
+    slot_map = stored_map(spark, map_path or map_place(spark, name, n_slots), collect_sizes(sizes), n_slots, n_shards)
     return place(assign(slim, slot_map), sizes, slot_map, ["doc_id", "text_crc32", "size"])
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = shard_documents(table(spark, sf_dir, "documents"))
+    out = shard_documents(table(spark, sf_dir, "documents"), name=f"{sf_dir}/documents")
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot"
     )

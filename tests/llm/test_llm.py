@@ -298,6 +298,19 @@ def test_slot_maps(spark, tmp_path):
     assert sharding.edit_map(two, sizes, 8)[0][0] == 3
 
 
+def test_two_writers_of_a_slot_map(spark, tmp_path):
+    path, sizes = str(tmp_path / "maps"), [(s, 10) for s in range(64)]
+    one = sharding.map_frame(spark, sharding.first_map(sizes, 64, 4))
+    assert sharding.store_map(one, path) and not sharding.store_map(one, path)
+    assert sharding.load_map(spark, path).count() == 64 and len(list((tmp_path / "maps" / "maps").iterdir())) == 1
+    (tmp_path / "maps" / "commits" / "00000002").touch()  # a writer that was lost before it named its version
+    grown = sharding.stored_map(spark, path, sizes, 64, 5)
+    assert grown.first().version == 3 and grown.count() == 64 and {r.shard for r in grown.collect()} == set(range(5))
+    assert sharding.stored_map(spark, path, sizes, 64, 5).first().version == 3
+    skewed = [(s, 1000 if s < 8 else 1) for s in range(64)]
+    assert sharding.is_fair(sorted(map(tuple, sharding.stored_map(spark, path, skewed, 64, 5).collect())), skewed, 5)
+
+
 def brute_repeats(words):
     n, best = len(words), []
     for i in range(n):
