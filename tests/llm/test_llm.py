@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tenderflow.llm import chat, decontam, licenses, packing, quality, secret_scan, sharding, simhash, substring_dedup, urls
 
@@ -438,6 +439,60 @@ MPL_NOTICE = """/* This Source Code Form is subject to the terms of the Mozilla
  * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
 
 
+BSD3 = """Copyright (c) 2020, Example Inc. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+%s
+THIS SOFTWARE IS PROVIDED BY EXAMPLE INC. AND CONTRIBUTORS "AS IS" AND ANY
+EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL EXAMPLE INC. BE LIABLE FOR ANY DIRECT, INDIRECT,
+INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT
+LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA,
+OR PROFITS; OR BUSINESS INTERRUPTION).
+"""
+THIRD = """3. Neither the name of Example Inc. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented"""
+BOOST = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, and to prepare derivative works of the
+Software, and to permit third-parties to whom the Software is furnished to
+do so, all subject to the following:
+"""
+APACHE_TEXT = """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+"""
+GPL2_ONLY = """  This program is free software; you can redistribute it and/or modify
+  it under the terms of the GNU General Public License version 2 as
+  published by the Free Software Foundation.
+"""
+GPL2_ONLY_TOO = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License."""
+
+
 def test_licences(spark, none, odd):
     mit = licenses.SENTENCES["M03"].replace(" the software to", ' (the "Software"), to').capitalize() + ":\n\n" + licenses.SENTENCES["M04"].capitalize() + "."
     given = [
@@ -472,6 +527,44 @@ def test_licences(spark, none, odd):
     assert all(any(h in s for h in licenses.HINTS) for s in licenses.SENTENCES.values())
 
 
+def test_texts_of_licences(spark):
+    import duckdb
+
+    given = [
+        (BSD3 % THIRD, "BSD-3-Clause"),
+        (BSD3 % "", "BSD-2-Clause"),
+        (BSD3 % THIRD.replace("Neither the name of Example Inc. nor the names of its\n   contributors may", "The name of the author may not"), "BSD-3-Clause"),
+        ((BSD3 % THIRD).split("THIS SOFTWARE")[0].split("3. Neither")[0], ""),  # it ends before the third clause can be ruled out
+        ((BSD3 % ("3. All advertising materials mentioning features or use of this software\n   must display the following acknowledgement: made by us.\n" + THIRD)), "BSD-4-Clause"),
+        ("\n".join(f" * {line}" for line in (BSD3 % THIRD).split("\n")), "BSD-3-Clause"),
+        (ZLIB, "Zlib"),
+        (BOOST, "BSL-1.0;BSL-1.0"),
+        (APACHE_TEXT, "Apache-2.0"),
+        (GPL2_ONLY, "GPL-2.0-only"),
+        (GPL2_ONLY_TOO, "GPL-2.0-only"),
+        (GPL2_NOTICE.replace("GNU General", "GNU Lesser General").replace("version 2", "version 2.1").replace("This program", "This library"), "LGPL-2.1-or-later"),
+        ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007", "GPL-3.0-only"),
+        ("Mozilla Public License Version 2.0\n==================================\n", "MPL-2.0"),
+        ("# SPDX-License-Identifier: MIT OR Apache-2.0\n", "MIT;Apache-2.0"),
+        ("/* SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0) AND mit */", "GPL-2.0-only;Classpath-exception-2.0;MIT"),
+        ("SPDX-License-Identifier: LicenseRef-Own+\n", "LicenseRef-Own+"),
+        ("Released under the Boost Software License, Version 1.0.", "BSL-1.0"),
+    ]
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(given)], DOCS)
+    got = {r.doc_id: (" ".join(r.sentence_ids), ";".join(r.licences)) for r in licenses.scan(frame).collect()}
+    assert {i: names for i, (_, names) in got.items()} == {i: want for i, (_, want) in enumerate(given)}
+    con = duckdb.connect()
+    con.register("documents", frame.toPandas())
+    assert {d: (ids, names) for d, ids, names in con.sql(f"SELECT doc_id, sentence_ids, licences FROM ({licenses.OP8_SQL})").fetchall()} == got
+
+
+def test_lookup_in_buckets(spark):
+    pairs = [(f"sentence {i}", f"v{i}") for i in range(200)]
+    keys = spark.createDataFrame([(f"sentence {i}",) for i in range(220)] + [(None,)], "k string")
+    got = {r.k: r.v for r in keys.select("k", licenses.lookup(pairs, F.col("k")).alias("v")).collect()}
+    assert got == {None: None} | {f"sentence {i}": f"v{i}" if i < 200 else None for i in range(220)}
+
+
 def test_urls(spark):
     given = {
         "https://A.Example.NET/en/1?x#y": ("a.example.net", "/en/1", "example.net/en/", "allow"),
