@@ -5,7 +5,7 @@ their small letters. A name is a capitalised word inside a sentence, or one that
 sentence and is capitalised inside another. So a benchmark question and one with other numbers
 and names have the same template. As what opens a sentence, and what is a name, depends on the
 text around a passage, a text has several readings: with such sentence-opening names as <name>,
-with all opening words as plain words, an item also with all of them as <name>, and the words as
+with fewer units, with all opening words as plain words, an item also with all of them as <name>, and the words as
 they stand, without slots. Windows of WINDOW words of each reading are hashed; windows of
 documents and benchmark meet in a hash join. Hits of a document and an item on one diagonal make
 a run, whatever the readings; its slots, the values behind the placeholders, must agree: equal
@@ -18,8 +18,12 @@ What a document sends to the join is only what a bitmap of the benchmark's windo
 through; its size is fixed by BITS, whatever the benchmark's. Common passages make hot keys of
 the join; its benchmark side has few rows a key, and Spark splits skewed partitions.
 
+A unit is one of a few words that always are, or a word of a table in four languages or a symbol after a
+number. In scripts without spaces each character is a word.
+
 Edge cases: a null or empty text has no words; items under MIN_WORDS words cannot be told from
-chance and are ignored, items under WINDOW words are one window; windows with under PLAIN plain
+chance inside of a sentence and match only where they are a whole sentence or line, as they stand;
+items under WINDOW words are one window; windows with under PLAIN plain
 words (or under half of a short item's) are used only with their words as they stand; rows that share an id, a null id too, are judged each by
 its own text and reported under the id; repeated rows are reported once; empty tables give an empty
 result; columns other than doc_id, item_id and text are ignored, and `keep_clean` keeps them.
@@ -44,15 +48,32 @@ MIN_WORDS = 4
 BITS = 1 << 24
 BASE = np.uint64(0x9E3779B97F4A7C15)
 FACTOR = np.uint64(0xD6E8FEB86659FD93)
-#: Unit words.
+#: Unit words that always are; stems of further ones in English, German, French and
+#: Spanish with their endings and prefixes, and symbols, that are units after a number.
 UNITS = frozenset(
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg ton tons tonne tonnes ounce ounces pound pounds ml l liter liters litre litres "
     "second seconds minute minutes hour hours day days week weeks month months year years cent cents dollar dollars euro euros percent degree degrees mph kph kmh".split()
 )
-MARKS = ".!?\n"
-TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|[.!?\n]|\d(?:[\d.,]*\d)?")
+UNIT_STEMS = (
+    "acre hectare stone gallon pint quart barrel cup dozen decade century penny pence celsius fahrenheit knot amp ampere newton kelvin mole "
+    "zoll fuß meile morgen hektar unze pfund tonn stunde sekund minute tag woche monat jahr jahrzehnt jahrhundert prozent stück dutzend "
+    "pouce pied mille once livre seconde heure jour semaine mois an année décennie siècle centime degré douzaine "
+    "tonelada pulgada pie milla onza libra segundo minuto hora día semana mes año década siglo céntimo centavo peso porcentaje"
+).split()
+SCALED_STEMS = "meter metre liter litre gram gramme gramm metr litr watt wattstunde volt byte bit joule hertz pascal mètre metro gramo litro calorie kalorie caloría".split()
+UNIT_ENDINGS = ("", "s", "es", "e", "n", "en", "er", "ern")
+UNIT_PREFIXES = ("", "kilo", "milli", "mili", "centi", "zenti", "deci", "dezi", "hecto", "hekto", "mega", "giga", "tera", "micro", "mikro", "nano")
+SYMBOLS = "m g l L t W Wh V A J N Pa Hz B b bit eV s h cal mol Ω".split()
+SYMBOL_PREFIXES = ("", "k", "m", "c", "d", "h", "M", "G", "T", "µ", "n")
+PLAIN_SYMBOLS = "C F K ha min d a lb lbs oz ft in yd mi rpm psi bar".split()
+AFTER_NUMBERS = frozenset(f"{stem}{e}" for stem in (*UNIT_STEMS, *(f"{p}{x}" for p in UNIT_PREFIXES for x in SCALED_STEMS)) for e in UNIT_ENDINGS)
+UNIT_SYMBOLS = frozenset((*(f"{p}{x}" for p in SYMBOL_PREFIXES for x in SYMBOLS), *PLAIN_SYMBOLS))
+#: Scripts that write words without spaces: each character is a word.
+UNSPACED = "฀-໿က-႟ក-៿々-〇぀-ヿ㐀-䶿一-鿿豈-﫿"
+MARKS = ".!?。！？\n"
+TOKEN = re.compile(rf"[^\W\d_{UNSPACED}]+(?:['’-][^\W\d_{UNSPACED}]+)*|[.!?。！？\n]|\d(?:[\d.,]*\d)?|[{UNSPACED}]")
 SLOTS = ("<num>", "<unit>", "<name>")
-MARK, PLAIN_WORD, NUMBER, UNIT, CAPITALISED = range(5)
+MARK, PLAIN_WORD, NUMBER, UNIT, CAPITALISED, AFTER_NUMBER, CAPITALISED_AFTER = range(7)
 KIND_BITS = np.uint64(7)
 MOST_KNOWN = 1 << 18
 
@@ -70,6 +91,8 @@ class Kinds(dict):
             kind = NUMBER
         elif small in UNITS:
             kind = UNIT
+        elif token in UNIT_SYMBOLS or small in AFTER_NUMBERS:
+            kind = CAPITALISED_AFTER if token[0].isupper() else AFTER_NUMBER
         else:
             kind = CAPITALISED if token[0].isupper() and not (token.isupper() and len(token) > 1) else PLAIN_WORD
         if len(self) >= MOST_KNOWN:
@@ -89,13 +112,24 @@ class Template:
         self.word = np.flatnonzero(kind != MARK)
         opens = np.ones(len(kind), bool)
         opens[1:] = kind[:-1] == MARK
+        closes = np.ones(len(kind), bool)
+        closes[:-1] = kind[1:] == MARK
         coded, kind, opens = coded[self.word], kind[self.word], opens[self.word]
+        self.opens, self.closes = opens, closes[self.word]
         slots = np.zeros(len(kind), np.int8)
         slots[kind == NUMBER], slots[kind == UNIT] = 1, 2
+        counted = np.append(False, kind == NUMBER)[:-1] & (kind >= AFTER_NUMBER)
+        kind[(kind == AFTER_NUMBER) | counted], kind[kind == CAPITALISED_AFTER] = PLAIN_WORD, CAPITALISED
         capital = kind == CAPITALISED
         inside, first = np.flatnonzero(capital & ~opens), np.flatnonzero(capital & opens)
         slots[inside] = 3
+        plainer = slots
+        if counted.any():  # and once with only the words that always are units
+            slots = slots.copy()
+            slots[counted] = 2
         self.readings = [slots] if slots.any() else []
+        if counted.any() and plainer.any():
+            self.readings.append(plainer)
         for some in (first[np.isin(coded[first], coded[inside])], first if item else first[:0]):
             if some.size:
                 named = slots.copy()
@@ -153,6 +187,8 @@ def window_hashes(template: Template, lengths: list[int]) -> Iterator[tuple[int,
         plain = np.append(0, np.cumsum(slots == 0))
         for n, made in all_windows(hashes, lengths):
             good = plain[n:] - plain[:-n] >= min(PLAIN, (n + 1) // 2)
+            if n < MIN_WORDS:  # nothing but a whole sentence or line, as it stands
+                good &= template.opens[: len(made)] & template.closes[n - 1 :] & (not slots.any())
             for other, taken in done[n]:
                 good &= ~(taken & (other == made))
             done[n].append((made, good.copy()))
@@ -177,7 +213,7 @@ def windows(rows: DataFrame, lengths: list[int] | None, seen: np.ndarray | None)
             out = []
             for row_id, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist()):
                 template = Template(text or "", kinds, lengths is None)
-                if len(template) < MIN_WORDS:
+                if not len(template):
                     continue
                 sig = None
                 for length, slots, hashes, good in window_hashes(template, lengths or [min(WINDOW, len(template))]):
@@ -215,7 +251,7 @@ def covered(starts: Column, length: Column) -> Column:
 def runs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """id, sig (of the text), item_id, kind, same, n_covered and doc_start of all contaminated runs."""
     items = materialise(windows(benchmark.selectExpr("cast(item_id as long) id", "cast(text as string) text"), None, None))
-    lengths = sorted(r.length for r in items.select("length").distinct().collect()) or [WINDOW]  # MIN_WORDS to WINDOW
+    lengths = sorted(r.length for r in items.select("length").distinct().collect()) or [WINDOW]  # 1 to WINDOW
     texts = docs.selectExpr("cast(doc_id as long) id", "cast(text as string) text")
     hits = windows(texts, lengths, bitmap(items))
     item = items.select(F.col("id").alias("item_id"), F.col("sig").alias("item_sig"), F.col("at").alias("item_at"), "length", F.col("n_words").alias("item_words"), "hash", F.col("words").alias("item_template"), F.col("values").alias("item_values"))
