@@ -41,21 +41,25 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-ID_BITS = 1 << 24
+#: An id filter has ID_RATE bits a key, so it lets one other key in about ID_RATE through; its bytes are
+#: an eighth of MOST_ID_BITS at most (32 MB), beyond which it lets more through.
+ID_RATE = 16
+LEAST_ID_BITS, MOST_ID_BITS = 1 << 20, 1 << 28
 
 
 def id_bitmap(rows: DataFrame, key: str) -> np.ndarray:
-    """ID_BITS bits of hashed keys. They are gathered to words in Spark, so at most ID_BITS / 32
-    rows reach the driver, however many keys there are."""
-    bit = F.pmod(F.xxhash64(key), F.lit(ID_BITS))
-    words = rows.select(bit.alias("bit")).groupBy(F.expr("cast(bit div 32 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("bits")).toPandas()
-    out = np.zeros(ID_BITS // 32, "<u4")
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint64).astype("<u4")
+    """Bits of hashed keys, as many as the number of rows asks for. They are gathered in Spark, 64 a
+    row, so at most MOST_ID_BITS / 64 rows reach the driver, however many keys there are."""
+    size = max(LEAST_ID_BITS, min(MOST_ID_BITS, 1 << (ID_RATE * rows.count()).bit_length()))
+    bit = F.pmod(F.xxhash64(key), F.lit(size).cast("long"))
+    slots = rows.select(bit.alias("bit")).groupBy(F.expr("cast(bit div 64 as int)").alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toArrow()
+    out = np.zeros(size // 64, "<i8")
+    out[slots["slot"].to_numpy()] = slots["bits"].to_numpy()
     return out.view(np.uint8)
 
 
 def in_bitmap(spark: SparkSession, key: str, bitmap: np.ndarray) -> Column:
-    """Whether the bitmap may hold the key; false for a null key. A full bitmap lets all through."""
+    """Whether the bitmap may hold the key; false for a null key."""
     held = spark.sparkContext.broadcast(bitmap)
 
     @F.pandas_udf("boolean")
@@ -63,7 +67,7 @@ def in_bitmap(spark: SparkSession, key: str, bitmap: np.ndarray) -> Column:
         bit = bits.to_numpy(np.int64)
         return pd.Series((held.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0)
 
-    return F.col(key).isNotNull() & found(F.pmod(F.xxhash64(key), F.lit(ID_BITS)))
+    return F.col(key).isNotNull() & found(F.pmod(F.xxhash64(key), F.lit(8 * len(bitmap)).cast("long")))
 
 
 def split_by_ids(docs: DataFrame, key: str, rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -289,10 +289,12 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents whose texts are in no contaminated pair, with all their columns."""
-    leaked = materialise(runs(docs, benchmark).select("sig").distinct().withColumnRenamed("sig", "_sig"))
+    leaked = materialise(runs(docs, benchmark).select(F.col("sig").alias("_sig"), F.col("id").alias("_leaked")).distinct())
     signed = docs.withColumn("_sig", F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), 1))
     some, rest = split_by_ids(signed, "_sig", leaked)
-    return some.join(leaked, "_sig", "left_anti").unionByName(rest).select(*docs.columns)
+    held = leaked.withColumnRenamed("_sig", "_leak")
+    clean = some.join(held, (F.col("_sig") == F.col("_leak")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_leaked")), "left_anti")
+    return clean.unionByName(rest).select(*docs.columns)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

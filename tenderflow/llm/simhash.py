@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialise, split_by_ids, table
@@ -361,10 +361,10 @@ def exact_pairs(texts: DataFrame, roots: DataFrame, shingle: int, similarity: fl
 
 
 def near_copies(docs: DataFrame, families: int = FAMILIES, shingle: int = COPY_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """node, doc_id and leader of the documents that another one stands for; a node is an id with
-    its text, so several texts of one id, or of none, are documents of their own.
+    """node, doc_id, text_check and leader of the documents that another one stands for; a node is an
+    id with its text, so several texts of one id, or of none, are documents of their own.
 
-    Equal texts: the least id stays. The rest are joined to groups by all pairs of the least
+    Equal texts (two 64-bit hashes agree): the least id stays. The rest are joined to groups by all pairs of the least
     similarity; in a group the least id leads and all others go. Fingerprints of word sets join
     most of a group cheaply: the links of the buckets' spanning trees, checked on the texts. They
     find no pair for sure, so `exact_pairs` then gives every pair that is left between groups:
@@ -372,11 +372,12 @@ def near_copies(docs: DataFrame, families: int = FAMILIES, shingle: int = COPY_S
 
     Texts stay where they are read but for those that links name.
     """
-    read = with_nodes(docs).select("node", "doc_id", "text_hash", "text")
+    read = with_nodes(docs)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
-    slim = read.select("node", "doc_id", "text_hash").distinct()
-    firsts = materialise(slim.groupBy("text_hash").agg(F.min_by(F.struct("node", "doc_id"), order).alias("f")).select("text_hash", "f.node", "f.doc_id"))
-    equal = materialise(slim.join(firsts.select("text_hash", F.col("node").alias("first")), "text_hash").select("node", "doc_id", "first"))
+    same = ["text_hash", "text_check"]
+    slim = read.select("node", "doc_id", *same).distinct()
+    firsts = materialise(slim.groupBy(*same).agg(F.min_by(F.struct("node", "doc_id"), order).alias("f")).select(*same, "f.node", "f.doc_id"))
+    equal = materialise(slim.join(firsts.select(*same, F.col("node").alias("first")), same).select("node", "doc_id", "text_check", "first"))
     doubted, sure = split_by_ids(read, "node", equal.filter("node <> first"))
     whole = doubted.join(firsts, "node", "left_semi").unionByName(sure).select("node", "text")
 
@@ -421,31 +422,40 @@ def near_copies(docs: DataFrame, families: int = FAMILIES, shingle: int = COPY_S
     before, roots = roots, grown(roots, checked(materialise(rest.select("a", "b").join(tried, ["a", "b"], "left_anti"))))
     discard(before)
     discard(pairs)
-    grouped = equal.join(roots, equal["first"] == roots["node"], "left").select(equal["node"], "doc_id", F.coalesce("root", "first").alias("root"))
+    grouped = equal.join(roots, equal["first"] == roots["node"], "left").select(equal["node"], "doc_id", "text_check", F.coalesce("root", "first").alias("root"))
     led = materialise(grouped.groupBy("root").agg(F.min_by(F.struct("node", "doc_id"), order).alias("lead")))
-    gone = materialise(grouped.join(led, "root").filter("node <> lead.node").select("node", "doc_id", F.col("lead.doc_id").alias("leader")))
+    gone = materialise(grouped.join(led, "root").filter("node <> lead.node").select("node", "doc_id", "text_check", F.col("lead.doc_id").alias("leader")))
     for frame in (firsts, equal, roots, led):
         discard(frame)
     return gone
 
 
+def text_keys(text: Column) -> dict[str, Column]:
+    """Two hashes of a text; both stand for its equality."""
+    return {"text_hash": F.xxhash64(text), "text_check": F.xxhash64(F.lit("check"), text)}
+
+
 def with_nodes(docs: DataFrame) -> DataFrame:
-    """The documents' own columns, text read as a string, null as empty, with text_hash and node."""
+    """node, doc_id, text_hash, text_check and the text as a string, null as empty."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumns(text_keys(F.col("text")))
     return read.withColumn("node", F.xxhash64("doc_id", "text_hash"))
 
 
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
     """The documents without near copies of others, with all their columns.
 
-    Rows with equal id and text are one document.
+    Rows with equal id and text are one document. A row goes only if node, id and check are those
+    of a document that another one stands for.
     """
-    gone = near_copies(docs, **how).select(F.col("node").alias("_node"))
+    gone = near_copies(docs, **how).select(F.col("node").alias("_node"), F.col("doc_id").alias("_id"), F.col("text_check").alias("_check"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    noded = docs.withColumn("_node", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(text)))
+    keys = text_keys(text)
+    noded = docs.withColumns({"_node": F.xxhash64(F.col("doc_id").cast("long"), keys["text_hash"]), "_id_of": F.col("doc_id").cast("long"), "_check_of": keys["text_check"]})
     some, rest = split_by_ids(noded, "_node", gone)
-    return some.join(gone, "_node", "left_anti").unionByName(rest).select(*docs.columns)
+    named = gone.withColumnRenamed("_node", "_gone")
+    left = some.join(named, (F.col("_node") == F.col("_gone")) & F.col("_id_of").eqNullSafe(F.col("_id")) & (F.col("_check_of") == F.col("_check")), "left_anti")
+    return left.unionByName(rest).select(*docs.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
