@@ -38,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .common import materialise, split_by_ids, table
 
@@ -82,22 +83,20 @@ class Kinds(dict):
     """For each token the hash of its small letters, its kind in the lowest three bits."""
 
     def __missing__(self, token: str) -> int:
-        import xxhash
-
-        small = token.lower()
-        if token in MARKS:
+        small, first = token.lower(), token[0]
+        if first in MARKS:
             kind = MARK
-        elif token[0].isdigit():
+        elif first.isdigit():
             kind = NUMBER
         elif small in UNITS:
             kind = UNIT
-        elif token in UNIT_SYMBOLS or small in AFTER_NUMBERS:
-            kind = CAPITALISED_AFTER if token[0].isupper() else AFTER_NUMBER
+        elif small in AFTER_NUMBERS or token in UNIT_SYMBOLS:
+            kind = CAPITALISED_AFTER if first.isupper() else AFTER_NUMBER
         else:
-            kind = CAPITALISED if token[0].isupper() and not (token.isupper() and len(token) > 1) else PLAIN_WORD
+            kind = CAPITALISED if first.isupper() and not (token.isupper() and len(token) > 1) else PLAIN_WORD
         if len(self) >= MOST_KNOWN:
             self.clear()
-        self[token] = made = xxhash.xxh64_intdigest(small.encode(), 42) & ~7 | kind
+        self[token] = made = xxh64_intdigest(small, 42) & ~7 | kind
         return made
 
 
@@ -204,8 +203,6 @@ def windows(rows: DataFrame, lengths: list[int] | None, seen: np.ndarray | None)
     held = rows.sparkSession.sparkContext.broadcast((lengths, seen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         lengths, seen = held.value
         kinds = Kinds()
         schema = pa.schema([*((c, pa.int64()) for c in ("id", "sig")), *((c, pa.int32()) for c in ("at", "length", "n_words")), ("hash", pa.int64()), *((c, pa.list_(pa.string())) for c in ("words", "values"))])
@@ -221,7 +218,7 @@ def windows(rows: DataFrame, lengths: list[int] | None, seen: np.ndarray | None)
                         bit = hashes.view(np.uint64) % np.uint64(BITS)
                         good &= (seen[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
                     for at in np.flatnonzero(good):
-                        sig = xxhash.xxh64_intdigest(text.encode(), 42) >> 1 if sig is None else sig
+                        sig = xxh64_intdigest(text.encode(), 42) >> 1 if sig is None else sig
                         out.append((row_id, sig, at, length, len(template), hashes[at], template.words(slots, at, length), template.values(at, length)))
             columns = list(zip(*out)) or [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
