@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import containment
+
 THRESHOLD = 0.7
 MOST_CANDIDATES = 6
 
@@ -66,8 +68,7 @@ def precision_recall(pairs: DataFrame, gold_flag: Column, found_flag: Column, *k
 
 def name_recall(gold_names: DataFrame, found_names: DataFrame, *keys: str) -> DataFrame:
     """JN-16: gold names that a found name of the key contains or is contained in."""
-    g, f = gold_names.alias("g"), found_names.alias("f")
-    same = [F.col(f"g.{k}") == F.col(f"f.{k}") for k in keys]
-    either = F.contains(F.col("g.name"), F.col("f.name")) | F.contains(F.col("f.name"), F.col("g.name"))
-    hit = g.join(f, [*same, either], "left_semi").withColumn("hit", F.lit(True)).distinct()
+    inside, _ = containment.hits(gold_names, found_names, keys)
+    _, around = containment.hits(found_names, gold_names, keys)
+    hit = inside.unionByName(around).distinct().withColumn("hit", F.lit(True))
     return gold_names.join(hit, [*keys, "name"], "left").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_gold"), F.count("hit").alias("n_hit"))
