@@ -5,7 +5,8 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
+from datetime import date, timedelta
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -114,11 +115,20 @@ def docx_blocks(content: bytes) -> tuple[list[tuple], list[list[list[str]]]]:
     return blocks, tables
 
 
+def _date_styles(styles) -> set[str]:
+    """The numbers of the cell styles whose format is that of a date."""
+    own = {_attribute(x, "numFmtId"): _attribute(x, "formatCode") for x in styles.iter() if _local(x.tag) == "numFmt"}
+    is_date = lambda n: n in map(str, (*range(14, 18), 22)) or bool(re.search("[yd]", re.sub(r'"[^"]*"|\[[^\]]*\]', "", own.get(n, "").lower())))
+    formats = next((x for x in styles if _local(x.tag) == "cellXfs"), ())
+    return {str(i) for i, x in enumerate(formats) if is_date(_attribute(x, "numFmtId"))}
+
+
 def xlsx_blocks(content: bytes) -> tuple[list[tuple], list[list[list[str]]]]:
     """SRC-9: a heading and a table for each sheet; blank rows go."""
     archive = zipfile.ZipFile(io.BytesIO(content))
     names = archive.namelist()
     shared = [_said(x) for x in ElementTree.fromstring(archive.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
+    dates = _date_styles(ElementTree.fromstring(archive.read("xl/styles.xml"))) if "xl/styles.xml" in names else ()
     links = {_attribute(x, "Id"): _attribute(x, "Target") for x in ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels"))}
     blocks, tables = [], []
     for sheet in (x for x in ElementTree.fromstring(archive.read("xl/workbook.xml")).iter() if _local(x.tag) == "sheet"):
@@ -137,6 +147,8 @@ def xlsx_blocks(content: bytes) -> tuple[list[tuple], list[list[list[str]]]]:
                 kind = _attribute(cell, "t")
                 if kind == "s" and raw.isdigit():
                     raw = shared[int(raw)]
+                elif kind in ("", "n") and _attribute(cell, "s") in dates and re.fullmatch(r"\d+(?:\.\d+)?", raw):
+                    raw = str(date(1899, 12, 30) + timedelta(int(float(raw))))
                 elif kind in ("", "n") and re.fullmatch(r"-?\d+\.0+", raw):
                     raw = raw.split(".")[0]
                 cells.append(raw.strip())
@@ -150,7 +162,9 @@ def xlsx_blocks(content: bytes) -> tuple[list[tuple], list[list[list[str]]]]:
     return blocks, tables
 
 
-PARSERS = {"docx": docx_blocks, "xlsx": xlsx_blocks}
+#: A parser gives blocks (type, text, level, table number) and the tables' rows.
+Parser = Callable[[bytes], tuple[list[tuple], list[list[list[str]]]]]
+PARSERS: dict[str, Parser] = {"docx": docx_blocks, "xlsx": xlsx_blocks}
 
 
 def _rows(found: DataFrame, schema: str, make) -> DataFrame:
@@ -173,33 +187,33 @@ def unpacked(found: DataFrame) -> DataFrame:
     return _rows(found.select("path", "content"), "path string, name string, depth int, content binary", lambda r: ((r["path"], *e) for e in unpack(r["content"])))
 
 
-def blocks(found: DataFrame) -> DataFrame:
-    """SRC-7, SRC-9, SRC-14, UX-8: blocks of rows of doc_id, route and content.
+def blocks(found: DataFrame, parsers: Mapping[str, Parser] = PARSERS) -> DataFrame:
+    """SRC-7, SRC-9, SRC-14, UX-4, UX-8: blocks of rows of doc_id, route and content.
 
-    Routes without a parser give no blocks; a file that cannot be read gives one of type failed.
+    parsers has a function for each route. A route without one, such as doc, and a file that cannot
+    be read give one block of type failed, with the reason.
     """
 
     def make(r):
-        if r["route"] not in PARSERS:
+        if r["route"] not in parsers:
+            yield r["doc_id"], 0, "failed", f"no parser for {r['route']}", 0, None
             return
         try:
-            for k, (kind, text, level, table) in enumerate(PARSERS[r["route"]](r["content"])[0]):
+            for k, (kind, text, level, table) in enumerate(parsers[r["route"]](r["content"])[0]):
                 yield r["doc_id"], k, kind, text, level, None if table is None else f"t-{table:04d}"
-        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
-            yield r["doc_id"], 0, "failed", str(e), 0, None
+        except Exception as e:  # whatever a parser meets in a file is that file's failure
+            yield r["doc_id"], 0, "failed", f"{type(e).__name__}: {e}", 0, None
 
     return _rows(found.select("doc_id", "route", "content"), BLOCKS, make)
 
 
-def cells(found: DataFrame) -> DataFrame:
-    """D4: cells of the tables of rows of doc_id, route and content, in long form."""
+def cells(found: DataFrame, parsers: Mapping[str, Parser] = PARSERS) -> DataFrame:
+    """D4: cells of the tables of rows of doc_id, route and content, in long form; failed files have none."""
 
     def make(r):
-        if r["route"] not in PARSERS:
-            return
         try:
-            tables = PARSERS[r["route"]](r["content"])[1]
-        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+            tables = parsers[r["route"]](r["content"])[1]
+        except Exception:  # `blocks` tells the reason
             return
         for t, rows in enumerate(tables):
             for i, row in enumerate(rows):

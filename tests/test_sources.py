@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tenderflow.operators import ledger
 from tenderflow.plans import report
 from tenderflow.sinks import tables
-from tenderflow.sources import content_list, files, office
+from tenderflow.sources import content_list, entries, files, office
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
@@ -60,11 +60,48 @@ def test_office_blocks_and_cells(spark):
     got = {(r.doc_id, r.ord): (r.type, r.level, r.text) for r in office.blocks(found).collect()}
     assert got[("d", 0)] == ("heading", 1, "第一章 公告") and got[("d", 1)] == ("paragraph", 0, "正文") and got[("d", 2)][0] == "table"
     assert got[("x", 0)] == ("heading", 1, "表一") and got[("x", 1)] == ("table", 0, "名称\t数量\na\t3")
-    assert got[("bad", 0)][0] == "failed" and not any(k[0] == "p" for k in got)
+    assert got[("bad", 0)][0] == "failed" and got[("p", 0)] == ("failed", 0, "no parser for pdf_text")
+    lines = lambda content: ([("paragraph", x, 0, None) for x in content.decode().split("\n")], [])
+    own = office.blocks(spark.createDataFrame([("t", "text", b"a\nb"), ("d", "docx", b"")], "doc_id string, route string, content binary"), {"text": lines})
+    assert sorted((r.doc_id, r.type, r.text) for r in own.collect()) == [("d", "failed", "no parser for docx"), ("t", "paragraph", "a"), ("t", "paragraph", "b")]
     cells = {(r.doc_id, r.row, r.col): r.text for r in office.cells(found).collect()}
     assert cells[("d", 1, 1)] == "" and cells[("x", 1, 1)] == "3"
 
 
+def test_dates_of_workbooks():
+    book = {n: zipfile.ZipFile(io.BytesIO(xlsx([["日期", 46346.0]]))).read(n) for n in ("xl/workbook.xml", "xl/_rels/workbook.xml.rels")}
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    book["xl/styles.xml"] = f'<styleSheet {ns}><numFmts><numFmt numFmtId="164" formatCode="yyyy&quot;年&quot;m"/><numFmt numFmtId="165" formatCode="[Red]0.00"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs></styleSheet>'
+    book["xl/worksheets/sheet1.xml"] = f"<worksheet {ns}><sheetData><row>{''.join(f'<c s={chr(34)}{s}{chr(34)}><v>46346.5</v></c>' for s in range(4))}</row></sheetData></worksheet>"
+    assert office.xlsx_blocks(zipped(book.items()))[1] == [[["46346.5", "2026-11-20", "2026-11-20", "46346.5"]]]
+
+
+def test_archives_by_entry(spark, tmp_path):
+    inner = zipped([("招标.docx", docx([(0, "里")], [])), ("deep.zip", zipped([("x.docx", b"x"), ("deeper.zip", zipped([("y.docx", b"y")]))]))])
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in (("a/one.docx", docx([(1, "第一章")], [])), ("two.xlsx", xlsx([["a", 1.0]])), ("skip.txt", b"t" * 10_000), ("../evil.docx", b"!"), ("in.zip", inner)):
+            z.writestr(name, data)
+    torn = bytearray(zipped([("torn.docx", b"content of a file")]))
+    torn[40:44] = b"\0\0\0\0"
+    for name, data in (("z.zip", packed.getvalue()), ("torn.zip", bytes(torn)), ("none.zip", b"zip?")):
+        (tmp_path / name).write_bytes(data)
+    archives = files.scan(spark, str(tmp_path), "*.zip")
+    found = entries.read(archives, ["docx", "xlsx"])
+    got = {r.name: r for r in found.collect()}
+    assert set(got) == {"a/one.docx", "two.xlsx", "招标.docx", "x.docx", "torn.docx"}
+    assert got["招标.docx"].depth == 2 and got["招标.docx"].path.endswith("z.zip!in.zip") and bytes(got["x.docx"].content) == b"x"
+    assert got["torn.docx"].error == "checksum or size differs" and got["torn.docx"].content is None
+    assert entries.read(archives).filter("name = 'skip.txt'").first().route == "unsupported"
+    made = office.blocks(found.filter("content is not null").select(F.col("name").alias("doc_id"), "route", "content"))
+    assert {(r.doc_id, r.text) for r in made.filter("type <> 'failed'").collect()} >= {("a/one.docx", "第一章"), ("招标.docx", "里")}
+    many = zipped([(f"{i}.docx", bytes([i]) * 100) for i in range(40)])
+    (tmp_path / "many").mkdir()
+    (tmp_path / "many" / "m.zip").write_bytes(many)
+    tasks = entries.cut(files.scan(spark, str(tmp_path / "many"), "*.zip"), 1, None).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 1
+
+
 def test_intake(spark, tmp_path):
     (tmp_path / "a.docx").write_bytes(docx([(0, "a")], []))
     (tmp_path / "b.docx").write_bytes(bytes.fromhex("D0CF11E0") + b"old")
