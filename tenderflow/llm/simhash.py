@@ -23,12 +23,11 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, split_by_ids, table
+from .common import arrow_rows, discard, materialise, split_by_ids, table
 
 BITS = 64
 RADIUS = 3
@@ -49,6 +48,8 @@ SIMILARITY = 0.8
 SAMPLE = 8
 COMMON = 1 << 18
 PART = 1024
+#: Rows of texts that a task's Python holds at once.
+BATCH = 1000
 STRIDE = 0x9E3779B97F4A7C15
 FACTOR = np.uint64(0xD6E8FEB86659FD93)
 
@@ -372,6 +373,11 @@ def near_copies(docs: DataFrame, families: int = FAMILIES, shingle: int = COPY_S
 
     Texts stay where they are read but for those that links name.
     """
+    with arrow_rows(docs.sparkSession, BATCH):
+        return _near_copies(docs, families, shingle, similarity)
+
+
+def _near_copies(docs: DataFrame, families: int, shingle: int, similarity: float) -> DataFrame:
     read = with_nodes(docs)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
     same = ["text_hash", "text_check"]
@@ -388,9 +394,10 @@ def near_copies(docs: DataFrame, families: int = FAMILIES, shingle: int = COPY_S
 
     prints = materialise(whole.mapInArrow(run, "node long, fps array<long>").dropDuplicates(["node"]))
 
-    @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similar(x, y, shingle, similarity) for x, y in zip(a, b)])
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 100):
+            held = [similar(x, y, shingle, similarity) for x, y in zip(batch["text_a"].to_pylist(), batch["text_b"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(held, pa.bool_()))
 
     def checked(links: DataFrame) -> DataFrame:
         """The links whose texts are alike; the given ones are discarded."""
@@ -398,7 +405,7 @@ def near_copies(docs: DataFrame, families: int = FAMILIES, shingle: int = COPY_S
         named, _ = split_by_ids(read, "node", nodes)
         texts = materialise(named.join(nodes, "node", "left_semi").select("node", "text").dropDuplicates(["node"]))
         both = links.select("a", "b").join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-        held = materialise(both.filter(alike("text_a", "text_b")).select("a", "b").distinct())
+        held = materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(alike, "a long, b long").distinct())
         discard(texts)
         discard(links)
         return held
