@@ -16,13 +16,13 @@ def item_id(doc_id: Column, field_key: Column, values: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", doc_id.cast("string"), field_key, F.array_join(F.array_sort(F.array_distinct(values)), ",")), 256), 1, 20)
 
 
-def open_items(fields: DataFrame, conflicts: DataFrame) -> DataFrame:
+def open_items(fields: DataFrame, conflicts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """PF-20: found fields of low confidence or with a conflict, and why.
 
     fields has doc_id, field_key, value, confidence, status, candidate_values.
     """
     clash = conflicts.select("doc_id", "field_key").distinct().withColumn("_conflict", F.lit(True))
-    reasons = F.array_compact(F.array(F.when(F.col("confidence") < THRESHOLD, "low_confidence"), F.when(F.col("_conflict"), "conflict")))
+    reasons = F.array_compact(F.array(F.when(F.col("confidence") < threshold, "low_confidence"), F.when(F.col("_conflict"), "conflict")))
     read = fields.filter("status = 'found'").join(clash, ["doc_id", "field_key"], "left").withColumn("reasons", reasons).filter(F.size("reasons") > 0)
     return read.select(item_id(F.col("doc_id"), F.col("field_key"), F.col("candidate_values")).alias("item_id"), "doc_id", "field_key", F.col("value").alias("primary_value"), "confidence", F.array_join("reasons", ",").alias("reasons"), F.slice("candidate_values", 1, MOST_CANDIDATES).alias("candidates"), F.lit("open").alias("status"))
 

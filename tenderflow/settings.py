@@ -15,6 +15,7 @@ class Settings:
     review_threshold: float = 0.7
     code_version: str = "1"
     allowed_folders: str = ""
+    as_of: str = ""
 
     @classmethod
     def of(cls, spark: SparkSession) -> Settings:

@@ -127,12 +127,12 @@ def test_report(spark):
     blocks = spark.createDataFrame([("d", i, level, t) for i, (level, t) in enumerate(said)], "doc_id string, ord int, level int, text string")
     rows = [["序号", "评分项", "分值", "评分标准"], ["技术标（60分）", "", "", ""], ["1", "方案", "40分", "每项得2分"], ["2", "进度", "20分", "优"], ["商务标（30分）", "", "", ""], ["3", "业绩", "25分", "x"]]
     cells = spark.createDataFrame([("d", "t-0001", i, r) for i, r in enumerate(rows)], "doc_id string, table_id string, row int, cells array<string>")
-    out = report.analyse(blocks, cells)
+    out = report.analyse(blocks, cells, as_of=F.lit("2026-06-01").cast("date"))
     fields = {r.field_key: r.value_normalized for r in out["fields"].collect()}
     assert fields == {"project_name": "东河大桥工程", "price_limit": "35005000", "bid_deadline": "2026-11-20 09:30", "contact_phone": "010-12345678"}
     assert [r.field_key for r in out["conflicts"].collect()] == ["price_limit"]
     assert {(r.category, r.state) for r in out["score_checks"].collect()} == {("technical", "passed"), ("commercial", "failed")}
-    assert [(r.name, r.score_id) for r in out["scores"].orderBy("row").collect()] == [("方案", "T-001"), ("进度", "T-002"), ("业绩", "T-003")]
+    assert [(r.name, r.score_id) for r in out["scores"].orderBy("row").collect()] == [("方案", "T-001"), ("进度", "T-002"), ("业绩", "C-001")]
     assert {r.zone for r in out["zones"].collect()} == {"notice", "evaluation_method"}
     stats = out["statistics"].first()
     assert (stats.blocks, stats.tables, stats.fields_found, stats.score_items, stats.star_clauses, stats.fields_total) == (6, 1, 4, 3, 1, 31)
