@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import materialise, split_by_ids, table
+from .common import materialise, sliced, split_by_ids, table
 
 WINDOW = 8
 PLAIN = 4
@@ -76,7 +76,7 @@ TOKEN = re.compile(rf"[^\W\d_{UNSPACED}]+(?:['’-][^\W\d_{UNSPACED}]+)*|[.!?。
 SLOTS = ("<num>", "<unit>", "<name>")
 MARK, PLAIN_WORD, NUMBER, UNIT, CAPITALISED, AFTER_NUMBER, CAPITALISED_AFTER = range(7)
 KIND_BITS = np.uint64(7)
-MOST_KNOWN = 1 << 18
+MOST_KNOWN = 1 << 17
 
 
 class Kinds(dict):
@@ -206,7 +206,7 @@ def windows(rows: DataFrame, lengths: list[int] | None, seen: np.ndarray | None)
         lengths, seen = held.value
         kinds = Kinds()
         schema = pa.schema([*((c, pa.int64()) for c in ("id", "sig")), *((c, pa.int32()) for c in ("at", "length", "n_words")), ("hash", pa.int64()), *((c, pa.list_(pa.string())) for c in ("words", "values"))])
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for row_id, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist()):
                 template = Template(text or "", kinds, lengths is None)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import sliced, table
 
 CAPACITY = 2048
 END_ID = 1
@@ -137,7 +137,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, block_tokens: int
         base, made = TaskContext.get().partitionId() << 40, 0
         schema = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
         doc_ids, ids, held = [], [], 0
-        for batch in batches:
+        for batch in sliced(batches):
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 doc_ids.append(doc_id)
                 ids.append(np.array([*encode(text or ""), END_ID], "<u4"))

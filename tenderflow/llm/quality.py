@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import sliced, table
 
 WINDOW = 5
 MIN_REPEAT = 8
@@ -165,7 +165,7 @@ def measured(docs: DataFrame, *columns: str) -> DataFrame:
     row = F.struct(*(columns or ("doc_id",))).alias("row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             text = batch["text"] if "text" in batch.schema.names else batch["row"].field("text")
             rows = [measure(t or "") for t in text.to_pylist()]
             made = [pa.array(x, pa.int64()) for x in zip(*rows)] if rows else [pa.array([], pa.int64())] * len(MEASURES)

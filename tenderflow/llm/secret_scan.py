@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import sliced, table
 
 KINDS = ("assign", "access", "hex", "github", "npm")
 BASE = 3
@@ -96,7 +96,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id and found, array<struct<kind, start, end>>, for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [[{"kind": KINDS[k], "start": a, "end": z} for a, k, z in find_spans(t or "")] for t in batch["text"].to_pylist()]
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, kind)], ["doc_id", "found"])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, discard, materialise, split_by_ids, table
+from .common import arrow_rows, discard, materialise, sliced, split_by_ids, table
 
 BITS = 64
 RADIUS = 3
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             made = np.array([simhash(t or "", shingle) for t in batch["text"].to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(made.view(np.int64))], ["doc_id", "fp"])
 
@@ -282,13 +282,6 @@ def candidate_links(prints: DataFrame, families: int, bucket: int = BUCKET, bits
     return sets.select("members").mapInArrow(run, "a long, b long").distinct()
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of some rows, which bounds what a task makes of them at once."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
     """Sorted hashes of the distinct word shingles that `similar` compares."""
     import xxhash
