@@ -457,3 +457,13 @@ def model_fields(spark, sf_dir):
     asked = model.requests(docs.withColumn("ord", F.lit(0)), none, keys=["contact_phone"])
     checked = model.quoted(model.answers(asked, stub_answers), docs, asked)
     return checked.select("doc_id", "field_key", "value_normalized", "char_start", "char_end", "confidence", "reason")
+
+
+@query("SELECT n_nationkey::BIGINT AS doc_id, n_name AS file_name FROM nation WHERE n_nationkey % 5 <> 0")
+def stored_reports(spark, sf_dir):
+    """SRC-16: reports stored as JSON files, a fifth of them cut off; the listing passes those over."""
+    path = shared_path(spark, "reports")
+    whole = F.to_json(F.struct(F.col("n_nationkey").alias("doc_id"), F.col("n_name").alias("file_name")))
+    said = F.when(F.col("n_nationkey") % 5 == 0, F.substring(whole, 1, 20)).otherwise(whole)
+    read(spark, sf_dir, "nation").select("n_nationkey", said.alias("value")).write.partitionBy("n_nationkey").text(path)
+    return files.recent(spark, path, "doc_id long, file_name string", "*.txt").select("doc_id", "file_name")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lots as lot_names
 from ..functions import scoring
-from ..operators import lots, outline, requirements, scores
+from ..operators import lots, outline, requirements, score_items, scores, structure
 from .registry import query, read
 
 
@@ -514,8 +514,6 @@ def outline_supplement(spark, sf_dir):
 SELECT c_custkey AS doc_id, ord AS block_start, title FROM customer, (VALUES (3, '一、价格'), (4, '1.1 报价表')) v(ord, title)""")
 def format_outline(spark, sf_dir):
     """SF-45: the sections below the format chapter."""
-    from ..operators import structure
-
     said = ((1, "第一章 公告"), (0, "正文"), (1, "第六章 投标文件 格式"), (2, "一、价格"), (3, "1.1 报价表"), (1, "第七章 附件"), (2, "一、其他"))
     rows = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(n).alias("level"), F.lit(t).alias("text")) for i, (n, t) in enumerate(said)))
     b = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.explode(rows).alias("b")).select("doc_id", "b.*")
@@ -537,3 +535,68 @@ def table_classifiers(spark, sf_dir):
     return read(spark, sf_dir, "part").select(
         "p_partkey", scoring.is_score_table(header, F.lit(34), F.col("p_size")).alias("score_table"), scoring.is_rejection_table(F.when(F.col("p_partkey") % 2 == 0, "序号认定情形规定").otherwise(header), F.lit(3)).alias("rejection_table")
     )
+
+
+def bundles(spark, sf_dir):
+    """Blocks and tables of a supplier's document: a classic, a grid and a price table, and one that scores nothing."""
+    k = F.col("s_suppkey")
+    n = (k % 20 + 1).cast("string")
+    said = ((1, "heading", "第一章 商务评分标准", None), (0, "paragraph", "施工包1", None), (0, "table", "", "t1"), (1, "heading", "第二章 其他", None), (0, "paragraph", "说明：", None), (0, "table", "", "t2"), (0, "table", "", "t3"), (0, "table", "", "t4"))
+    block = lambda i, level, kind, text, ref: F.struct(F.lit(i).alias("ord"), F.lit(level).alias("level"), F.lit(kind).alias("type"), F.lit(text).alias("text"), F.lit(ref).cast("string").alias("table_id"))
+    tables = {
+        "t1": (("序号", "评分项", "分值", "评分标准"), ("商务标（40分）",), ("1", F.concat(F.lit("业绩"), k), n, "每项得2分，最多10分，附合同"), ("技术标（60分）",), ("2", "方案", "60分", "优得50-60分")),
+        "t2": (("序号", "项目", "评审内容及分值", "项目内容"), ("1", "信誉（18分）", F.concat(F.lit("信用（"), n, F.lit("分）")), "甲级"), ("2", "信誉（18分）", "", "乙级"), ("3", "扣分", "不良（-5分）", "每次扣1分")),
+        "t3": (("序号", "分标", "权重设置", "价格公式"), ("", "分标", "权重设置", "价格公式", "下浮系数", "正向系数"), ("1", F.col("s_name"), "30：20：50", "公式一", "0.5", "1")),
+        "t4": (("奖项", "分值"), ("甲", "5分"), ("乙", "6分")),
+    }
+    cell = lambda c: F.lit(c) if isinstance(c, str) else c
+    row = lambda t, i, cells: F.struct(F.lit(t).alias("table_id"), F.lit(i).alias("row"), F.array(*map(cell, cells)).alias("cells"))
+    suppliers = read(spark, sf_dir, "supplier")
+    of = lambda parts: suppliers.select(k.alias("doc_id"), F.explode(F.array(*parts)).alias("x")).select("doc_id", "x.*")
+    return of([block(i, *b) for i, b in enumerate(said)]), of([row(t, i, r) for t, rows in tables.items() for i, r in enumerate(rows)])
+
+
+ITEMS_SQL = """
+WITH s AS (SELECT s_suppkey AS doc_id, s_name, (s_suppkey % 20 + 1)::DOUBLE AS n FROM supplier),
+i AS (SELECT doc_id, 'C-001' AS score_id, 't1' AS table_id, 'commercial' AS category, '业绩' || doc_id AS name, n AS max_score, 'binary' AS rule_type, '施工包1' AS lot, 0.9 AS confidence, '合同' AS proofs FROM s
+UNION ALL SELECT doc_id, 'T-001', 't1', 'technical', '方案', 60, 'graded', '施工包1', 0.9, '' FROM s
+UNION ALL SELECT doc_id, 'T-002', 't2', 'technical', '信用', n, 'binary', '施工包1', 0.9, '' FROM s
+UNION ALL SELECT doc_id, 'T-003', 't2', 'technical', '不良', 5, 'binary', '施工包1', 0.75, '' FROM s
+UNION ALL SELECT doc_id, 'P-001', 't3', 'price', '投标报价评分（' || substr(s_name, 1, 24) || '）', 50, 'formula', s_name, 0.88, '' FROM s)
+"""
+
+
+@query(ITEMS_SQL + "SELECT doc_id, score_id, table_id, category, name, max_score::DOUBLE AS max_score, rule_type, lot, confidence::DOUBLE AS confidence, proofs FROM i")
+def score_items_of_tables(spark, sf_dir):
+    """FX-9, PF-15, JN-1, WN-10, TK-10: items of all table forms."""
+    blocks, rows = bundles(spark, sf_dir)
+    items, _ = score_items.extract(rows, blocks, structure.sections(blocks), structure.zones(blocks))
+    return items.select("doc_id", "score_id", "table_id", "category", "name", "max_score", "rule_type", "lot", "confidence", F.array_join("proofs", ",").alias("proofs"))
+
+
+@query(ITEMS_SQL + """
+SELECT doc_id, category, lot, declared_total::DOUBLE AS declared_total, computed_total::DOUBLE AS computed_total, CASE WHEN abs(declared_total - computed_total) <= 0.01 THEN 'passed' ELSE 'failed' END AS state FROM (
+  SELECT doc_id, category, lot, CASE category WHEN 'commercial' THEN 40 ELSE 78 END AS declared_total, round(sum(CASE WHEN name = '不良' THEN 0 ELSE max_score END), 2) AS computed_total FROM i WHERE category <> 'price' GROUP BY ALL)""")
+def score_item_checks(spark, sf_dir):
+    """AG-1, AG-2, FX-9: totals that category rows and grid parents declare against the items' sums; deductions do not count."""
+    blocks, rows = bundles(spark, sf_dir)
+    items, totals = score_items.extract(rows, blocks, structure.sections(blocks), structure.zones(blocks))
+    return score_items.checks(items, totals).select("doc_id", "category", "lot", "declared_total", "computed_total", "state")
+
+
+@query("SELECT s_suppkey AS doc_id, 8::BIGINT AS blocks, 4::BIGINT AS tables, 3::BIGINT AS fields_found, 5::BIGINT AS score_items, 0::BIGINT AS star_clauses, 0::BIGINT AS lots, 31::BIGINT AS fields_total FROM supplier")
+def report_statistics(spark, sf_dir):
+    """AP-9, AG-6: counts of the frames of whole reports; the fields are the weights of the price table."""
+    from . import report
+
+    out = report.analyse(*bundles(spark, sf_dir), as_of=F.lit("2026-06-01").cast("date"))
+    return out["statistics"].drop("requirements")
+
+
+@query("""
+WITH x AS (SELECT p_partkey, p_size % 2 = 0 AS s, p_size % 3 = 0 AS d, CASE p_partkey % 4 WHEN 0 THEN 'performance' WHEN 1 THEN 'leader' WHEN 2 THEN 'team' ELSE 'own' END AS t FROM part)
+SELECT p_partkey, CASE WHEN NOT s AND NOT d THEN '' ELSE concat_ws('/', CASE WHEN s THEN '评分要求' END, CASE WHEN d THEN '标书要求' END) || '-' || CASE WHEN d AND t IN ('leader', 'team') THEN '人员简历' WHEN t = 'performance' THEN '业绩要求' WHEN t = 'own' THEN 'own' ELSE '人员要求' END END AS label FROM x""")
+def usage_labels(spark, sf_dir):
+    """SF-47."""
+    kind = F.when(F.col("p_partkey") % 4 == 0, "performance").when(F.col("p_partkey") % 4 == 1, "leader").when(F.col("p_partkey") % 4 == 2, "team").otherwise("own")
+    return read(spark, sf_dir, "part").select("p_partkey", scoring.usage_label(F.col("p_size") % 2 == 0, F.col("p_size") % 3 == 0, kind).alias("label"))

@@ -52,6 +52,16 @@ def intake(found: DataFrame) -> DataFrame:
     return first.select(combined_id(F.array("sha256")).alias("doc_id"), "sha256", "f.*", file_name(F.col("f.path")).alias("file_name"))
 
 
+def recent(spark: SparkSession, path: str, schema: str, pattern: str = "*.json", most: int = 100) -> DataFrame:
+    """SRC-16, TK-9: the newest stored JSON files, `most` of them, as path, modified and the schema's
+    fields; files that are no such JSON are passed over."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    text = F.col("content").cast("string")
+    said = F.from_json(F.when(F.try_parse_json(text).isNotNull(), text), schema)
+    read = found.select("path", F.col("modificationTime").alias("modified"), said.alias("r")).filter("r is not null")
+    return read.orderBy(F.desc("modified"), "path").limit(most).select("path", "modified", "r.*")
+
+
 def text_layer(pages: DataFrame, threshold: int = MIN_CHARS) -> DataFrame:
     """SRC-3: whether a document's pages have text: the mean length of those that have any."""
     n = F.length(F.coalesce("text", F.lit("")))

@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tenderflow.functions import scoring
 from tenderflow.operators import score_items, structure
+from tenderflow.plans import report
 
 CLASSIC = [
     ["序号", "评分项", "分值", "评分标准"],
@@ -74,3 +76,41 @@ def test_a_table_over_two_pages(spark):
 def test_forms(spark, header, form):
     rows = rows_of(spark, {"t": [header, ["甲", "5分"], ["乙", "6分"]]})
     assert score_items.table_facts(rows).select(F.col("form")).first().form == form
+
+
+def test_usage_labels(spark):
+    rows = [(True, False, "performance", "评分要求-业绩要求"), (True, True, "leader", "评分要求/标书要求-人员简历"), (False, True, "plan", "标书要求-编制要求"), (False, False, "price", ""), (True, False, "team", "评分要求-人员要求"), (True, True, "own", "评分要求/标书要求-own")]
+    frame = spark.createDataFrame(rows, "s boolean, d boolean, kind string, want string")
+    assert frame.filter(scoring.usage_label(F.col("s"), F.col("d"), F.col("kind")) != F.col("want")).count() == 0
+
+
+def test_whole_report(spark):
+    said = [
+        (1, "第一章 招标公告", None), (0, "项目名称：东河大桥工程。招标编号：ZB-2026-001。", None), (0, "采购人：东河水务局。投标截止时间：2026年11月20日09时30分。", None), (0, "", "lots"),
+        (1, "第二章 评标办法", None), (0, "包1施工", None), (0, "", "t1"), (0, "★投标人须近5年内完成类似业绩3项，附合同复印件。", None), (0, "", "no"),
+        (1, "第三章 投标文件格式", None), (2, "一、技术部分", None), (2, "施工方案", None), (2, "二、商务部分", None), (0, "开标时间：5009年1月2日。", None),
+    ]
+    b = spark.createDataFrame([("d", i, level, t, "table" if ref else "heading" if level else "paragraph", ref, f"b-{i}", "a.docx") for i, (level, t, ref) in enumerate(said)], "doc_id string, ord int, level int, text string, type string, table_id string, block_id string, source_file string")
+    tables = {
+        "lots": [["包号", "包名称", "最高限价（万元）", "招标范围"], ["包2", "桥面", "120", "桥面施工"], ["包1", "桥墩", "300.5", "桥墩施工"]],
+        "t1": [["序号", "评分项", "分值", "评分标准"], ["技术标（60分）"], ["1", "质量方案", "60分", "优得50-60分"], ["商务标（40分）"], ["2", "业绩", "30分", "每项得10分"]],
+        "no": [["序号", "否决投标情形"], ["1", "投标人资格不符合要求的按否决投标处理"]],
+    }
+    ledger = spark.createDataFrame([("d", "DONE"), ("d", "PENDING")], "doc_id string, status string")
+    out = report.analyse(b, rows_of(spark, tables), ledger=ledger, as_of=F.lit("2026-06-01").cast("date"))
+    got = {name: frame.collect() for name, frame in out.items() if name not in ("chunks", "block_windows", "blocks", "section_paths")}
+    assert {r.field_key: r.value_normalized for r in got["fields"]} == {"project_name": "东河大桥工程", "tender_no": "ZB-2026-001", "tenderer": "东河水务局", "bid_deadline": "2026-11-20 09:30"}
+    assert len(got["all_fields"]) == 31 and got["missing"] == [] and got["lots"][0].doc_id == "d"
+    assert {(r.lot, r.field_key): r.value for r in got["lot_fields"]}["包1", "price_limit"] == "3005000" and got["targets"][0].target_lot == "包1"
+    assert {r.name: r.lot for r in got["scores"]} == {"质量方案": "包1施工", "业绩": "包1施工"} and {(r.category, r.state) for r in got["score_checks"]} == {("technical", "passed"), ("commercial", "failed")}
+    assert [r.text for r in got["rejections"]] == ["投标人资格不符合要求的按否决投标处理"] and len(got["star_clauses"]) == 1
+    assert {r.title for r in got["outline"]} == {"一、技术部分", "施工方案", "二、商务部分"} and {tuple(r.added) for r in got["outline_added"]} == {("质量方案",), ("业绩",)}
+    assert {(r.issue, r.about) for r in got["issues"]} == {("sum_failed", "commercial/包1施工"), ("ledger_open", "1")} and got["ledger"][0].pending == 1
+    assert {r.source_file for r in got["evidence"] if r.ord < 100} == {"a.docx"} and any(r.label == "标书要求-业绩要求" for r in got["requirements"])
+    stats = got["statistics"][0]
+    assert (stats.blocks, stats.tables, stats.fields_found, stats.score_items, stats.star_clauses, stats.lots, stats.fields_total) == (14, 3, 4, 2, 1, 2, 31)
+    short = report.summary(out)
+    assert [(r.lot, r.price_limit) for r in short["lots"].collect()] == [("包1", "3005000")] and short["basic"].first().tender_no == "ZB-2026-001" and short["requirements"].count() == len(got["requirements"])
+    part = report.selected(out, "d", "包2", "technical", ("scores", "lots"))
+    assert set(part) == {"scores", "lots"} and part["scores"].count() == 0 and [r.lot for r in part["lots"].collect()] == ["包2"]
+    assert report.selected(out, "other", sections=("fields",))["fields"].count() == 0
