@@ -14,29 +14,46 @@ from tenderflow.llm import decontam, packing, quality, secret_scan, simhash
 from tenderflow.llm.common import discard, materialise, table
 
 
+#: Rows hold whole texts, so a session that runs stages hands Python at most so many at once.
+ARROW_ROWS = 1000
+
+
+def bounded(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ARROW_ROWS, if they are larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the plain rules and the repetition limits."""
+    bounded(spark)
     return quality.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    bounded(spark)
     return simhash.drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage, as it is or with other values in its slots."""
+    bounded(spark)
     return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets masked; n_chars follows the text."""
+    bounded(spark)
     out = secret_scan.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences."""
+    bounded(spark)
     return packing.pack_documents(docs)
 
 

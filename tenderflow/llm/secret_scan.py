@@ -21,7 +21,6 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,12 +117,15 @@ def mask_text(text: str) -> str:
 
 def redact(docs: DataFrame, column: str = "text") -> DataFrame:
     """The same rows and columns, secrets replaced in `column`; null stays null."""
+    read = docs.withColumn(column, F.col(column).cast("string"))
+    at = read.columns.index(column)
 
-    @F.pandas_udf("string")
-    def masked(texts: pd.Series) -> pd.Series:
-        return texts.map(mask_text, na_action="ignore")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            masked = pa.array([None if t is None else mask_text(t) for t in batch.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], masked, *batch.columns[at + 1 :]], batch.schema.names)
 
-    return docs.withColumn(column, masked(F.col(column).cast("string")))
+    return read.mapInArrow(run, read.schema)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
