@@ -14,7 +14,7 @@ def values(spark, function, given):
 CASES = [
     (numerals.cn_number, {"伍佰": 500.0, "三千五百": 3500.0, "二十万": 200000.0, "十": 10.0, "贰亿伍仟万": 2.5e8, "三万五千亿": 3.5e12, "一亿三千万": 1.3e8, "零": None, "abc": None, "三点五": 3.0}),
     (lambda c: numerals.money(c).cast("double"), {"人民币贰亿伍仟万元整（¥250,000,000.00）": 2.5e8, "3,500.5万元": 35005000.0, "1.2亿": 1.2e8, "三千五百万元": 3.5e7, "大写：伍佰万元整": 5e6, "¥ 1,234.5": 1234.5, "0元": None, "无": None, None: None}),
-    (numerals.date_time, {"2026年11月20日09时30分": "2026-11-20 09:30", "二〇二六年十月一日": "2026-10-01", "定于 2026-1-5 举行": "2026-01-05", "2026年13月1日": None, "11月20日": None, "见公告": None, "2026/11/20 9:05:07": "2026-11-20 09:05:07"}),
+    (numerals.date_time, {"2026年11月20日09时30分": "2026-11-20 09:30", "二〇二六年十月一日": "2026-10-01", "定于 2026-1-5 举行": "2026-01-05", "2026年13月1日": None, "11月20日": None, "见公告": None, "2026/11/20 9:05:07": "2026-11-20 09:05:07", "2026 年 1 月 5": "2026-01-05", "二〇二六年十二月三十一号 9点5分": "2026-12-31 09:05", "": None, None: None}),
     (lambda c: numerals.duration(c)["days"], {"540日历天": 540, "三个月": 90, "2年": 730, "12个月": 360, "十天后": None, "60 个日历天（约2个月）": 60}),
     (numerals.ordinal, {"十二": 12, "二十": 20, "九十九": 99, "7": 7, "百": 0, "": 0}),
     (numerals.to_ten_thousands, {"1234500": "123.45", "10000": "1", "面议": "面议", "0.5": "0.00005"}),
