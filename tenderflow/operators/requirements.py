@@ -158,29 +158,40 @@ def superset_dedupe(rows: DataFrame, keys: list[str], fields: str, order: str, e
     return folded.select(*keys, F.col(f"k.{order}").alias(order), F.col(f"k.{fields}").alias(fields), united.alias("evidence_ids"), *(F.col(f"k.kept.{c}").alias(c) for c in kept))
 
 
+DIMENSIONS = ("facilities", "voltages", "works")
+
+
 def verdicts(done: DataFrame, asked: DataFrame, as_of_year: int) -> DataFrame:
     """JN-18: verdict and confidence of the performances that a criterion does not turn down.
 
     done has performance_id and e (`scoring.performance_elements`), asked criterion_id, a
-    (`scoring.scope`), amount_min and years. A pair must share an element of the first dimension
-    that the criterion names, or the performance says nothing of it, so pairs meet in a join on
-    that element and those that do not meet are no match. Criteria that name none of voltage,
-    facility and work are met by all performances that name none, under one key.
+    (`scoring.scope`), amount_min and years. In each dimension that a criterion names a pair must share
+    an element, or the performance says nothing of it; so pairs meet in a join on an element of every
+    named dimension at once, and those that do not meet are no match. Subdivision, amount and years turn
+    pairs down within the join, before a verdict is made.
     """
-    empty = F.array().cast("array<string>")
-    sizes = [F.size(F.col(f"a.{d}")) > 0 for d in ("facilities", "voltages", "works")]
-    pick = lambda side, kind: F.when(kind == "facilities", F.col(f"{side}.facilities")).when(kind == "voltages", F.col(f"{side}.voltages")).when(kind == "works", F.col(f"{side}.works")).otherwise(empty)
-    dimension = F.when(sizes[0], "facilities").when(sizes[1], "voltages").when(sizes[2], "works").otherwise("none")
-    blank = F.array(F.lit(""))
-    wanted = asked.withColumn("dimension", dimension).withColumn("element", F.explode(F.array_distinct(F.concat(pick("a", F.col("dimension")), blank))))
-    every = done.withColumn("dimension", F.explode(F.array(*map(F.lit, ("facilities", "voltages", "works", "none")))))
-    have = pick("e", F.col("dimension"))
-    shown = every.withColumn("element", F.explode(F.when(F.size(have) > 0, F.array_distinct(have)).otherwise(blank)))
-    met = shown.join(wanted, ["dimension", "element"])
-    first = F.get(F.when(F.size(have) > 0, F.array_intersect(have, pick("a", F.col("dimension")))).otherwise(blank), F.lit(0))
-    once = met.filter(F.col("element") == first)  # a pair that shares several elements counts once
+    none, any_ = F.array(F.lit("")), F.array(F.lit("*"))
+    names = [F.size(F.col(f"a.{d}")) > 0 for d in DIMENSIONS]
+    mask = F.concat(*(F.when(n, "1").otherwise("0") for n in names))
+    wanted = asked.withColumn("mask", mask)
+    for d, named in zip(DIMENSIONS, names):
+        wanted = wanted.withColumn(f"by_{d}", F.explode(F.when(named, F.array_distinct(F.concat(F.col(f"a.{d}"), none))).otherwise(any_)))
+    shown = done.withColumn("mask", F.explode(F.array(*(F.lit(f"{m:03b}") for m in range(8)))))
+    for i, d in enumerate(DIMENSIONS):
+        have = F.when(F.size(F.col(f"e.{d}")) > 0, F.array_distinct(F.col(f"e.{d}"))).otherwise(none)
+        shown = shown.withColumn(f"by_{d}", F.explode(F.when(F.substring("mask", i + 1, 1) == "1", have).otherwise(any_)))
+    keys = ["mask", *(f"by_{d}" for d in DIMENSIONS)]
+    e, a = shown.alias("p"), wanted.alias("q")
+    fits = F.col("q.a.subdivision").isNull() | F.col("p.e.subdivision").isNull() | (F.col("p.e.subdivision") == F.col("q.a.subdivision"))
+    fits &= F.col("amount_min").isNull() | F.col("p.e.amount").isNull() | (F.col("p.e.amount") >= F.col("amount_min"))
+    fits &= F.col("years").isNull() | (F.size(F.col("p.e.years")) == 0) | (F.array_max(F.col("p.e.years")) >= as_of_year - F.col("years") - 1)
+    met = e.join(a, [*(F.col(f"p.{k}") == F.col(f"q.{k}") for k in keys), fits]).select("performance_id", "criterion_id", "e", "a", "amount_min", "years", *(F.col(f"p.{k}").alias(k) for k in keys))
+    once = F.lit(True)  # a pair that shares several elements counts once
+    for d in DIMENSIONS:
+        shared = F.coalesce(F.get(F.array_intersect(F.col(f"e.{d}"), F.col(f"a.{d}")), F.lit(0)), F.lit(""))
+        once &= F.col(f"by_{d}").isin("*", "") | (F.col(f"by_{d}") == shared)
     v = scoring.verdict(F.col("e"), F.col("a"), F.col("amount_min"), F.col("years"), F.lit(as_of_year))
-    return once.select("performance_id", "criterion_id", v.alias("v")).select("performance_id", "criterion_id", "v.*").filter("verdict <> 'no_match'")
+    return met.filter(once).select("performance_id", "criterion_id", F.explode(F.array(v)).alias("v")).select("performance_id", "criterion_id", "v.*").filter("verdict <> 'no_match'")
 
 
 def star_clauses(blocks: DataFrame, marker: str = "★", meta: tuple[str, ...] = ("标注", "标有", "带★"), width: int = 300) -> DataFrame:
