@@ -14,23 +14,24 @@ def classic_rows(rows: DataFrame) -> DataFrame:
     rows has doc_id, table_id, row, cells; row 0 is the header. A short cell with a category word
     declares the category of the rows below; a row of at most two filled cells declares only.
     """
-    cells = F.transform("cells", lambda c: F.trim(c))
-    filled = F.filter(cells, lambda c: c != "")
-    declared = F.get(F.filter(F.transform(cells, lambda c: F.when((F.length(c) <= 14) & (c != ""), scoring.category(c))), lambda c: c.isNotNull()), F.lit(0))
+    trimmed = rows.select("doc_id", "table_id", "row", "cells", F.explode(F.array(F.transform("cells", lambda c: F.trim(c)))).alias("said"))
+    n_filled = F.size(F.filter("said", lambda c: c != ""))
+    declared = F.get(F.filter(F.transform("said", lambda c: F.when((F.length(c) <= 14) & (c != ""), scoring.category(c))), lambda c: c.isNotNull()), F.lit(0))
     before = Window.partitionBy("doc_id", "table_id").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     header = F.first(F.when(F.col("row") == 0, F.col("cells")), ignorenulls=True).over(before)
-    seen = rows.withColumn("declared", declared).withColumn("n_filled", F.size(filled)).withColumn("category", F.last("declared", ignorenulls=True).over(before)).withColumn("header", header)
+    seen = trimmed.withColumn("declared", declared).withColumn("n_filled", n_filled).withColumn("category", F.last("declared", ignorenulls=True).over(before)).withColumn("header", header)
     only = (F.col("n_filled") == 0) | (F.col("declared").isNotNull() & (F.col("n_filled") <= 2))
-    items = seen.filter((F.col("row") > 0) & ~only).withColumn("cell", scoring.score_cell(F.transform("cells", lambda c: F.trim(c)), F.col("header"))).filter("cell is not null")
-    return items.select("doc_id", "table_id", "row", F.coalesce("category", F.lit("technical")).alias("category"), F.trim(F.get("cells", F.lit(1))).alias("name"), F.col("cell.score").alias("max_score"), F.substring(F.get("cells", F.size("cells") - 1), 1, 500).alias("rule_text"))
+    items = seen.filter((F.col("row") > 0) & ~only).withColumn("cell", F.explode(F.array(scoring.score_cell(F.col("said"), F.col("header"))))).filter("cell is not null")
+    return items.select("doc_id", "table_id", "row", F.coalesce("category", F.lit("technical")).alias("category"), F.get("said", F.lit(1)).alias("name"), F.col("cell.score").alias("max_score"), F.substring(F.get("cells", F.size("cells") - 1), 1, 500).alias("rule_text"))
 
 
 def declared_totals(rows: DataFrame) -> DataFrame:
     """Totals that category rows declare, the first of each category."""
-    cells = F.filter(F.transform("cells", lambda c: F.trim(c)), lambda c: c != "")
-    cell = F.get(F.filter(cells, lambda c: (F.length(c) <= 14) & scoring.category(c).isNotNull()), F.lit(0))
-    total = scoring.found(cell, r"[（(]?\s*(\d{1,3})\s*分\s*[）)]?").try_cast("double")
-    read = rows.filter(F.size(cells) <= 2).select("doc_id", "row", scoring.category(cell).alias("category"), total.alias("total")).filter("category is not null and total is not null")
+    filled = F.filter(F.transform("cells", lambda c: F.trim(c)), lambda c: c != "")
+    short = rows.select("doc_id", "row", F.explode(F.array(filled)).alias("said")).filter(F.size("said") <= 2)
+    named = F.filter(F.transform("said", lambda c: F.struct(F.when(F.length(c) <= 14, scoring.category(c)).alias("category"), c.alias("cell"))), lambda x: x["category"].isNotNull())
+    total = scoring.found(F.col("c.cell"), r"[（(]?\s*(\d{1,3})\s*分\s*[）)]?").try_cast("double")
+    read = short.select("doc_id", "row", F.explode(F.array(F.get(named, F.lit(0)))).alias("c")).filter("c is not null").select("doc_id", "row", "c.category", total.alias("total")).filter("total is not null")
     return read.groupBy("doc_id", "category").agg(F.min_by("total", "row").alias("declared_total"))
 
 

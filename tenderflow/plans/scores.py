@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import lots as lot_names
@@ -13,14 +14,19 @@ from .registry import query, read
 def score_rows_of(spark, sf_dir):
     """R-6: a score table per order: a header, a category row before the lines with an odd
     number, and a row a line: serial, part, `N分`, rule."""
-    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_quantity")).alias("x"))
-    o, n = F.col("l_orderkey"), F.col("l_linenumber")
-    cells = F.array(n.cast("string"), F.concat(F.lit("part-"), F.col("x.l_partkey")), F.concat(F.col("x.l_quantity").cast("int"), F.lit("分")), F.lit("按细则"))
-    body = lines.select(o.alias("doc_id"), (n * 2 + 1).alias("row"), cells.alias("cells"))
+    o, n, part = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = read(spark, sf_dir, "lineitem").select(o, n, part, "l_quantity").repartition(tasks, "l_orderkey")  # serves all that follows
+    least = dealt.groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.min("l_quantity").alias("l_quantity"))
+    lines = least.groupBy("l_orderkey", "l_linenumber").agg(F.min(part).alias("l_partkey"), F.min_by("l_quantity", F.coalesce(part, F.lit(2**63 - 1))).alias("l_quantity"))
+    line = lambda row, *cells: F.struct(row.alias("row"), F.array(*cells).alias("cells"))
     kind = F.when(n % 3 == 0, "技术标（60分）").otherwise("商务标（30分）")
-    heads = lines.filter("l_linenumber % 2 = 1").select(o.alias("doc_id"), (n * 2).alias("row"), F.array(kind, F.lit(""), F.lit(""), F.lit("")).alias("cells"))
-    header = lines.select(o.alias("doc_id")).distinct().select("doc_id", F.lit(0).alias("row"), F.array(*map(F.lit, ("序号", "评分项", "分值", "评分标准"))).alias("cells"))
-    return body.union(heads).union(header).withColumn("table_id", F.lit("t-0001"))
+    body = line(n * 2 + 1, n.cast("string"), F.concat(F.lit("part-"), part), F.concat(F.col("l_quantity").cast("int"), F.lit("分")), F.lit("按细则"))
+    head = line(n * 2, kind, F.lit(""), F.lit(""), F.lit(""))
+    header = line(F.lit(0), *map(F.lit, ("序号", "评分项", "分值", "评分标准")))
+    first = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) == 1
+    rows = F.array(F.when(F.col("first"), header), F.when(n % 2 == 1, head), body)
+    return lines.withColumn("first", first).select(o.alias("doc_id"), F.explode(rows).alias("r")).filter("r is not null").select("doc_id", "r.*", F.lit("t-0001").alias("table_id"))
 
 
 @query("""
@@ -67,8 +73,6 @@ def score_sum_check(spark, sf_dir):
 SELECT p_brand, arg_min(p_partkey % 3 <> 0, p_partkey) AS sums_to_100, count(p_partkey // 3) = count(DISTINCT p_partkey // 3) AS ids_unique FROM part GROUP BY 1""")
 def weight_sums(spark, sf_dir):
     """AG-3, SF-24: one weight triple a brand, for a third of them a point too much; ids that some parts of a brand share."""
-    from pyspark.sql import Window
-
     k, size = F.col("p_partkey"), F.col("p_size") % 50
     n = F.row_number().over(Window.partitionBy("p_brand").orderBy(k))
     price = 80 - size + F.when(k % 3 == 0, 1).otherwise(0)
@@ -144,8 +148,6 @@ g AS (SELECT *, CASE WHEN lag(next_page) OVER w AND lag(n_cols) OVER w = n_cols
 SELECT doc_id, s_suppkey AS table_id, last_value(head IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord) AS island FROM g""")
 def table_islands(spark, sf_dir):
     """WN-11: suppliers of a nation as tables; every fifth is followed by a page without one."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
     t = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("doc_id"), F.row_number().over(w).alias("ord"), F.col("s_suppkey").alias("table_id"))
     page = F.col("ord") + F.floor((F.col("ord") - 1) / 5)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tenderflow.functions import scoring
 from tenderflow.operators import requirements
+from tenderflow.plans import catalog
 
 
 def test_verdicts_are_made_once_a_kind(spark, monkeypatch):
@@ -25,3 +26,15 @@ def test_verdicts_are_made_once_a_kind(spark, monkeypatch):
     want = pd.DataFrame([(p, c) for p in [*range(0, 300, 2), 0] for c in [None, *range(1, 200)]], columns=["performance_id", "criterion_id"])
     shown = lambda x: sorted(x[["performance_id", "criterion_id"]].fillna(-1).astype(int).itertuples(index=False, name=None))
     assert shown(rows) == shown(want) and set(rows.verdict) == {"match"}
+
+
+def test_score_tables_read_their_lines_once(spark):
+    for name in ("declared_totals", "score_rows"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and "SortAggregate" not in plan
+
+
+def test_category_cells_are_read_once(spark):
+    cell = scoring.score_cell(F.col("cells"), F.col("header"))
+    plan = spark.createDataFrame([(["1", "a"], ["", "分值"])], "cells array<string>, header array<string>").select(cell)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("coalesce(filter(") == 1
