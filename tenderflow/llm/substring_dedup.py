@@ -45,8 +45,8 @@ LENGTH = 100
 Q = 32
 WINDOW = LENGTH - Q + 1
 CHUNK = 1 << 19
-BUCKET = 1000
-BLOCK = 4000
+BUCKET = 4000
+BLOCK = BUCKET
 #: Bytes of text that a task works on at once, a longer text alone.
 SLICE = 4 << 20
 #: Common q-grams: one document in SAMPLE is looked at; those met COMMON times, HELD at most, are dealt out.

@@ -1,9 +1,11 @@
 """Work that grows with the input, not with its square or with one group of it."""
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tenderflow.functions import scoring
+from tenderflow.llm import substring_dedup
 from tenderflow.operators import requirements
 from tenderflow.plans import catalog
 
@@ -38,3 +40,10 @@ def test_category_cells_are_read_once(spark):
     cell = scoring.score_cell(F.col("cells"), F.col("header"))
     plan = spark.createDataFrame([(["1", "a"], ["", "分值"])], "cells array<string>, header array<string>").select(cell)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("coalesce(filter(") == 1
+
+
+def test_a_bucket_that_fits_a_block_is_refined_there(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "refine_dealt", lambda found: pytest.fail("windows dealt out one by one"))
+    rows = [(1, i, 0, 0, 1, 2000, f"{i % 1999:0100d}".encode()) for i in range(2000)]
+    found = spark.createDataFrame(rows, "h long, doc_id long, sig int, start int, windows int, classes long, context binary")
+    assert [tuple(r) for r in substring_dedup.refine(found).collect()] == [(1999, 0, 0, 100)]
