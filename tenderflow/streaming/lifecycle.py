@@ -90,30 +90,58 @@ def snapshot(changes: DataFrame) -> DataFrame:
     return changes.groupBy("task_id").agg(last.alias("s")).select("task_id", "s.*")
 
 
+#: So many numbers of a task in a row share an entry of the events that wait.
+BLOCK = 256
+
+
 class Delivery(StatefulProcessor):
     """The events of a task for one reader, each once, in the order of seq without gaps, up to the
-    final one. Events that come before those they follow wait."""
+    final one. Events that come before those they follow wait, those of a block of numbers in one
+    entry: the state store is asked once a block, not once an event."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.place = handle.getValueState("place", "position long, ended boolean")
-        self.waiting = handle.getMapState("waiting", "seq long", "state string, final boolean")
+        self.waiting = handle.getMapState("waiting", "block long", "seqs array<long>, states array<string>, finals array<boolean>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         position, ended = self.place.get() or (0, False)
-        new = {int(r.seq): (r.state, bool(r.final)) for part in rows for r in part.itertuples() if r.seq > position} if not ended else {}
+        if ended:
+            return
+        stored, blocks = set(), {}
+
+        def block(seq: int) -> dict:
+            n = seq // BLOCK
+            if n not in blocks:
+                held = self.waiting.getValue((n,)) if self.waiting.containsKey((n,)) else None
+                if held:
+                    stored.add(n)
+                blocks[n] = {s: (state, final) for s, state, final in zip(*held)} if held else {}
+            return blocks[n]
+
+        for part in rows:
+            for seq, state, final in zip(part["seq"].tolist(), part["state"].tolist(), part["final"].tolist()):
+                if seq > position:
+                    block(seq)[seq] = (state, bool(final))
         out = []
-        while not ended and (position + 1 in new or self.waiting.containsKey((position + 1,))):
+        # What waits never has the next number, so nothing can go out unless its block was met above.
+        while not ended and (position + 1) // BLOCK in blocks and position + 1 in blocks[(position + 1) // BLOCK]:
             position += 1
-            state, ended = new.pop(position) if position in new else self.waiting.getValue((position,))
-            self.waiting.removeKey((position,))
-            out.append((*key, position, state, ended))
+            state, ended = block(position).pop(position)
+            out.append((position, state, ended))
+            if not ended:
+                block(position + 1)
         if ended:
             self.waiting.clear()
         else:
-            for seq, told in new.items():
-                self.waiting.updateValue((seq,), told)
-        self.place.update((position, bool(ended)))
-        yield pd.DataFrame(out, columns=["reader", "task_id", "seq", "state", "final"])
+            for n, held in blocks.items():
+                if held:
+                    self.waiting.updateValue((n,), ([*held], [state for state, _ in held.values()], [final for _, final in held.values()]))
+                elif n in stored:
+                    self.waiting.removeKey((n,))
+        if out:
+            self.place.update((position, bool(ended)))
+            seqs, states, finals = zip(*out)
+            yield pd.DataFrame({"reader": [key[0]] * len(out), "task_id": [key[1]] * len(out), "seq": seqs, "state": states, "final": finals})
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         self.place.update((int(initialState["position"].iloc[0]), False))

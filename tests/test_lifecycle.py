@@ -3,6 +3,8 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
+
 from tenderflow.streaming import lifecycle, tasks
 
 BEGIN = datetime(2026, 1, 1)
@@ -79,3 +81,53 @@ def test_artifacts_meet_their_events_once(spark, tmp_path):
         log(spark, tmp_path / "made", [(7, str(hours), at(hours), "z")], made)
     rows = lifecycle.run(lifecycle.with_artifacts(source(spark, tmp_path / "events", told), source(spark, tmp_path / "made", made)), "append", str(tmp_path / "run")).collect()
     assert sorted((r.task_id, r.seq, r.content) for r in rows if r.task_id < 7) == [(1, 1, "x"), (1, 2, None), (1, 3, None), (2, 1, None)]
+
+
+class Store:
+    """A value and a map state that count how often they are asked."""
+
+    def __init__(self):
+        self.held, self.asked = {}, 0
+
+    def getValueState(self, name, *schemas):
+        return self
+
+    getMapState = getValueState
+
+    def call(self, do):
+        self.asked += 1
+        return do()
+
+    def get(self):
+        return self.call(lambda: self.held.get("place"))
+
+    def update(self, value):
+        return self.call(lambda: self.held.update(place=value))
+
+    def containsKey(self, key):
+        return self.call(lambda: key in self.held)
+
+    def getValue(self, key):
+        return self.call(lambda: self.held[key])
+
+    def updateValue(self, key, value):
+        return self.call(lambda: self.held.update({key: value}))
+
+    def removeKey(self, key):
+        return self.call(lambda: self.held.pop(key, None))
+
+    def clear(self):
+        return self.call(lambda: [self.held.pop(k) for k in [*self.held] if k != "place"])
+
+
+def test_waiting_events_share_entries(spark):
+    store, delivery, parts = Store(), lifecycle.Delivery(), [[*range(2, 2001, 2)], [*range(1, 1900, 2)], [*range(1901, 2001, 2)]]
+    delivery.init(store)
+    got, most = [], 0
+    for part in parts:
+        before = store.asked
+        rows = pd.DataFrame({"seq": part, "state": "working", "final": [s == 1999 for s in part]})
+        got += [s for out in delivery.handleInputRows(("ann", 1), iter([rows]), None) for s in out["seq"]]
+        most = max(most, store.asked - before)
+    assert got == [*range(1, 2000)] and set(store.held) == {"place"}
+    assert most <= 40
