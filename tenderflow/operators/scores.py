@@ -14,15 +14,25 @@ def classic_rows(rows: DataFrame) -> DataFrame:
     rows has doc_id, table_id, row, cells; row 0 is the header. A short cell with a category word
     declares the category of the rows below; a row of at most two filled cells declares only.
     """
-    trimmed = rows.select("doc_id", "table_id", "row", "cells", F.explode(F.array(F.transform("cells", lambda c: F.trim(c)))).alias("said"))
-    n_filled = F.size(F.filter("said", lambda c: c != ""))
-    declared = F.get(F.filter(F.transform("said", lambda c: F.when((F.length(c) <= 14) & (c != ""), scoring.category(c))), lambda c: c.isNotNull()), F.lit(0))
+    text = F.col("text")
+    said = rows.withColumn("text", F.array_join("cells", ""))  # tells of most rows at once that they declare nothing
+    declares = scoring.category(text).isNotNull()
+    declared = F.get(F.array_compact(F.transform("cells", lambda c: F.when((c != "") & (F.length(F.trim(c)) <= 14), scoring.category(c)))), F.lit(0))
+    n_filled = F.size(F.filter("cells", lambda c: F.trim(c) != ""))
+    strict = F.when(F.contains(text, F.lit("分")), scoring.strict_score(F.col("cells")))
+    read = said.select("doc_id", "table_id", "row", "cells", "text", F.when(declares, declared).alias("declared"), F.when(declares, n_filled).alias("n_filled"), strict.alias("strict"))
+    only = (F.trim(text) == "") | (F.col("declared").isNotNull() & (F.col("n_filled") <= 2))
+    item = (F.col("row") > 0) & ~only
+    # what is sorted: of the cells only the name, the rule and those that may be the score, of the header those over scores
+    plain = F.when(item & F.col("strict").isNull(), F.transform("cells", lambda c: F.when(scoring.is_number(F.trim(c)), F.trim(c))))
+    over = F.when(F.col("row") == 0, F.transform("cells", lambda c: F.when(scoring.is_score_header(c), c)))
+    name, rule = F.when(item, F.trim(F.get("cells", F.lit(1)))), F.when(item, F.substring(F.get("cells", F.size("cells") - 1), 1, 500))
+    narrow = read.select("doc_id", "table_id", "row", "declared", item.alias("item"), "strict", plain.alias("plain"), over.alias("over"), name.alias("name"), rule.alias("rule_text"))
     before = Window.partitionBy("doc_id", "table_id").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    header = F.first(F.when(F.col("row") == 0, F.col("cells")), ignorenulls=True).over(before)
-    seen = trimmed.withColumn("declared", declared).withColumn("n_filled", n_filled).withColumn("category", F.last("declared", ignorenulls=True).over(before)).withColumn("header", header)
-    only = (F.col("n_filled") == 0) | (F.col("declared").isNotNull() & (F.col("n_filled") <= 2))
-    items = seen.filter((F.col("row") > 0) & ~only).withColumn("cell", F.explode(F.array(scoring.score_cell(F.col("said"), F.col("header"))))).filter("cell is not null")
-    return items.select("doc_id", "table_id", "row", F.coalesce("category", F.lit("technical")).alias("category"), F.get("said", F.lit(1)).alias("name"), F.col("cell.score").alias("max_score"), F.substring(F.get("cells", F.size("cells") - 1), 1, 500).alias("rule_text"))
+    seen = narrow.select("*", *(F.last(c, ignorenulls=True).over(before).alias(a) for c, a in (("declared", "category"), ("over", "header"))))
+    score = F.coalesce("strict", scoring.score_cell(F.col("plain"), F.col("header"))["score"])
+    items = seen.filter("item").withColumn("max_score", score).filter("max_score is not null")
+    return items.select("doc_id", "table_id", "row", F.coalesce("category", F.lit("technical")).alias("category"), "name", "max_score", "rule_text")
 
 
 def declared_totals(rows: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Work that grows with the input, not with its square or with one group of it."""
 
+import re
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -36,6 +38,13 @@ def test_score_tables_read_their_lines_once(spark):
         assert plan.count("FileScan") == 1 and "SortAggregate" not in plan
 
 
+def test_score_tables_are_sorted_without_their_cells(spark):
+    plan = catalog.QUERIES["score_rows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines()
+    moved = plan[next(i for i, x in enumerate(plan) if "Sort [doc_id" in x) + 1]
+    assert "Project [doc_id" in moved and not re.search(r"[\[ ](cells|said)#\d+[,\]]", moved)
+    assert sum("Sort [" in x for x in plan) == 2 and not any("Aggregate" in x for x in plan)
+
+
 def test_category_cells_are_read_once(spark):
     cell = scoring.score_cell(F.col("cells"), F.col("header"))
     plan = spark.createDataFrame([(["1", "a"], ["", "分值"])], "cells array<string>, header array<string>").select(cell)._jdf.queryExecution().optimizedPlan().toString()

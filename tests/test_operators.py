@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tenderflow.operators import evidence, fields, ledger, lots, outline, requirements, structure
+from tenderflow.operators import evidence, fields, ledger, lots, outline, requirements, scores, structure
+from tenderflow.plans import catalog
 from tenderflow.settings import Settings
 from tenderflow.sources import files
 
@@ -69,6 +70,27 @@ def test_header_column(spark):
     assert (got.a, got.b, got.c) == (2, 0, None)
 
 
+def test_items_of_score_tables(spark):
+    """Scores by form, header or place; categories from short cells; blank and missing cells."""
+    tables = {
+        "a": ["序号|项目|得分|页", "1|技术标（60分）||", "2|甲| 7.5 |9", "3|乙|有|8", "4|丙|5 分|9", " | ||", "价格||", "5|丁|见|后"],
+        "b": ["号|项", "3|价格技术", "戊|己|x\n5分\ny|100", "庚|一二三四五六七八九十一二三技术|6|-"],
+    }
+    rows = [(1, t, i, [c if c else None for c in r.split("|")]) for t, said in tables.items() for i, r in enumerate(said)] + [(1, "b", 4, None), (1, "b", 5, [])]
+    got = scores.classic_rows(spark.createDataFrame(rows, "doc_id long, table_id string, row int, cells array<string>").repartition(3))
+    want = {("a", 2, "technical", "甲", 7.5, "9"), ("a", 3, "technical", "乙", 8.0, "8"), ("a", 4, "technical", "丙", 5.0, "9"), ("b", 2, "technical", "己", 100.0, "100"), ("b", 3, "technical", "一二三四五六七八九十一二三技术", 6.0, "-")}
+    assert {tuple(r)[1:] for r in got.collect()} == want
+
+
+def test_lines_of_a_number_without_a_part(spark, tmp_path):
+    """The least part's quantity, whatever the order of the lines; no part comes last, after the greatest."""
+    lines = [(1, 1, None, 7.0), (1, 1, 2**63 - 1, 9.0), (1, 2, 5, None), (1, 2, 5, 4.0), (1, 2, 5, 3.0), (1, 2, 8, 1.0), (2, 3, None, 6.0)]
+    for k, order in enumerate((lines, lines[::-1])):
+        spark.createDataFrame(order, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").coalesce(1).write.parquet(f"{tmp_path}/{k}/lineitem.parquet")
+        got = catalog.QUERIES["score_rows"](spark, f"{tmp_path}/{k}").collect()
+        assert {tuple(r) for r in got} == {(1, 3, f"part-{2**63 - 1}", 9.0, "commercial"), (1, 5, "part-5", 3.0, "commercial"), (2, 7, None, 6.0, "technical")}
+
+
 def test_outline_reuse(spark):
     cases = [("包1", None, 3, None, True), ("包1", "包1", 3, None, True), ("包1", "包2", 1, "包2", False), (None, "监理包2", 1, "包2", True), (None, "包2", 2, None, False)]
     rows = spark.createDataFrame([c[:4] for c in cases], "cached string, asked string, n int, single string")
